@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumigraph.llm import p01_format_duplicates
+from lumigraph.llm import p01_format_duplicates, p04_batch_history
 
-_MODULES = [p01_format_duplicates]
+_MODULES = [p01_format_duplicates, p04_batch_history]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
