@@ -54,14 +54,13 @@ def picture_address(c: Column) -> Column:
     """The address of the picture itself: archive prefix, rendition, cache and campaign parts taken away, the rest as in problem 1."""
 
     def key(u: Column) -> Column:
-        u = F.regexp_replace(F.lower(u), r"[\s\x{00A0}\x{2000}-\x{200F}\x{2028}-\x{202F}\x{3000}\x{FEFF}]+", "")
-        u = F.regexp_replace(u, r"^.*?[^a-z0-9]web[^a-z0-9]+\d{4,14}(?:[a-z]{2})?[^a-z0-9]+(?=https?[^a-z0-9])", "")
-        base = F.regexp_extract(u, r"^[^?]*", 0)
+        u = F.regexp_replace(F.lower(u), r"(?s)^.*?[^a-z0-9]web[^a-z0-9]+\d{4,14}(?:[a-z]{2})?[^a-z0-9]+(?=https?[^a-z0-9])", "")
+        base = F.regexp_extract(u, r"(?s)^[^?]*", 0)
         base = F.regexp_replace(base, r"(?<=[^a-z0-9])\d{2,5}x\d{2,5}(?=[^a-z0-9]|$)", "")
         base = F.regexp_replace(base, rf"[^a-z0-9]+(?:{FORMATS})[^a-z0-9]*$", "")
         base = F.regexp_replace(base, rf"(?:[^a-z0-9]+(?:{SIZE_LABELS}|\d{{1,2}}x))+[^a-z0-9]*$", "")
         fields = F.transform(
-            F.split(F.regexp_extract(u, r"\?(.*)$", 1), "[&;?#]+"),
+            F.split(F.regexp_extract(u, r"(?s)\?(.*)$", 1), "[&;?#]+"),
             lambda f: F.regexp_replace(F.regexp_replace(f, r"[^\p{L}\p{M}\p{N}=]+", ""), rf"^(?:{RENDITION_FIELDS}|{CACHE_FIELDS})=.*$", ""),
         )
         return F.concat(letters_and_digits(base), F.array_join(F.array_sort(F.transform(fields, letters_and_digits)), ""))
