@@ -19,9 +19,10 @@ from pyspark.sql import functions as F
 
 from lumigraph.session import table
 
-#: A name inside a placeholder: words joined by dots, colons, bars, dashes; at least three characters.
-NAME = r"[$@]?[a-z_][a-z0-9_]*(?:[.:|\-][a-z0-9_]+)*(?:\(\))?"
+#: The inside of a placeholder: a name, and what may follow it (a filter, a default); a longer name between single signs.
+NAME = r"[$@]?[a-z_][a-z0-9_.:\-]*(?:\s*[|(?][^{}<>\[\]]{0,40}?)?"
 LONG_NAME = r"[a-z_][a-z0-9_.:\-]{2,}"
+FILTER = r"(?:\s*\|{1,2}\s*[^{}%$]{1,30})?"
 #: Opening and closing signs of template languages (patterns).
 DELIMITERS = [
     (r"\{\{\{?", r"\}\}\}?"),
@@ -41,12 +42,12 @@ DELIMITERS = [
 _GRAMMARS = [rf"{o}\s*{NAME}\s*(?:{c}|…|\.\.\.)" for o, c in DELIMITERS]
 #: A field cut short behind an opening sign.
 _CUT = [rf"(?:{o})\s*[$@]?[a-z_][a-z0-9_.:|\-]*\s*$" for o, _ in DELIMITERS[:9]]
-_SINGLE = [rf"\{{{LONG_NAME}\}}", rf"(?<![\p{{L}}\p{{N}}])%{LONG_NAME}%(?![\p{{L}}\p{{N}}])", rf"(?<![\p{{L}}\p{{N}}])\${LONG_NAME}\$(?![\p{{L}}\p{{N}}])"]
+_SINGLE = [rf"\{{{LONG_NAME}{FILTER}\}}", rf"(?<![\p{{L}}\p{{N}}])%{LONG_NAME}{FILTER}%(?![\p{{L}}\p{{N}}])", rf"(?<![\p{{L}}\p{{N}}])\${LONG_NAME}{FILTER}\$(?![\p{{L}}\p{{N}}])"]
 _SLOTS = [r"(?<![\p{L}\p{N}%])%(?:\d+\$)?s(?![\p{L}\p{N}])", r"^[\s\p{P}\p{S}]*\{\d+\}(?:[\s\p{P}\p{S}]*\{\d+\})*[\s\p{P}\p{S}]*$"]
 PLACEHOLDER = "(?i)" + "|".join([*_GRAMMARS, *_CUT, *_SINGLE, *_SLOTS])
 
 #: What programs print for missing values and keys.
-_VALUE = r"(?:null|undefined|nan)"
+_VALUE = r"(?:null|undefined|nan|none)"
 VALUES = "(?i)" + "|".join([
     rf"^[\s\p{{P}}\p{{S}}]*{_VALUE}(?:[\s\p{{P}}\p{{S}}]+{_VALUE})*[\s\p{{P}}\p{{S}}]*$",
     rf"^\p{{L}}+\s?:\s*{_VALUE}[\s.!]*$",
@@ -56,9 +57,14 @@ VALUES = "(?i)" + "|".join([
     r"^\s*(?!www\.)[a-z][a-z0-9_]*(?:\.[a-z][a-z0-9_]*){2,}(?<!\.(?:jpg|jpeg|png|gif|webp|tif|tiff|svg|bmp|example|test|com|org|net))[\s.!…]*$",
 ])
 
+#: The words of the common Latin filler text.
+_LATIN = (
+    r"(?:lorem|ipsum|dolore?|sit|amet|consec\p{L}*|adipisc\p{L}*|elit|sed|eiusmod|tempor|incididunt|labore|magna|aliqu(?:a|ip)|enim|minim|veniam|quis"
+    r"|nostr(?:ud|um)|ullam\p{L}*|laboris|nisi|commodo|duis|aute|irure|velit|esse|cillum|fugiat|nulla|pariatur|excepteur|sint|occaecat|cupidatat|mollit|anim|laborum)"
+)
 #: Filler texts and notes to the editor, by language.
 FILLER = "(?i)" + "|".join([
-    r"\blorem\s+(?:ipsum|ip?s?u?$)|\bdolor sit amet\b|^\s*lorem[\s.…]*$",
+    r"\blorem\s+(?:ipsum|ip?s?u?$)|^\s*lorem[\s.…]*$", rf"\b(?:{_LATIN}\b[\s\p{{P}}]*){{3}}", rf"^\s*(?:{_LATIN}\b[\s\p{{P}}]*){{2,}}\p{{L}}{{0,5}}[\s\p{{P}}]*$",
     r"^[\s\p{P}]*(?:(\p{L})\1{2,}[\s\p{P}]+)+(?:\p{L}{1,4}[\s\p{P}]*)?$",
     r"\b(?:blah[\s,]+){1,}bla", r"^\s*(?:test[\s\p{P}]+)+(?:test|\d+)?[\s\p{P}]*$", r"\b(?:asdf|qwerty|qwer|foobar)\b", r"\bsample text\b", r"\bplaceholder text\b",
     r"^\s*(?:edit|put|type|insert|write|add|enter|place|your)\s+(?:(?:an?|the|your)\s+)?(?:(?:image|photo|picture|figure)\s+)?(?:caption|description|alt text|alternative text|headline|title|name of the)\b",
@@ -80,7 +86,7 @@ _STATUS = (
 ERRORS = "(?i)" + "|".join([
     rf"\b[45]\d\d\b[\s\p{{P}}\p{{S}}]*{_STATUS}\b", rf"\b{_STATUS}[\s\p{{P}}\p{{S}}]*\(?[45]\d\d\b",
     rf"\b(?:http|status(?: code)?|error(?: code)?)[\s:#]*[45]\d\d[\s\p{{P}}\p{{S}}]*(?:$|{_STATUS})", r"\bHTTP [45]\d\d\b",
-    r"\b(?:page|file|image|resource) not found\b[\s.!]*$", r"\brequested (?:address|page|url|resource|file)\b.{0,20}\b(?:not|could)\b", r"\bpage you (?:are looking for|requested)\b",
+    r"\b(?:page|file|image|resource) not found\b(?=\s*(?:$|[.!…|:–\-]))", r"\brequested (?:address|page|url|resource|file)\b.{0,20}\b(?:not|could)\b", r"\bpage you (?:are looking for|requested)\b",
     r"\bsession (?:has )?(?:expired|timed out)\b", r"\bplease (?:sign|log) in again\b", r"\baccess denied\b\s*[:.!]?\s*(?:you\b|$)", r"\byou do not have permission\b", r"\bnot available in your (?:region|country)\b",
     r"\bfatal error\b", r"\bout of memory\b", r"\b(?:warning|notice|error)\s?:\s*undefined\b", r"\bundefined (?:variable|index|offset|property)\b", r"\b\p{L}*(?:reference|type|syntax|range)error\b(?: at|:|\b)", r"\bexception\b.{0,20}\b(?:line|at)\b",
     r"\bsomething went wrong\b", r"\bcould not connect to\b", r"\bcould not be loaded\b", r"\bfailed to (?:render|load|fetch)\b", r"\btimed out after \d+", r"\bplease try again later\b", r"\btemporarily down\b",
@@ -97,7 +103,7 @@ ERRORS = "(?i)" + "|".join([
 _SCRIPT = r"(?:java[\s\-]?script|\bjs\b|\bscripts\b|\bscripting\b|\bscript support\b)"
 SCRIPTS = "(?i)" + "|".join([
     rf"\b(?:enable|activate|allow|turn on|switch on|unblock)\s+{_SCRIPT}", rf"\b(?:requires?|needs?)\s+{_SCRIPT}", rf"\bturn\s+{_SCRIPT}\s+on\b",
-    rf"{_SCRIPT}\s+(?:is|are|must be|has to be|have to be|needs? to be|was|were|seems?(?: to be)?)\s+(?:currently\s+)?(?:disabled|turned off|switched off|blocked|enabled|allowed|activated|turned on|required|needed|off)\b",
+    rf"{_SCRIPT}\s+(?:is|are|must be|has to be|have to be|needs? to be|was|were|seems?(?: to be)?)\s+(?:currently\s+)?(?:disabled|turned off|switched off|blocked|enabled|allowed|activated|turned on|switched on|required|needed|off)\b",
     r"\bthis (?:site|page|gallery|app|slideshow|website|content)\s+(?:doesn.t|does not|won.t|will not) work\b", r"\byou need to (?:enable|activate|allow|turn on) ",
     r"\b(?:active|activar|activa|habilite|habilitar|habilita)\s+(?:el\s+|los\s+)?(?:javascript|java script|scripts)\b|\bscripts (?:desactivados|deshabilitados)\b|\bnecesario habilitar\b",
     r"\b(?:ative|ativar|habilite)\s+(?:o\s+|os\s+)?(?:javascript|java script|scripts)\b|\bscripts (?:ativados|desativados)\b|\bcal activar\b|\bactiveu\b.{0,6}javascript",
@@ -106,6 +112,23 @@ SCRIPTS = "(?i)" + "|".join([
     r"включите javascript|javascript (?:отключен|отключён|выключен)|(?:требуется|необходим) javascript|ενεργοποιήστε (?:την |το )?javascript|javascript\s?を有効|スクリプトを有効|javascript\s?が(?:無効|必要)",
 ])
 
+#: Messages as they begin, to know those that were cut short.
+BEGINNINGS = [
+    "this page requires javascript", "this content requires javascript", "we're sorry but this site doesn't work properly without javascript", "javascript must be enabled", "java script must be switched on",
+    "scripts must be switched on", "scripting must be switched on", "please enable javascript to view", "turn javascript on and reload", "you need to enable javascript", "javascript is disabled in your browser",
+    "java script is turned off in your browser", "scripts is turned off in your browser", "scripting is turned off in your browser", "su navegador tiene los scripts desactivados", "esta página precisa de scripts ativados",
+    "es necesario habilitar los scripts", "cal activar javascript", "ce site ne fonctionne pas sans scripts", "veuillez activer javascript", "diese galerie benötigt aktivierte skripte", "bitte javascript aktivieren",
+    "the requested address was not found on this server", "the page you are looking for does not exist", "your session has expired", "access denied: you do not have permission", "this content is not available in your region",
+    "fatal error: out of memory", "warning: undefined variable", "could not connect to the database", "image could not be loaded", "checking your browser before you continue", "connection timed out after", "request blocked",
+    "something went wrong", "oops! something went wrong", "service temporarily down", "nullreferenceerror at render", "página no encontrada", "página não encontrada", "pàgina no trobada", "page introuvable", "seite nicht gefunden",
+    "accès refusé : la session a expiré", "zugriff verweigert", "acceso denegado", "acesso negado", "s'ha produït un error intern", "error interno del servidor", "interner fehler", "translation missing",
+    "insert image caption here", "put description of the image here", "type photo description here", "edit photo description here", "enter headline here", "your image caption goes here", "caption tk, do not publish",
+    "escriba aquí la descripción", "escriviu aquí el peu de foto", "escreva aqui a legenda", "saisissez la légende ici", "hier bildunterschrift eingeben", "beispieltext, bitte ersetzen", "texte d'exemple à remplacer",
+    "texto de ejemplo para la imagen", "pie de foto de muestra, sustituir", "text de mostra, cal canviar-lo",
+]
+#: Least length at which a beginning tells.
+LEAST_BEGINNING = 12
+
 #: Least share of a long text that placeholders must take up, and from what length on a text is long.
 DENSITY, LONG_TEXT = 0.02, 400
 _MENTION = r"(?i)`[^`]*`|\b(?:syntax|templating|tutorial|example code|snippet|curly braces?|placeholder called|variable named)\b"
@@ -127,6 +150,12 @@ def signs_unescaped(c: Column) -> Column:
     return c
 
 
+def cut_short(x: Column) -> Column:
+    """Whether a field is no more than the beginning of a known message."""
+    start = F.lower(F.regexp_replace(x, r"^\s+|[\s.…]+$", ""))
+    return (F.length(start) >= LEAST_BEGINNING) & F.exists(F.array(*map(F.lit, BEGINNINGS)), lambda m: m.startswith(start))
+
+
 def residue_kind(c: Column) -> Column:
     """What a field holds instead of content: placeholder, value, filler, error or scripts; null for a sound field."""
 
@@ -135,7 +164,7 @@ def residue_kind(c: Column) -> Column:
         dense = (F.length(x) < LONG_TEXT) | ((F.length(x) - spans) / F.length(x) >= DENSITY) & ~x.rlike(_MENTION)
         return (
             F.when(x.rlike(PLACEHOLDER) & dense, "placeholder")
-            .when(x.rlike(VALUES), "value").when(x.rlike(FILLER), "filler").when(x.rlike(ERRORS), "error").when(x.rlike(SCRIPTS), "scripts")
+            .when(x.rlike(VALUES), "value").when(x.rlike(FILLER), "filler").when(x.rlike(ERRORS), "error").when(x.rlike(SCRIPTS), "scripts").when(cut_short(x), "error")
         )
 
     plain = F.regexp_replace(c, r"[\s\x{00A0}\x{200B}\x{FEFF}]+", " ")
