@@ -28,6 +28,8 @@ from lumigraph.session import table
 #: Encodings that text is wrongly read in; those of Latin scripts, and those whose letters take the place of lead bytes.
 LATIN_CODECS = ["cp1252", "latin-1", "cp1250", "iso8859-2", "mac_roman", "cp437", "cp850", "cp1254", "cp1257", "iso8859-15"]
 OTHER_CODECS = ["cp1251", "cp1253", "koi8-r", "cp866", "iso8859-5", "iso8859-7", "mac_cyrillic", "cp1255", "cp1256"]
+#: Of the Latin ones those that have signs in place of most lead bytes.
+SIGN_CODECS = ("mac_roman", "cp437", "cp850")
 #: (read as, written as) of single-byte confusions, the more common first.
 SINGLE = [
     (wrong, right)
@@ -97,12 +99,16 @@ def _multibyte(text: str) -> str | None:
     """
     best, gain = None, 0
     for n, (codec, rx, back) in enumerate(_UTF8):
-        spans, sure = [], n < len(LATIN_CODECS)
+        spans, sure = [], codec not in SIGN_CODECS and n < len(LATIN_CODECS)
         for m in rx.finditer(text):
             d = _decoded(m[0], back, "utf-8")
             if d is None or not _EXPECTED.fullmatch(d) or _CONTROL.search(d):
                 continue
             before, after = text[m.start() - 1 : m.start()] or " ", text[m.end() : m.end() + 1] or " "
+            if codec in SIGN_CODECS:  # letters alone can fall together by chance
+                sure |= not m[0][0].isalpha() or len(m[0]) >= 8
+                spans.append((m.start(), m.end(), d))
+                continue
             sure |= len(d) > 1 or _latin(d) and (_latin(before) or _latin(after)) or not d.isalpha() and bool(re.search("[A-Za-z]", text))
             spans.append((m.start(), m.end(), d))
         covered = sum(e - s for s, e, _ in spans)
@@ -168,9 +174,12 @@ def _odd(word: str, in_latin: bool) -> bool:
         if a.isupper() and b.islower() and ord(b) > 127 and core[:2] != a + b and scripts == {"L"} and core.upper() != core and sum(c.isupper() for c in letters) > 2:
             return True
     for i, c in enumerate(core):
-        if ord(c) > 127 and not c.isalnum() and c not in _SOUND_SIGNS and not unicodedata.category(c).startswith("M"):
+        if ord(c) > 127 and not c.isalpha() and not unicodedata.category(c).startswith("M"):
             before, after = core[i - 1 : i].isalpha(), core[i + 1 : i + 2].isalpha()
-            if before and (after or c not in "!?%") or after and c not in "¿¡#@&€£§±":
+            if c in _SOUND_SIGNS or c.isnumeric():
+                if before and after and c in "°™®©¹²³¼½¾":
+                    return True
+            elif before and (after or c not in "!?%") or after and c not in "¿¡#@&€£§±":
                 return True
     return bool(re.fullmatch(r"[^\x00-\x7f]\d{2,}", core)) and core[0].isalpha()
 
