@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumigraph.llm import p01_format_duplicates, p02_contributor_caps, p03_template_residue, p04_batch_history, p05_score_cutoffs, p06_target_proportions, p07_garbled_encoding, p09_evaluation_leaks, p10_shared_spans
+from lumigraph.llm import p01_format_duplicates, p02_contributor_caps, p03_template_residue, p04_batch_history, p05_score_cutoffs, p06_target_proportions, p07_garbled_encoding, p08_container_packing, p09_evaluation_leaks, p10_shared_spans
 
-_MODULES = [p01_format_duplicates, p02_contributor_caps, p03_template_residue, p04_batch_history, p05_score_cutoffs, p06_target_proportions, p07_garbled_encoding, p09_evaluation_leaks, p10_shared_spans]
+_MODULES = [p01_format_duplicates, p02_contributor_caps, p03_template_residue, p04_batch_history, p05_score_cutoffs, p06_target_proportions, p07_garbled_encoding, p08_container_packing, p09_evaluation_leaks, p10_shared_spans]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
