@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Second-level labels below a country code, and tracking parameters.
 SECOND_LEVEL = ["ac", "co", "com", "edu", "gov", "ltd", "me", "net", "org", "plc", "sch"]
@@ -102,7 +103,7 @@ def resolve(base: Column, href: Column) -> Column:
     )
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def resolve_any(base: pd.Series, href: pd.Series) -> pd.Series:
     """All of RFC 3986 (dot segments too), in Arrow batches."""
     from urllib.parse import urljoin
