@@ -63,9 +63,9 @@ _LATIN = (
     r"|nostr(?:ud|um)|ullam\p{L}*|laboris|nisi|commodo|duis|aute|irure|velit|esse|cillum|fugiat|nulla|pariatur|excepteur|sint|occaecat|cupidatat|mollit|anim|laborum)"
 )
 #: Filler texts and notes to the editor, by language.
+REPEATED = r"(?i)^[\s\p{P}]*(?:(\p{L})\1{2,}[\s\p{P}]+)+(?:\p{L}{1,4}[\s\p{P}]*)?$"
 FILLER = "(?i)" + "|".join([
     r"\blorem\s+(?:ipsum|ip?s?u?$)|^\s*lorem[\s.…]*$", rf"\b(?:{_LATIN}\b[\s\p{{P}}]*){{3}}", rf"^\s*(?:{_LATIN}\b[\s\p{{P}}]*){{2,}}\p{{L}}{{0,5}}[\s\p{{P}}]*$",
-    r"^[\s\p{P}]*(?:(\p{L})\1{2,}[\s\p{P}]+)+(?:\p{L}{1,4}[\s\p{P}]*)?$",
     r"\b(?:blah[\s,]+){1,}bla", r"^\s*(?:test[\s\p{P}]+)+(?:test|\d+)?[\s\p{P}]*$", r"\b(?:asdf|qwerty|qwer|foobar)\b", r"\bsample text\b", r"\bplaceholder text\b",
     r"^\s*(?:edit|put|type|insert|write|add|enter|place|your)\s+(?:(?:an?|the|your)\s+)?(?:(?:image|photo|picture|figure)\s+)?(?:caption|description|alt text|alternative text|headline|title|name of the)\b",
     r"\b(?:caption|description|alt text|headline|title|artwork|text|image|photo)\b.{0,30}(?:goes here|\bin this box|\(placeholder\)|[-–] sample only)",
@@ -112,6 +112,33 @@ SCRIPTS = "(?i)" + "|".join([
     r"включите javascript|javascript (?:отключен|отключён|выключен)|(?:требуется|необходим) javascript|ενεργοποιήστε (?:την |το )?javascript|javascript\s?を有効|スクリプトを有効|javascript\s?が(?:無効|必要)",
 ])
 
+#: For each kind of residue pieces of text one of which every case holds (in lower case). They are looked for first,
+#: as a search for fixed pieces costs a small part of a search for the patterns.
+TRIGGERS = {
+    "placeholder": ["{", "%", "$", "<%", "<?", "<!", "[[", "[%", "*|", "@@", "##", "__"],
+    "value": ["null", "undefined", "nan", "none", "no value", "[object", "#", "translation", "i18n", "."],
+    "filler": [
+        "lorem", "ipsum", "dolor", "amet", "consec", "adipisc", "eiusmod", "tempor", "incididunt", "labor", "magna", "aliqu", "minim", "veniam", "nostr", "ullam", "commodo", "irure", "velit", "cillum", "fugiat", "nulla",
+        "pariatur", "excepteur", "sint", "occaecat", "cupidatat", "mollit", "blah", "test", "asdf", "qwer", "foobar", "sample", "placeholder", "caption", "description", "alt text", "alternative", "headline", "title", "name of the",
+        "goes here", "in this box", "publish", "tktk", "aqu", "exempl", "ejempl", "muestra", "mostra", "introdu", " ici", "beispiel", "platzhalter", "eingeben", "ersetzen", "введите", "текста", "εισαγ", "κείμενο", "入力", "記入", "テキスト",
+    ],
+    "error": [
+        "not found", "bad gateway", "bad request", "gone", "forbidden", "unauthori", "payment", "not allowed", "acceptable", "conflict", "too many", "timeout", "time-out", "time out", "unavailable", "internal", "not implemented", "http", "status",
+        "error", "requested", "page you", "session", "in again", "denied", "permission", "not available", "memory", "undefined", "exception", "wrong", "could not", "failed to", "timed out", "later", "temporarily", "blocked", "browser",
+        "verify", "encontrad", "denegad", "intent", "int\u00e9nt", "vuelva", "ocurrido", "sesi", "negado", "novamente", "ocorreu", "trobada", "produ", "denegat", "introuvable", "refus", "expir", "erreur", "essayer", "gefunden",
+        "verweigert", "fehler", "versuchen", "abgelaufen", "страница", "доступ", "ошибка", "σελίδα", "πρόσβαση", "σφάλμα", "ページ", "アクセス", "エラー", "サーバー",
+    ],
+    "scripts": ["script", "js", "skript", "n't work", "n\u2019t work", "not work", "this site", "this page", "this gallery", "this app", "this slideshow", "this website", "this content", "you need to", "fonctionne", "cal activar", "necesario habilitar", "スクリプト"],
+}
+
+
+def _may_be(kind: str, lower: Column) -> Column:
+    out = F.lit(False)
+    for t in TRIGGERS[kind]:
+        out = out | lower.contains(t)
+    return out
+
+
 #: Messages as they begin, to know those that were cut short.
 BEGINNINGS = [
     "this page requires javascript", "this content requires javascript", "we're sorry but this site doesn't work properly without javascript", "javascript must be enabled", "java script must be switched on",
@@ -153,23 +180,31 @@ def signs_unescaped(c: Column) -> Column:
 def cut_short(x: Column) -> Column:
     """Whether a field is no more than the beginning of a known message."""
     start = F.lower(F.regexp_replace(x, r"^\s+|[\s.…]+$", ""))
-    return (F.length(start) >= LEAST_BEGINNING) & F.exists(F.array(*map(F.lit, BEGINNINGS)), lambda m: m.startswith(start))
+    heads = [b[:LEAST_BEGINNING] for b in BEGINNINGS]
+    return F.substring(start, 1, LEAST_BEGINNING).isin(heads) & F.exists(F.array(*map(F.lit, BEGINNINGS)), lambda m: m.startswith(start))
 
 
 def residue_kind(c: Column) -> Column:
     """What a field holds instead of content: placeholder, value, filler, error or scripts; null for a sound field."""
 
-    def kind(x: Column) -> Column:
+    def kind(x: Column, lower: Column) -> Column:
         spans = F.length(F.regexp_replace(x, PLACEHOLDER, ""))
         dense = (F.length(x) < LONG_TEXT) | ((F.length(x) - spans) / F.length(x) >= DENSITY) & ~x.rlike(_MENTION)
         return (
-            F.when(x.rlike(PLACEHOLDER) & dense, "placeholder")
-            .when(x.rlike(VALUES), "value").when(x.rlike(FILLER), "filler").when(x.rlike(ERRORS), "error").when(x.rlike(SCRIPTS), "scripts").when(cut_short(x), "error")
+            F.when(_may_be("placeholder", lower) & x.rlike(PLACEHOLDER) & dense, "placeholder")
+            .when(_may_be("value", lower) & x.rlike(VALUES), "value")
+            .when(x.rlike(REPEATED) | _may_be("filler", lower) & x.rlike(FILLER), "filler")
+            .when(_may_be("error", lower) & x.rlike(ERRORS), "error")
+            .when(_may_be("scripts", lower) & x.rlike(SCRIPTS), "scripts")
+            .when(cut_short(x), "error")
         )
 
+    def judged(text: Column) -> Column:
+        return F.transform(F.array(F.struct(text.alias("x"), F.lower(text).alias("lower"))), lambda t: kind(t["x"], t["lower"]))[0]
+
     plain = F.regexp_replace(c, r"[\s\x{00A0}\x{200B}\x{FEFF}]+", " ")
-    escaped = plain.rlike(r"(?i)%[0-9a-f]{2}|&#?\w+;")
-    return F.transform(F.array(plain), lambda x: F.coalesce(kind(x), F.when(escaped, F.transform(F.array(signs_unescaped(x)), kind)[0])))[0]
+    escaped = (c.contains("%") | c.contains("&")) & c.rlike(r"(?i)%[0-9a-f]{2}|&#?\w+;")
+    return F.coalesce(judged(plain), F.when(escaped, judged(signs_unescaped(plain))))
 
 
 def fields_with_residue(df: DataFrame, fields: list[str], id_col: str = "row_id") -> DataFrame:
