@@ -117,7 +117,7 @@ def wayback_build(ts: Column, original: Column, flag: str = "id_") -> Column:
 
 def wayback_original(u: Column, host: str = r"web\.archive\.org") -> Column:
     """The address inside an archive address; anything else is returned as it is."""
-    inner = F.regexp_extract(u, rf"{host}/web/\d{{14}}[a-z_]*/(https?://.*)$", 1)
+    inner = F.regexp_extract(u, rf"{host}/web/\d{{14}}[a-z_]*/(https?://[\s\S]*)$", 1)
     return F.when(inner != "", inner).otherwise(u)
 
 

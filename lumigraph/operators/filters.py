@@ -159,7 +159,7 @@ def looks_like_image(u: Column) -> Column:
     p, low = F.lower(U.path(u)), F.lower(u)
     return (
         U.scheme(u).isin("http", "https") & (p != "") & ~p.endswith(".svg") & ~contains_any(low, BLOCKED_URL_KEYWORDS)
-        & (p.rlike(r"\.(jpg|jpeg|png|webp|bmp|tiff|tif|gif)$") | contains_any(U.netloc(u), IMAGE_HOSTS))
+        & (p.rlike(r"\.(jpg|jpeg|png|webp|bmp|tiff|tif|gif)\z") | contains_any(U.netloc(u), IMAGE_HOSTS))
     )
 
 

@@ -5,25 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from lumigraph.plans import image_queries, registry, score_queries  # noqa: F401
 from lumigraph.session import table
 
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_SQL: dict[str, str] = {}
-
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Accuracy range of every image model over its thresholds."""
-    t = table(spark, sf_dir, "genai_b120_thresholds_by_model")
-    return t.groupBy("image_model").agg(
-        F.count("*").alias("n_thresholds"), F.max("accuracy").alias("best_accuracy"), F.min("accuracy").alias("worst_accuracy")
-    )
+    """Records kept and dropped by each content rule."""
+    return registry.QUERIES["filter_funnel"](spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
+    return dict(registry.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return dict(registry.SQL)
