@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumigraph.plans import image_queries, registry, score_queries  # noqa: F401
+from lumigraph.plans import image_queries, registry, score_queries, system_queries  # noqa: F401
 from lumigraph.session import table
 
 
