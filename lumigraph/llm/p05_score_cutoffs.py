@@ -31,15 +31,32 @@ def bucket(score: Column) -> Column:
     return F.floor(F.log2(F.greatest(score, F.lit(FLOOR))) * STEPS).cast("int")
 
 
+def valid_scores(results: DataFrame) -> DataFrame:
+    """(image_url, score): one valid score per address."""
+    ok = results.filter("score is not null and not isnan(score) and score between 0 and 1 and image_url is not null")
+    return ok.groupBy("image_url").agg(F.max_by("score", "result_id").alias("score"))
+
+
+def settled_sector() -> Column:
+    return F.nullif(F.lower(F.regexp_replace("sector", r"^[\s\x{00A0}]+|[\s\x{00A0}]+$", "")), F.lit(""))
+
+
 def scored(images: DataFrame, results: DataFrame) -> DataFrame:
     """(source, score, n): the number of records per sector and score."""
-    best = (
-        results.filter("score is not null and not isnan(score) and score between 0 and 1 and image_url is not null")
-        .groupBy("image_url").agg(F.max_by("score", "result_id").alias("score"))
-    )
-    sector = F.lower(F.regexp_replace("sector", r"^[\s\x{00A0}]+|[\s\x{00A0}]+$", ""))
-    addresses = images.filter("image_url is not null").select("image_url", F.nullif(sector, F.lit("")).alias("source")).filter("source is not null").groupBy("image_url", "source").agg(F.count("*").alias("n"))
-    return addresses.join(best, "image_url").groupBy("source", "score").agg(F.sum("n").alias("n"))
+    rows = images.filter("image_url is not null").select("image_url", settled_sector().alias("source")).filter("source is not null")
+    addresses = rows.groupBy("image_url", "source").agg(F.count("*").alias("n"))
+    return addresses.join(valid_scores(results), "image_url").groupBy("source", "score").agg(F.sum("n").alias("n"))
+
+
+def kept(images: DataFrame, results: DataFrame, targets: DataFrame) -> DataFrame:
+    """(row_id, sector, score, cutoff): the records from their sector's cutoff on.
+
+    The rows of an address that holds many of them are split over tasks by adaptive skew handling; one side of that
+    join has a single row per address, so a part of the rows needs no more than that row.
+    """
+    cuts = cutoffs(scored(images, results), targets).filter("cutoff is not null").select("source", "cutoff")
+    rows = images.filter("image_url is not null").select("row_id", "image_url", settled_sector().alias("source"))
+    return rows.join(valid_scores(results), "image_url").join(F.broadcast(cuts), "source").filter("score >= cutoff").select("row_id", F.col("source").alias("sector"), "score", "cutoff")
 
 
 def cutoffs(records: DataFrame, targets: DataFrame) -> DataFrame:
@@ -71,6 +88,10 @@ def _inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return scored(table(spark, sf_dir, "images_meta"), table(spark, sf_dir, "web_classifier_results")), targets
 
 
+def p5_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kept(table(spark, sf_dir, "images_meta"), table(spark, sf_dir, "web_classifier_results"), _inputs(spark, sf_dir)[1])
+
+
 def p5_cutoffs(spark: SparkSession, sf_dir: str) -> DataFrame:
     records, targets = _inputs(spark, sf_dir)
     return cutoffs(records, targets).withColumnRenamed("source", "sector")
@@ -97,8 +118,9 @@ k as (select r.sector, score, n_target, rank() over (partition by r.sector order
 c as (select sector, max(score) as cutoff, min(kept) as n_kept from k where kept >= n_target and n_target > 0 group by 1),
 own as (select t.sector, n_scored, n_target, cutoff, coalesce(n_kept, 0) as n_kept from t left join c on t.sector = c.sector)
 """
-QUERIES = {"p5_cutoffs": p5_cutoffs, "p5_beside_thresholds": p5_beside_thresholds}
+QUERIES = {"p5_kept": p5_kept, "p5_cutoffs": p5_cutoffs, "p5_beside_thresholds": p5_beside_thresholds}
 SQL = {
+    "p5_kept": _SQL.replace("select lower(regexp", "select row_id, lower(regexp") + "select row_id, r.sector, r.score, own.cutoff from r join own on r.sector = own.sector where r.score >= own.cutoff",
     "p5_cutoffs": _SQL + "select * from own",
     "p5_beside_thresholds": _SQL
     + """select own.sector, threshold, cutoff, n_kept, (select count(*) from r where r.sector = own.sector and r.score >= th.threshold) as n_at_threshold
