@@ -51,13 +51,14 @@ def caps(counts: DataFrame, shares: DataFrame) -> DataFrame:
     whole = Window.partitionBy("sector")
     s = (
         counts.join(F.broadcast(shares), "sector")
-        .withColumn("through", F.sum("n").over(up)).withColumn("rank", F.row_number().over(up))
+        .withColumn("through", F.sum("n").over(up)).withColumn("rank", F.row_number().over(up)).withColumn("next", F.lead("n").over(up))
         .withColumn("m", F.count("*").over(whole)).withColumn("total", F.sum("n").over(whole)).withColumn("greatest", F.max("n").over(whole))
     )
     # sites up to this one stay whole, the m - rank greater ones are cut to c: c <= share * (through + (m - rank) * c)
     left = F.col("m") - F.col("rank")
-    c = F.floor(F.col("share") * F.col("through") / (1 - F.col("share") * left) + F.lit(1e-9))
-    fits = (F.col("share") * left < 1) & (c >= F.col("n"))
+    exact = F.col("share") * F.col("through") / (1 - F.col("share") * left) + F.lit(1e-9)
+    c = F.floor(exact)
+    fits = (F.col("share") * left < 1) & (exact >= F.col("n")) & (F.col("next").isNull() | (exact < F.col("next") + 1))
     return s.groupBy("sector").agg(
         F.when(F.max("greatest") <= F.max(F.col("share") * F.col("total")), None)
         .when(F.max(F.col("share") * F.col("m")) < 1 - 1e-12, F.max(F.floor(F.col("share") * F.col("total"))))
@@ -102,10 +103,10 @@ rows as (select row_id, nullif(regexp_replace(regexp_replace(regexp_replace(rege
     + case when length(trim(img_alt_text)) > 0 then 0.1::double else 0::double end + case when length(trim(img_title)) > 0 then 0.1::double else 0::double end)) as key from images_meta),
 r as (select row_id, sector, site, key from rows left join known on k = site),
 counts as (select sector, site, count(*)::bigint as n from r where site is not null group by 1, 2),
-s as (select c.sector, site, n, site_max_share as share, sum(n) over up as through, row_number() over up as rank, count(*) over (partition by c.sector) as m,
+s as (select c.sector, site, n, site_max_share as share, sum(n) over up as through, row_number() over up as rank, lead(n) over up as nxt, count(*) over (partition by c.sector) as m,
   sum(n) over (partition by c.sector) as total, max(n) over (partition by c.sector) as greatest_n from counts c join sector_targets t on c.sector = t.sector window up as (partition by c.sector order by n, site)),
 caps as (select sector, case when max(greatest_n) <= max(share * total) then null when max(share * m) < 1 - 1e-12 then max(floor(share * total))
-  else coalesce(max(case when share * (m - rank) < 1 and floor(share * through / (1 - share * (m - rank)) + 1e-9) >= n then floor(share * through / (1 - share * (m - rank)) + 1e-9) end), 0) end::bigint as cap,
+  else coalesce(max(case when share * (m - rank) < 1 and share * through / (1 - share * (m - rank)) + 1e-9 >= n and (nxt is null or share * through / (1 - share * (m - rank)) + 1e-9 < nxt + 1) then floor(share * through / (1 - share * (m - rank)) + 1e-9) end), 0) end::bigint as cap,
   (max(share * m) >= 1 - 1e-12 or max(greatest_n) <= max(share * total)) as met from s group by sector)
 """
 QUERIES = {"p2_capped": p2_capped, "p2_report": p2_report}

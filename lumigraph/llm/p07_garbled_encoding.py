@@ -97,7 +97,7 @@ def _multibyte(text: str) -> str | None:
 
     A span that could be chance counts only beside one that can't.
     """
-    best, gain = None, 0
+    best, gain = None, (0, 0.0)
     for n, (codec, rx, back) in enumerate(_UTF8):
         spans, sure = [], codec not in SIGN_CODECS and n < len(LATIN_CODECS)
         for m in rx.finditer(text):
@@ -112,8 +112,9 @@ def _multibyte(text: str) -> str | None:
             sure |= len(d) > 1 or _latin(d) and (_latin(before) or _latin(after)) or not d.isalpha() and bool(re.search("[A-Za-z]", text))
             spans.append((m.start(), m.end(), d))
         covered = sum(e - s for s, e, _ in spans)
-        if sure and covered > gain:
-            best, gain = _replaced(text, spans), covered
+        rank = covered, _commonness("".join(d for _, _, d in spans))
+        if sure and rank > gain:
+            best, gain = _replaced(text, spans), rank
     for codec, kind, rx, back in _JAPANESE:
         spans, sure = [], False
         for m in rx.finditer(text):
@@ -124,8 +125,8 @@ def _multibyte(text: str) -> str | None:
             sure |= bool(_KANA.search(d)) and len(d) > 1 or kind == "cp932" and (bool(_CONTROL.search(m[0])) or len(d) > 1 and leads)
             spans.append((m.start(), m.end(), d))
         covered = sum(e - s for s, e, _ in spans)
-        if sure and covered > gain and covered >= 0.5 * len(text.strip()):
-            best, gain = _replaced(text, spans), covered
+        if sure and covered > gain[0] and covered >= 0.5 * len(text.strip()):
+            best, gain = _replaced(text, spans), (covered, 0.0)
     return best
 
 
@@ -198,6 +199,12 @@ for _wrong, _right in SINGLE:
             _TABLES[_wrong, _right][ord(_c)] = _d
 
 
+def _commonness(text: str) -> float:
+    """Share of frequent letters among the characters beyond ASCII."""
+    foreign = [c for c in text if ord(c) > 127]
+    return sum(c in _COMMON for c in foreign) / max(1, len(foreign))
+
+
 def _single_byte(text: str) -> str | None:
     """The text read in another single-byte encoding, if that leaves nearly no odd word; null otherwise."""
     odd = _odd_words(text)
@@ -212,8 +219,7 @@ def _single_byte(text: str) -> str | None:
         candidate = text.translate(t)
         if re.fullmatch(r"[^\x00-\x7f]\d{2,}.*", text) and candidate[0] not in _CURRENCY:
             continue
-        foreign = [c for c in candidate if ord(c) > 127]
-        rank = (_odd_words(candidate), 1 - sum(c in _COMMON for c in foreign) / max(1, len(foreign)))
+        rank = (_odd_words(candidate), 1 - _commonness(candidate))
         if rank[0] < odd and rank < least:
             best, least = candidate, rank
     return best if best is not None and least[0] <= odd / 3 else None
