@@ -56,7 +56,7 @@ def caps(counts: DataFrame, shares: DataFrame) -> DataFrame:
     )
     # sites up to this one stay whole, the m - rank greater ones are cut to c: c <= share * (through + (m - rank) * c)
     left = F.col("m") - F.col("rank")
-    exact = F.col("share") * F.col("through") / (1 - F.col("share") * left) + F.lit(1e-9)
+    exact = F.try_divide(F.col("share") * F.col("through"), 1 - F.col("share") * left) + F.lit(1e-9)
     c = F.floor(exact)
     fits = (F.col("share") * left < 1) & (exact >= F.col("n")) & (F.col("next").isNull() | (exact < F.col("next") + 1))
     return s.groupBy("sector").agg(

@@ -110,7 +110,7 @@ def p5_beside_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SQL = r"""
-with best as (select image_url, max_by(score, result_id) as score from web_classifier_results where score is not null and not isnan(score) and score between 0 and 1 and image_url is not null group by 1),
+with best as (select image_url, max_by(score, result_id) as score from web_classifier_results where score is not null and score::varchar <> 'nan' and score between 0 and 1 and image_url is not null group by 1),
 r as (select lower(regexp_replace(sector, '^[\s\x{00A0}]+|[\s\x{00A0}]+$', '', 'g')) as sector, score from images_meta join best using (image_url) where trim(sector) <> ''),
 n as (select sector, count(*) as n_scored from r group by 1),
 t as (select s.sector, keep_fraction, coalesce(n_scored, 0) as n_scored, greatest(least(ceil(keep_fraction * coalesce(n_scored, 0) - 1e-9), coalesce(n_scored, 0)), 0)::bigint as n_target from sector_targets s left join n on s.sector = n.sector),

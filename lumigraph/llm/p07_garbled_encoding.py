@@ -70,6 +70,7 @@ def _automaton(codec: str, kind: str) -> tuple[re.Pattern, dict[int, int]]:
 
 
 _UTF8 = [(c, *_automaton(c, "utf-8")) for c in LATIN_CODECS + OTHER_CODECS]
+_ALIEN = {c: {chr(b) for b in range(0x80, 0xA0) if bytes([b]).decode(c, "replace") not in (chr(b), "�")} for c in LATIN_CODECS + OTHER_CODECS}
 _JAPANESE = [(c, k, *_automaton(c, k)) for k in ("cp932", "euc_jp") for c in ("cp1252", "latin-1", "mac_roman", "cp1251", "cp1250")]
 
 #: Ranges of characters that restored text may hold.
@@ -97,7 +98,7 @@ def _multibyte(text: str) -> str | None:
 
     A span that could be chance counts only beside one that can't.
     """
-    best, gain = None, (0, 0.0)
+    best, gain = None, (0, 0, 0.0)
     for n, (codec, rx, back) in enumerate(_UTF8):
         spans, sure = [], codec not in SIGN_CODECS and n < len(LATIN_CODECS)
         for m in rx.finditer(text):
@@ -112,7 +113,8 @@ def _multibyte(text: str) -> str | None:
             sure |= len(d) > 1 or _latin(d) and (_latin(before) or _latin(after)) or not d.isalpha() and bool(re.search("[A-Za-z]", text))
             spans.append((m.start(), m.end(), d))
         covered = sum(e - s for s, e, _ in spans)
-        rank = covered, _commonness("".join(d for _, _, d in spans))
+        alien = sum(c in _ALIEN[codec] for s, e, _ in spans for c in text[s:e])  # controls where the encoding has a character of its own
+        rank = covered, -alien, _commonness("".join(d for _, _, d in spans))
         if sure and rank > gain:
             best, gain = _replaced(text, spans), rank
     for codec, kind, rx, back in _JAPANESE:
@@ -126,7 +128,7 @@ def _multibyte(text: str) -> str | None:
             spans.append((m.start(), m.end(), d))
         covered = sum(e - s for s, e, _ in spans)
         if sure and covered > gain[0] and covered >= 0.5 * len(text.strip()):
-            best, gain = _replaced(text, spans), (covered, 0.0)
+            best, gain = _replaced(text, spans), (covered, 0, 0.0)
     return best
 
 
