@@ -18,7 +18,7 @@ from lumigraph.session import table
 THRESHOLDS = [0.3, 0.4, 0.5, 0.6, 0.7, 0.8]
 _T = "(values " + ",".join(f"({t}::double)" for t in THRESHOLDS) + ") t(threshold)"
 _GT = "case when result_id % 5 = 0 then null when (result_id * 7919) % 10 < 4 then 1 else 0 end"
-_OK = "score is not null and not isnan(score) and score between 0 and 1"
+_OK = "score is not null and score::varchar <> 'nan' and score between 0 and 1"
 _R = f"with r as (select *, {_GT} as gt from web_classifier_results), v as (select * from r where {_OK}) "
 
 
@@ -80,7 +80,7 @@ _CONF = """count(*) as total, count(*) filter (p = 1) as pred_ai, count(*) filte
 case when count(gt) > 0 then count(*) filter (p = 1 and gt = 1) end as ai_tp, case when count(gt) > 0 then count(*) filter (p = 0 and gt = 1) end as ai_fn, case when count(gt) > 0 then count(*) filter (p = 0 and gt = 0) end as real_tn, case when count(gt) > 0 then count(*) filter (p = 1 and gt = 0) end as real_fp,
 count(*) filter (p = 1 and gt = 1)::double / nullif(count(*) filter (gt = 1), 0) as ai_recall, count(*) filter (p = 0 and gt = 1)::double / nullif(count(*) filter (gt = 1), 0) as ai_fn_rate,
 count(*) filter (p = 0 and gt = 0)::double / nullif(count(*) filter (gt = 0), 0) as real_specificity, count(*) filter (p = 1 and gt = 0)::double / nullif(count(*) filter (gt = 0), 0) as real_fpr"""
-_SWEPT = _R + f", s as (select *, case when not isnan(score) and score >= t.threshold then 1 else 0 end as p, t.threshold as th from r, {_T}) "
+_SWEPT = _R + f", s as (select *, case when score::varchar <> 'nan' and score >= t.threshold then 1 else 0 end as p, t.threshold as th from r, {_T}) "
 
 
 @query("threshold_sweep_global", _SWEPT + f"select th as threshold, {_CONF} from s group by 1")
@@ -271,7 +271,7 @@ def sigmoid_label(spark, d):
     return valid(spark, d).select("result_id", F.round(p, 9).alias("p"), X.label_of(p, 0.6).alias("label"))
 
 
-@query("label_with_nan", "select result_id, case when score is not null and not isnan(score) and score >= 0.6 then 1 else 0 end as label from web_classifier_results")
+@query("label_with_nan", "select result_id, case when score is not null and score::varchar <> 'nan' and score >= 0.6 then 1 else 0 end as label from web_classifier_results")
 def label_with_nan(spark, d):
     return results(spark, d).select("result_id", X.label_of(F.col("score"), 0.6).alias("label"))
 
@@ -281,7 +281,7 @@ def reduce_column(spark, d):
     return S.reduce_column(valid(spark, d).filter("source is not null"), "source", "score", "std", "result_id", ["image_url"])
 
 
-@query("reason_counts", "select reason, n from (select count(*) filter (score is null) as is_null, count(*) filter (isnan(score)) as is_nan, count(*) filter (score < 0) as below, count(*) filter (score > 1 and not isnan(score)) as above from web_classifier_results) unpivot (n for reason in (is_null, is_nan, below, above)) where n > 0")
+@query("reason_counts", "select reason, n from (select count(*) filter (score is null) as is_null, count(*) filter (score::varchar = 'nan') as is_nan, count(*) filter (score < 0) as below, count(*) filter (score > 1 and score::varchar <> 'nan') as above from web_classifier_results) unpivot (n for reason in (is_null, is_nan, below, above)) where n > 0")
 def reason_counts(spark, d):
     s = F.col("score")
     one = results(spark, d).agg(F.count_if(s.isNull()).alias("is_null"), F.count_if(F.isnan(s)).alias("is_nan"), F.count_if(s < 0).alias("below"), F.count_if((s > 1) & ~F.isnan(s)).alias("above"))
