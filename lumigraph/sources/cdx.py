@@ -73,6 +73,7 @@ class CdxSource(DataSource):
 
 
 def read_cdx(spark: SparkSession, urls: list[str], first: int, last: int, fetcher: str, **options: str) -> DataFrame:
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(CdxSource)
     return spark.read.format("cdx").options(urls=" ".join(urls), **{"from": str(first), "to": str(last)}, fetcher=fetcher, **options).load()
 
