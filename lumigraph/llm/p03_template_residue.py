@@ -233,4 +233,9 @@ def p3_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fields_with_residue(table(spark, sf_dir, "images_meta"), FIELDS).groupBy("field_name", "kind").agg(F.count("*").alias("n_fields"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_kinds": p3_kinds}
+def p3_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """row_id of the records that stay."""
+    return without_residue(table(spark, sf_dir, "images_meta"), FIELDS).select("row_id")
+
+
+QUERIES = {"p3_found": p3_found, "p3_clean": p3_clean, "p3_kinds": p3_kinds}

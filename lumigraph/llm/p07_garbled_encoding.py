@@ -8,7 +8,7 @@ it mixes scripts, has a sign inside, changes case within or has hardly a plain l
 if it leaves (nearly) no odd word. Replacement characters and C1 controls are traces of a wrong decoding that can't be
 undone. Plain ASCII fields never leave the JVM; the others go through Arrow, each distinct text judged once a task.
 
-Defined results: null, blank and ASCII texts are no cases; a case that can't be restored (wholly) has restored null;
+Defined results: null, blank and ASCII texts are no cases, nor are rows without an id; a case that can't be restored (wholly) has restored null;
 every row is judged by itself, so repeated rows give repeated results; an empty table gives an empty result.
 """
 
@@ -267,7 +267,7 @@ def repair(text: str | None) -> tuple[bool, str | None]:
 def garbled_fields(df: DataFrame, fields: list[str], id_col: str = "row_id") -> DataFrame:
     """(row_id, field_name, text, restored): one row per field decoded wrongly."""
     long = df.select(F.col(id_col).alias("row_id"), F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("text")) for f in fields])).alias("f"))
-    suspects = long.select("row_id", "f.field_name", "f.text").filter(F.col("text").rlike(r"[^\x00-\x7F]|&#"))
+    suspects = long.select("row_id", "f.field_name", "f.text").filter(F.col("row_id").isNotNull() & F.col("text").rlike(r"[^\x00-\x7F]|&#"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[str, tuple[bool, str | None]] = {}

@@ -8,7 +8,7 @@ length and power of two of its count) and traced back to counts. A pattern is us
 so the work follows the number of different lengths (at most the capacity), not the number of pieces. A task leaves
 one container partly filled at its end; tasks are given so many tokens that this is a small part.
 
-Defined results: null and empty texts have no tokens and take no room: they come out with no container; repeated rows
+Defined results: documents without an id are left out; null and empty texts have no tokens and take no room: they come out with no container; repeated rows
 are separate items; an empty table gives an empty result; ties between patterns go to the longer pieces first.
 """
 
@@ -55,7 +55,7 @@ def measured(docs: DataFrame, tokenizers: str = TOKENIZERS, vocabulary: str = VO
         for b in batches:
             yield pd.DataFrame({"doc_id": b["doc_id"], "n_tokens": [_length(encode, t) for t in b["text"]]})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id bigint, n_tokens bigint")
+    return docs.filter("doc_id is not null").select("doc_id", "text").mapInPandas(run, "doc_id bigint, n_tokens bigint")
 
 
 def _length(encode, text: str | None) -> int:

@@ -12,7 +12,7 @@ Retrieved items are verified on the text: min_words consecutive words, letter ca
 Items are few next to the corpus; they are indexed in blocks of MAX_ITEMS so that what is broadcast stays bounded,
 each block being searched by all texts.
 
-Defined results: null texts leak nothing; items of fewer words than min_words can't leak; repeated documents and items
+Defined results: null texts leak nothing; documents without an id are left out; items of fewer words than min_words can't leak; repeated documents and items
 give one row per pair of ids; an empty table on either side gives an empty result; whole texts are read.
 """
 
@@ -167,7 +167,7 @@ def _search(docs: DataFrame, items: list[tuple[int, str]], min_words: int) -> Da
             flush()
             yield pd.DataFrame(found, columns=["doc_id", "item_id"])
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id bigint, item_id bigint")
+    return docs.filter("doc_id is not null").select("doc_id", "text").mapInPandas(run, "doc_id bigint, item_id bigint")
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ all, and results name classes; only p10_found, whose rows are fixed as pairs of
 A text that repeats a seed inside itself would give a product of matches; there only the first place is joined, and
 the pair is compared by all its windows of the wanted length instead (also exact).
 
-Defined results: null and shorter texts share nothing; equal texts share all of their length; repeated doc_ids count as
+Defined results: null and shorter texts share nothing; documents without an id are left out; equal texts share all of their length; repeated doc_ids count as
 one document; an empty table gives an empty result; no part of a text is left out, however long it is.
 """
 
@@ -138,7 +138,7 @@ def seed_table(docs: DataFrame, min_span: int) -> DataFrame:
 
 def classes(docs: DataFrame, min_span: int) -> DataFrame:
     """(doc_id, c): documents long enough, with the class of their text (64 bits of the text and its length)."""
-    return docs.filter(F.length("text") >= min_span).select("doc_id", F.xxhash64("text", F.length("text")).alias("c"))
+    return docs.filter((F.length("text") >= min_span) & F.col("doc_id").isNotNull()).select("doc_id", F.xxhash64("text", F.length("text")).alias("c"))
 
 
 def class_spans(docs: DataFrame, members: DataFrame, min_span: int = MIN_SPAN) -> DataFrame:
