@@ -108,3 +108,28 @@ def image_features(images: DataFrame, id_col: str = "image_id") -> DataFrame:
             yield pd.DataFrame(rows, columns=[id_col, "dhash", *FOURIER_NAMES])
 
     return images.select(id_col, "width", "height", "pixels").mapInPandas(run, f"{id_col} bigint, dhash bigint, {names}")
+
+
+def butterworth_split(img: np.ndarray, cutoff: float = 0.1, order: int = 2) -> tuple[np.ndarray, np.ndarray]:
+    """(low, noise) by a Butterworth low-pass of the spectrum."""
+    fy, fx = np.fft.fftfreq(img.shape[0])[:, None], np.fft.fftfreq(img.shape[1])[None, :]
+    gain = 1 / (1 + (np.hypot(fy, fx) / cutoff) ** (2 * order))
+    low = np.fft.ifft2(np.fft.fft2(img) * gain).real
+    return low, img - low
+
+
+def log_spectrum(img: np.ndarray) -> np.ndarray:
+    """Centred log magnitude between 0 and 1."""
+    m = np.log1p(np.abs(np.fft.fftshift(np.fft.fft2(img))))
+    span = m.max() - m.min()
+    return (m - m.min()) / span if span else np.zeros_like(m)
+
+
+def fit_square(img: np.ndarray, size: int = 224) -> np.ndarray:
+    """Scaled to fit a square, the rest filled with zeros on both sides."""
+    k = size / max(img.shape)
+    h, w = max(1, round(img.shape[0] * k)), max(1, round(img.shape[1] * k))
+    out = np.zeros((size, size))
+    y, x = (size - h) // 2, (size - w) // 2
+    out[y : y + h, x : x + w] = resize(img, h, w)
+    return out

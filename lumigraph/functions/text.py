@@ -137,3 +137,54 @@ def described(alt: Column, title: Column, host: Column) -> Column:
 def timestamp_of(exif: Column, http: Column) -> Column:
     """The camera's time before the server's."""
     return F.coalesce(F.try_to_timestamp(exif, F.lit("yyyy:MM:dd HH:mm:ss")), F.try_to_timestamp(F.regexp_replace(http, r"^\w{3}, | GMT$", ""), F.lit("dd MMM yyyy HH:mm:ss")))
+
+
+def threshold_column(threshold: float) -> str:
+    """Name of the column that holds predictions at a threshold."""
+    return "pred_t_" + f"{threshold:g}".replace(".", "_")
+
+
+def parse_numbers(text: str) -> list[float]:
+    """Distinct numbers of a comma list, ascending."""
+    return sorted({float(x) for x in text.split(",") if x.strip()})
+
+
+def parse_years(text: str) -> list[int]:
+    """Years of a list with ranges: 2015,2018-2020."""
+    out: set[int] = set()
+    for part in (p.strip() for p in text.split(",")):
+        if "-" in part:
+            a, b = map(int, part.split("-"))
+            out |= set(range(a, b + 1))
+        elif part:
+            out.add(int(part))
+    return sorted(out)
+
+
+def parse_label_map(text: str) -> dict[str, str]:
+    """a=1,b=0 as a map."""
+    return {k.strip().lower(): v.strip() for k, v in (p.split("=", 1) for p in text.split(",") if "=" in p)}
+
+
+def resolve_split(wanted: str, available: list[str]) -> str:
+    """The split asked for, or the usual stand-in where it does not exist."""
+    if wanted in available:
+        return wanted
+    for name in ("test", "validation", "train", *available):
+        if name in available:
+            return name
+    raise ValueError("no split available")
+
+
+def title_label(c: Column) -> Column:
+    return F.initcap(F.replace(c, F.lit("_"), F.lit(" ")))
+
+
+def finite(c: Column, value: float = 0.0) -> Column:
+    """A number, with NaN and infinities replaced."""
+    inf = float("inf")
+    return F.when(F.isnan(c) | (c == inf) | (c == -inf), value).otherwise(c)
+
+
+def code_points(c: Column) -> Column:
+    return F.transform(F.filter(F.split(c, ""), lambda x: x != ""), lambda x: F.ascii(x))

@@ -31,7 +31,9 @@ def quota(df: DataFrame, key: str, quotas: dict, order: str) -> DataFrame:
         return df.limit(0)
     limits = F.create_map(*[F.lit(x) for kv in quotas.items() for x in kv])
     w = Window.partitionBy(key).orderBy(order)
-    return df.filter(F.col(key).isin(list(quotas))).withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") <= limits[F.col(key)]).drop("__rn")
+    ranked = df.filter(F.col(key).isin(list(quotas))).withColumn("__rn", F.row_number().over(w))
+    # the constant bound lets each task drop rows beyond it before the shuffle
+    return ranked.filter(F.col("__rn") <= max(quotas.values())).filter(F.col("__rn") <= limits[F.col(key)]).drop("__rn")
 
 
 def spread(df: DataFrame, key: str, order: str, k: int) -> DataFrame:

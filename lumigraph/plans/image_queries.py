@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lumigraph.functions import text as X
 from lumigraph.functions import url as U
 from lumigraph.operators import dedup as D
+from lumigraph.operators import curves, joins
 from lumigraph.operators import filters as P
 from lumigraph.plans.registry import query
 from lumigraph.session import table
@@ -525,3 +526,67 @@ def hex_similarity(spark, d):
     i = images(spark, d).filter("length(file_hash) = 64")
     first = i.agg(F.min_by("file_hash", "row_id").alias("b"))
     return i.crossJoin(F.broadcast(first)).select("row_id", D.hex_similarity(F.col("file_hash"), F.col("b")).alias("similarity"))  # one row on the right
+
+
+@query("attach_files", """with f as (select stored_path as p from images_meta where row_id % 3 = 0), x as (select row_id, case when row_id % 2 = 0 then stored_path else 'moved/' || stored_filename end as q from images_meta)
+select row_id, coalesce(case when q in (select p from f) then q end, (select min(p) from f where regexp_extract(p, '[^/]*$', 0) = regexp_extract(q, '[^/]*$', 0))) as found_path from x""")
+def attach_files(spark, d):
+    i = images(spark, d)
+    files = i.filter("row_id % 3 = 0").select(F.col("stored_path").alias("path"))
+    moved = F.when(F.col("row_id") % 2 == 0, F.col("stored_path")).otherwise(F.concat(F.lit("moved/"), "stored_filename"))
+    return joins.attach_files(i.select("row_id", moved.alias("q")), files, "q").select("row_id", "found_path")
+
+
+@query("image_references", "select row_id, coalesce(nullif(trim(img_title, ' '), ''), nullif(trim(original_url, ' '), ''), 'index:' || row_id) as ref from images_meta")
+def image_references(spark, d):
+    return images(spark, d).select("row_id", joins.image_reference([F.col("img_title"), F.col("original_url")], F.col("row_id")).alias("ref"))
+
+
+@query("triplets")
+def triplets(spark, d):
+    return joins.triplets(table(spark, d, "embeddings"), "vec_id", "label")
+
+
+@query("updated_column", "select s.url, coalesce(n.n, '') as n_images from sites s left join (select website_url, cast(count(*) as varchar) as n from images_meta group by 1) n on s.url = n.website_url")
+def updated_column(spark, d):
+    n = images(spark, d).groupBy(F.col("website_url").alias("url")).agg(F.count("*").cast("string").alias("n_images"))
+    return joins.updated_column(table(spark, d, "sites").select("url"), n, "url", "n_images")
+
+
+@query("summed_counts", "select sector, count(*) as n from images_meta group by 1")
+def summed_counts(spark, d):
+    i = images(spark, d)
+    part = lambda c: i.filter(c).groupBy("sector").agg(F.count("*").alias("n"))
+    return joins.summed([part("source = 'live'"), part("source <> 'live' or source is null")], ["sector"], "n")
+
+
+@query("priority_order", f"""with x as (select row_id, website_url, regexp_matches(lower({path('page_url')}), 'news|blog|press|media|gallery|about|story|article|report|publication|insight') as pr from images_meta where website_url is not null and page_url is not null)
+select row_id from (select row_id, row_number() over (partition by website_url order by pr desc, row_id) as rn from x) where rn <= 5""")
+def priority_order(spark, d):
+    i = images(spark, d).filter("website_url is not null and page_url is not null")
+    rich = P.contains_any(F.lower(U.path(F.col("page_url"))), P.PRIORITY_PATHS)
+    w = Window.partitionBy("website_url").orderBy(F.desc(rich), "row_id")
+    return i.select("row_id", F.row_number().over(w).alias("rn")).filter("rn <= 5").select("row_id")
+
+
+@query("smallest_per_bucket", "select row_id, aspect from (select row_id, aspect, row_number() over (partition by aspect order by r, row_id) as rn from (select row_id, detected_width::double / detected_height as r, case when detected_width > detected_height then 'wide' else 'tall' end as aspect from images_meta where detected_width > 0 and detected_height > 0)) where rn <= 3")
+def smallest_per_bucket(spark, d):
+    i = images(spark, d).filter("detected_width > 0 and detected_height > 0").select("row_id", (F.col("detected_width").cast("double") / F.col("detected_height")).alias("r"), F.when(F.col("detected_width") > F.col("detected_height"), "wide").otherwise("tall").alias("aspect"))
+    return curves.quota(i.withColumn("o", F.struct("r", "row_id")), "aspect", {"wide": 3, "tall": 3}, "o").select("row_id", "aspect")
+
+
+@query("enumerated_names", "select row_id, 'image_' || lpad(cast(row_number() over (partition by website_url order by row_id) as varchar), 6, '0') as name from images_meta where website_url is not null")
+def enumerated_names(spark, d):
+    rn = F.row_number().over(Window.partitionBy("website_url").orderBy("row_id"))
+    return images(spark, d).filter("website_url is not null").select("row_id", F.concat(F.lit("image_"), F.lpad(rn.cast("string"), 6, "0")).alias("name"))
+
+
+@query("split_by_ads", f"select is_ad, sector, count(*) as n from (select sector, {any_of(_ADTEXT, P.AD_KEYWORDS)} or coalesce((detected_width, detected_height) in {_BANNERS}, false) as is_ad from images_meta) group by 1, 2")
+def split_by_ads(spark, d):
+    ad = P.is_ad([F.col("img_alt_text"), F.col("img_title")], F.col("detected_width"), F.col("detected_height"))
+    return images(spark, d).groupBy(ad.alias("is_ad"), "sector").agg(F.count("*").alias("n"))
+
+
+@query("page_probe", "select page_url, count(*) as n_images, count(distinct image_url) as n_unique from images_meta where page_url is not null group by 1")
+def page_probe(spark, d):
+    return images(spark, d).filter("page_url is not null").groupBy("page_url").agg(F.count("*").alias("n_images"), F.countDistinct("image_url").alias("n_unique"))

@@ -121,3 +121,35 @@ def dataset_split(df: DataFrame, split: str) -> tuple[DataFrame, int]:
 
 def latest_per(df: DataFrame, key: str, order: str) -> DataFrame:
     return df.withColumn("__rn", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))).filter("__rn = 1").drop("__rn")
+
+
+def image_table(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, width, height, channels) of all images below a folder that can be decoded."""
+    df = spark.read.format("image").option("recursiveFileLookup", True).option("dropInvalid", True).load(folder)
+    return df.select(F.col("image.origin").alias("path"), F.col("image.width").alias("width"), F.col("image.height").alias("height"), F.col("image.nChannels").alias("channels"))
+
+
+def image_stats(spark: SparkSession, folder: str) -> DataFrame:
+    """image_table with the bytes of each file counted and digested, its aspect ratio, size bucket and number of equal files."""
+    from lumigraph.functions.text import aspect_ratio, size_bucket
+
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", F.col("length").alias("bytes"), F.sha1("content").alias("sha1_bytes"))
+    same = raw.groupBy("sha1_bytes").agg(F.count("*").alias("duplicate_group_size"))
+    both = image_table(spark, folder).join(raw, "path").join(same, "sha1_bytes")
+    return both.select("*", aspect_ratio(F.col("width"), F.col("height")).alias("aspect_ratio"), size_bucket(F.col("bytes")).alias("size_bucket"))
+
+
+def from_lists(spark: SparkSession, lists: dict[str, str], template: str, label: int) -> DataFrame:
+    """(image, class, split) from text files of names, one per split; template has {name} and {split}."""
+    out = None
+    for split, path in lists.items():
+        names = spark.read.text(path).select(F.trim("value").alias("name")).filter("name <> ''")
+        df = names.select(F.replace(F.replace(F.lit(template), F.lit("{split}"), F.lit(split)), F.lit("{name}"), F.col("name")).alias("image"), F.lit(label).alias("class"), F.lit(split).alias("split"))
+        out = df if out is None else out.unionByName(df)
+    return out
+
+
+def sitemap_entries(xml: DataFrame, url: str = "url", text: str = "xml") -> DataFrame:
+    """(url, kind, loc): page addresses of sitemaps and further sitemaps of sitemap indexes."""
+    loc = F.explode(F.regexp_extract_all(F.col(text), F.lit(r"<loc>\s*([^<]+?)\s*</loc>"), 1)).alias("loc")
+    return xml.select(F.col(url).alias("url"), F.when(F.col(text).contains("<sitemapindex"), "sitemap").otherwise("page").alias("kind"), loc)

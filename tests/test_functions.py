@@ -156,3 +156,28 @@ def test_rules(spark):
     df = spark.createDataFrame([("https://x.doubleclick.net/a.jpg?utm_source=1", "", 728, 90), ("https://h.example/cat.jpg", "A cat on a mat", 800, 600), (None, None, None, None)], "u string, a string, w int, h int")
     got = [r.asDict() for r in df.select(filters.ad_score(F.col("u"), [F.col("a")], F.col("w"), F.col("h")).alias("s")).select("s.*").collect()]
     assert got[0]["score"] == 2 + 3 + 3 + 1 and got[1]["score"] == 0 and got[2] == {"score": 0, "reasons": ""}
+
+
+def test_parsers():
+    assert X.parse_years("2015,2018-2020") == [2015, 2018, 2019, 2020] and X.parse_numbers("0.5,.3,0.5") == [0.3, 0.5]
+    assert X.parse_label_map("Fake=1, real=0") == {"fake": "1", "real": "0"} and X.threshold_column(0.3) == "pred_t_0_3"
+    assert X.resolve_split("dev", ["train", "test"]) == "test"
+
+
+def test_triplets(spark):
+    from lumigraph.operators.joins import triplets
+
+    label = {i: i % 3 for i in range(30)}
+    rows = triplets(spark.createDataFrame(list(label.items()), "i int, l int"), "i", "l").collect()
+    assert len(rows) == 30 and all(label[r.anchor] == label[r.positive] and r.anchor != r.positive and label[r.anchor] != label[r.negative] for r in rows)
+
+
+def test_more_pixels():
+    img = np.random.default_rng(2).normal(size=(20, 30))
+    low, noise = pixels.butterworth_split(img)
+    assert abs(low + noise - img).max() < 1e-9 and pixels.log_spectrum(img).max() == 1.0 and pixels.fit_square(img, 60).shape == (60, 60)
+
+
+def test_small_columns(spark):
+    assert column(spark, [1.0, float("nan"), float("inf")], X.finite, "double") == [1.0, 0.0, 0.0]
+    assert column(spark, ["ab"], X.code_points) == [[97, 98]] and column(spark, ["ai_generated"], X.title_label) == ["Ai Generated"]
