@@ -160,6 +160,8 @@ def _odd(word: str, in_latin: bool) -> bool:
     """Whether a word looks like a single-byte encoding read as another."""
     if word.isascii():
         return False
+    if word in ("¬", "√"):
+        return in_latin
     letters = [c for c in word if c.isalpha() and c not in "ªºµ"]
     scripts = {_script(c) for c in letters}
     if len(scripts) > 1 or any("ﬀ" <= c <= "ﬆ" or "─" <= c <= "▟" for c in word) or _CONTROL.search(word):
@@ -172,7 +174,7 @@ def _odd(word: str, in_latin: bool) -> bool:
     elif in_latin and scripts and scripts <= {"C", "G"} and (len(letters) == 1 or scripts == {"C"} and not set(letters) <= _RUSSIAN):
         return True
     for a, b in zip(core, core[1:]):
-        if a.islower() and b.isupper() and (ord(b) > 127 or scripts != {"L"}):
+        if a.islower() and b.isupper() and (ord(a) > 127 or ord(b) > 127 or scripts != {"L"}):
             return True
         if a.isupper() and b.islower() and ord(b) > 127 and core[:2] != a + b and scripts == {"L"} and core.upper() != core and sum(c.isupper() for c in letters) > 2:
             return True
