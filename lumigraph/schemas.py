@@ -12,7 +12,7 @@ BLOBS = "key string, value binary"
 DATASET = "image string, class int, split string"
 
 #: Names under which tools look for the same column, in their order.
-SCORE_NAMES = ["score", "spai", "prediction", "confidence"]
+SCORE_NAMES = ["score", "prediction", "confidence"]
 LABEL_NAMES = ["predicted_label", "pred", "prediction_label", "label"]
 TRUTH_NAMES = ["gt_label", "ground_truth_label", "ground_truth", "gt", "target"]
 MODEL_NAMES = ["model_name", "image_model", "model", "generator"]

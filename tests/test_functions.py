@@ -62,10 +62,10 @@ def test_text_functions(spark):
 
 
 def test_column_resolution(spark):
-    df = spark.createDataFrame([(1, 0.5, " ")], "id int, SPAI double, category string")
-    assert resolve_column(df, SCORE_NAMES) == "SPAI"
-    assert resolve_column(df, ["none"], numeric_fallback=True, ignore=("id",)) == "SPAI"
-    assert with_defaults(df, {"category": "general", "extra": "x"}).first().asDict() == {"id": 1, "SPAI": 0.5, "category": "general", "extra": "x"}
+    df = spark.createDataFrame([(1, 0.5, " ")], "id int, Prediction double, category string")
+    assert resolve_column(df, SCORE_NAMES) == "Prediction"
+    assert resolve_column(df, ["none"], numeric_fallback=True, ignore=("id",)) == "Prediction"
+    assert with_defaults(df, {"category": "general", "extra": "x"}).first().asDict() == {"id": 1, "Prediction": 0.5, "category": "general", "extra": "x"}
 
 
 PAGE = """<title>T</title><h1>Head</h1><figure><img data-src="/x.jpg"><figcaption>Caption</figcaption></figure>
