@@ -228,3 +228,8 @@ def p10_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p10_found": p10_found, "p10_shares": p10_shares}
+SQL = {
+    "p10_found": """with w as (select distinct doc_id, hash(substring(text, i, 400)) as h from documents, range(1, length(text) - 398) t(i) where length(text) >= 400),
+    s as (select h from w group by 1 having count(*) > 1), v as (select w.* from w join s using (h))
+    select distinct a.doc_id as doc_id_a, b.doc_id as doc_id_b from v a join v b on a.h = b.h and a.doc_id < b.doc_id"""
+}
