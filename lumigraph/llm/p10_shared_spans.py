@@ -23,12 +23,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumigraph.llm import text_seeds
+from lumigraph.operators.skew import salted_self_join
 from lumigraph.session import persist_shared, table
 
 MIN_SPAN = 400
 #: Chaining: cost of a character between two anchors, and the widest gap inside one fuzzy passage.
 GAP_COST = 0.02
 PASSAGE_GAP = 60
+#: Texts that share a seed from which on their pairs are made by several tasks.
+ROWS_PER_SALT = 2000
 #: Up to so many representatives (8 bytes each) are broadcast to fetch their texts; beyond it they are joined by shuffle.
 MAX_BROADCAST_IDS = 1_000_000
 
@@ -147,7 +150,8 @@ def class_spans(docs: DataFrame, members: DataFrame, min_span: int = MIN_SPAN) -
     long = docs.filter(F.length("text") >= min_span).withColumn("c", F.xxhash64("text", F.length("text")))
     seeds = persist_shared(seed_table(long, min_span).dropDuplicates(["h", "c"]), "seeds")
     a, b = seeds.select("h", *[F.col(x).alias(f"a_{x}") for x in ("c", "pos", "again")]), seeds.select("h", *[F.col(x).alias(f"b_{x}") for x in ("c", "pos", "again")])
-    matches = a.join(b, "h").filter("a_c < b_c")
+    counts = seeds.groupBy("h").agg(F.count("*").alias("n"))
+    matches = salted_self_join(a, b, "h", counts, "n", "a_c", ROWS_PER_SALT).filter("a_c < b_c")
     pairs = matches.groupBy(F.col("a_c").alias("ca"), F.col("b_c").alias("cb")).agg(
         F.collect_list("a_pos").alias("pa"), F.collect_list("b_pos").alias("pb"), F.max(F.col("a_again") | F.col("b_again")).alias("again")
     )

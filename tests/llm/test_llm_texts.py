@@ -106,6 +106,14 @@ def test_p10_against_brute_force(spark):
     assert p10.document_pairs(df.limit(0).select("doc_id", "text"), 40).count() == 0
 
 
+def test_p10_common_span_is_salted(spark, monkeypatch):
+    monkeypatch.setattr(p10, "ROWS_PER_SALT", 10)
+    rng = random.Random(11)
+    common = "".join(rng.choices("abcdefgh", k=60))
+    texts = [(i, "".join(rng.choices("abcdefgh", k=50)) + common + "".join(rng.choices("abcdefgh", k=50))) for i in range(70)]
+    assert p10.document_pairs(spark.createDataFrame(texts, "doc_id bigint, text string"), 40).count() == 70 * 69 // 2
+
+
 def test_p10_chain_is_collinear():
     c = p10.chain([(0, 0), (10, 10), (20, 5), (30, 30), (30, 31), (40, 12)], 5)
     assert c[0] == (0, 0) and all(a < b and x < y for (a, x), (b, y) in zip(c, c[1:])) and len(c) == 3
