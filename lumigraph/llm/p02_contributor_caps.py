@@ -22,6 +22,8 @@ from lumigraph.session import persist_shared, table
 SEED = "caps"
 #: Pixels from which an image has full quality, and the least weight of a record.
 FULL_QUALITY_PIXELS, LEAST_WEIGHT = 1920 * 1080, 0.05
+#: Records a site may have where the cap is a count.
+MOST = 500
 
 
 def site_key(c: Column) -> Column:
@@ -67,6 +69,11 @@ def caps(counts: DataFrame, shares: DataFrame) -> DataFrame:
     )
 
 
+def count_caps(counts: DataFrame, most: int) -> DataFrame:
+    """The same form of caps for one largest number of records per contributor."""
+    return counts.select("sector").distinct().select("sector", F.lit(most).cast("bigint").alias("cap"), F.lit(True).alias("met"))
+
+
 def _planned(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     rows = contributions(table(spark, sf_dir, "images_meta"), table(spark, sf_dir, "sites"))
     shares = table(spark, sf_dir, "sector_targets").select("sector", F.col("site_max_share").alias("share")).filter("share is not null")
@@ -95,6 +102,12 @@ def p2_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def p2_capped_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records when no site may have more than MOST of them."""
+    rows, counts, _ = _planned(spark, sf_dir)
+    return capped(rows, counts, count_caps(counts.filter("site is not null"), MOST)).select("row_id", "sector", "site")
+
+
 _SQL = r"""
 with known as (select regexp_replace(regexp_replace(lower(url), '^[a-z]+:/+(www\.)?', ''), '/+$', '') as site, sector from sites),
 rows as (select row_id, nullif(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(regexp_replace(website_url, '^[\s\x{00A0}]+|[\s\x{00A0}]+$', '', 'g')), '^[a-z]+:/+', ''), '^www\.', ''), '[?#].*$', ''), '/+$', ''), '') as k,
@@ -109,9 +122,10 @@ caps as (select sector, case when max(greatest_n) <= max(share * total) then nul
   else coalesce(max(case when share * (m - rank) < 1 and share * through / (1 - share * (m - rank)) + 1e-9 >= n and (nxt is null or share * through / (1 - share * (m - rank)) + 1e-9 < nxt + 1) then floor(share * through / (1 - share * (m - rank)) + 1e-9) end), 0) end::bigint as cap,
   (max(share * m) >= 1 - 1e-12 or max(greatest_n) <= max(share * total)) as met from s group by sector)
 """
-QUERIES = {"p2_capped": p2_capped, "p2_report": p2_report}
+QUERIES = {"p2_capped": p2_capped, "p2_capped_count": p2_capped_count, "p2_report": p2_report}
 SQL = {
     "p2_capped": _SQL
     + "select row_id, sector, site from (select r.*, cap, row_number() over (partition by r.site order by key desc, row_id) as rn from r left join caps on r.sector = caps.sector) where site is null or cap is null or rn <= cap",
+    "p2_capped_count": _SQL + "select row_id, sector, site from (select r.*, row_number() over (partition by site order by key desc, row_id) as rn from r) where site is null or rn <= 500",
     "p2_report": _SQL + "select counts.sector, site, n as n_records, cap, met, least(n, coalesce(cap, n)) as n_kept from counts left join caps using (sector)",
 }
