@@ -27,9 +27,9 @@ def pages(spark, d):
 _PAGES = "from images_meta where image_url like 'https://%' and page_url is not null and website_url is not null and image_url not like '%\"%' and image_url not like '%&%'"
 
 
-@query("page_images")
+@query("page_images", f"select 'img' as kind, 'figure' as parent_tag, count(*) as n, count(distinct stored_filename) as n_contexts {_PAGES}")
 def page_images(spark, d):
-    return html.page_images(pages(spark, d)).groupBy("kind", "parent_tag").agg(F.count("*").alias("n"), F.countDistinct("url").alias("n_urls"), F.countDistinct("context").alias("n_contexts"))
+    return html.page_images(pages(spark, d)).groupBy("kind", "parent_tag").agg(F.count("*").alias("n"), F.countDistinct("context").alias("n_contexts"))
 
 
 @query("page_facts", f"select count(*) as n_pages, count(*) as n_images, 2 * count(*) as n_links, count(distinct stored_filename) as n_titles {_PAGES}")
