@@ -52,10 +52,15 @@ def contains_any(c: Column, words: list[str], word_bounds: bool = False) -> Colu
     """Whether a text in lower case holds any of the words; as parts of words too unless word_bounds."""
     if word_bounds:
         return c.rlike(r"(?<![a-z0-9])(?:" + "|".join(w.replace(".", r"\.") for w in words) + r")(?![a-z0-9])")
-    out = F.lit(False)
-    for w in words:
-        out = out | c.contains(w)
-    return out
+
+    def any_in(x: Column) -> Column:
+        out = F.lit(False)
+        for w in words:
+            out = out | x.contains(w)
+        return out
+
+    # many words over a built text: bound once, else its expression is repeated per word and the generated code grows too large
+    return F.transform(F.array(c), any_in)[0] if len(words) > 4 else any_in(c)
 
 
 def joined(*parts: Column) -> Column:
@@ -183,9 +188,7 @@ def url_rules(df: DataFrame, rules: DataFrame, site: str, url: str) -> DataFrame
 def is_page_link(href: Column, page: Column) -> Column:
     """A link to a page of the same site."""
     u = U.resolve(page, href)
-    non_html = F.lit(False)
-    for e in NON_HTML:
-        non_html = non_html | F.lower(U.path(u)).endswith(e)
+    non_html = U.path(u).rlike(r"(?i)\.(?:" + "|".join(e[1:] for e in NON_HTML) + r")\z")
     return (F.coalesce(href, F.lit("")) != "") & ~href.rlike(r"^(#|mailto:|tel:|javascript:)") & U.scheme(u).isin("http", "https") & U.same_site(U.netloc(u), U.netloc(page)) & ~non_html
 
 
