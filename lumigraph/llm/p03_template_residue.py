@@ -6,7 +6,8 @@ texts, so there the inside must be a name of at least three letters and nothing
 content. Bare values (null, undefined, NaN) and numbered slots count only where they fill the field; error numbers
 only beside a status phrase. In longer texts (code listings, tutorials) a sign in backquotes or beside a word like
 "template", "syntax" or "variable" is a mention, and residue must be dense: at least DENSITY of the text. All tests
-are regular expressions inside the JVM, so the operator is a single pass without a shuffle.
+are regular expressions inside the JVM, so the operator is a single pass without a shuffle. Messages are known in any
+case of their letters and without accents.
 
 Defined results: null and blank fields are no cases; every row is judged by itself, so repeated rows give repeated
 results; an empty table gives an empty result; further columns are ignored; whole texts are read.
@@ -14,11 +15,28 @@ results; an empty table gives an empty result; further columns are ignored; whol
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumigraph.session import table
 
+#: Letters with accents by their bare letters, as messages in capitals often lack the accents; combining accents go.
+_BARE = {c: unicodedata.normalize("NFD", c)[0] for c in map(chr, [*range(0xE0, 0x180), *range(0x386, 0x460), *range(0x1E00, 0x2000)]) if c == c.lower() and len(unicodedata.normalize("NFD", c)) > 1} | {"ς": "σ", "’": "'"}
+_ACCENTS = "".join(map(chr, range(0x300, 0x370)))
+
+
+def bare(text: str) -> str:
+    """A text (or pattern) in lower case without accents."""
+    return text.translate(str.maketrans("".join(_BARE), "".join(_BARE.values()), _ACCENTS))
+
+
+def bare_column(c: Column) -> Column:
+    lower = F.lower(c)
+    return F.when(lower.rlike(r"[^\x00-\x7F]"), F.translate(lower, "".join(_BARE) + _ACCENTS, "".join(_BARE.values()))).otherwise(lower)
+
+
 #: The inside of a placeholder: a name, and what may follow it (a filter, a default); a longer name between single signs.
 NAME = r"[$@]?[a-z_][a-z0-9_.:\-]*(?:\s*[|(?][^{}<>\[\]]{0,40}?)?"
 LONG_NAME = r"[a-z_][a-z0-9_.:\-]{2,}"
@@ -44,11 +62,11 @@ _GRAMMARS = [rf"{o}\s*{NAME}\s*(?:{c}|…|\.\.\.)" for o, c in DELIMITERS]
 _CUT = [rf"(?:{o})\s*[$@]?[a-z_][a-z0-9_.:|\-]*\s*$" for o, _ in DELIMITERS[:9]]
 _SINGLE = [rf"\{{{LONG_NAME}{FILTER}\}}", rf"(?<![\p{{L}}\p{{N}}])%{LONG_NAME}{FILTER}%(?![\p{{L}}\p{{N}}])", rf"(?<![\p{{L}}\p{{N}}])\${LONG_NAME}{FILTER}\$(?![\p{{L}}\p{{N}}])"]
 _SLOTS = [r"(?<![\p{L}\p{N}%])%(?:\d+\$)?s(?![\p{L}\p{N}])", r"^[\s\p{P}\p{S}]*\{\d+\}(?:[\s\p{P}\p{S}]*\{\d+\})*[\s\p{P}\p{S}]*$"]
-PLACEHOLDER = "(?i)" + "|".join([*_GRAMMARS, *_CUT, *_SINGLE, *_SLOTS])
+PLACEHOLDER = "(?iu)" + "|".join([*_GRAMMARS, *_CUT, *_SINGLE, *_SLOTS])
 
 #: What programs print for missing values and keys.
 _VALUE = r"(?:null|undefined|nan|none)"
-VALUES = "(?i)" + "|".join([
+VALUES = "(?iu)" + "|".join([
     rf"^[\s\p{{P}}\p{{S}}]*{_VALUE}(?:[\s\p{{P}}\p{{S}}]+{_VALUE})*[\s\p{{P}}\p{{S}}]*$",
     rf"^\p{{L}}+\s?:\s*{_VALUE}[\s.!]*$",
     rf"\b(?:of|by|de|von|image|photo)\s+{_VALUE}[\s.!]*$",
@@ -63,8 +81,8 @@ _LATIN = (
     r"|nostr(?:ud|um)|ullam\p{L}*|laboris|nisi|commodo|duis|aute|irure|velit|esse|cillum|fugiat|nulla|pariatur|excepteur|sint|occaecat|cupidatat|mollit|anim|laborum)"
 )
 #: Filler texts and notes to the editor, by language.
-REPEATED = r"(?i)^[\s\p{P}]*(?:(\p{L})\1{2,}[\s\p{P}]+)+(?:\p{L}{1,4}[\s\p{P}]*)?$"
-FILLER = "(?i)" + "|".join([
+REPEATED = r"(?iu)^[\s\p{P}]*(?:(\p{L})\1{2,}[\s\p{P}]+)+(?:\p{L}{1,4}[\s\p{P}]*)?$"
+FILLER = "(?iu)" + bare("|".join([
     r"\blorem\s+(?:ipsum|ip?s?u?$)|^\s*lorem[\s.…]*$", rf"\b(?:{_LATIN}\b[\s\p{{P}}]*){{3}}", rf"^\s*(?:{_LATIN}\b[\s\p{{P}}]*){{2,}}\p{{L}}{{0,5}}[\s\p{{P}}]*$",
     r"\b(?:blah[\s,]+){1,}bla", r"^\s*(?:test[\s\p{P}]+)+(?:test|\d+)?[\s\p{P}]*$", r"\b(?:asdf|qwerty|qwer|foobar)\b", r"\bsample text\b", r"\bplaceholder text\b",
     r"^\s*(?:edit|put|type|insert|write|add|enter|place|your)\s+(?:(?:an?|the|your)\s+)?(?:(?:image|photo|picture|figure)\s+)?(?:caption|description|alt text|alternative text|headline|title|name of the)\b",
@@ -76,14 +94,14 @@ FILLER = "(?i)" + "|".join([
     r"\b(?:saisissez|saisir|ins[ée]rez|ins[ée]rer|[ée]crivez|[ée]crire|entrez|tapez|ajoutez)\b.{0,30}\b(?:l[ée]gende|description|titre|texte)\b.{0,12}\bici\b|\btexte d.exemple\b",
     r"\bbeispieltext\b|\bhier\b.{0,40}\beingeben\b|\bplatzhaltertext\b|\bbitte ersetzen\b",
     r"введите (?:описание|подпись|текст)|пример текста|образец текста|εισαγ[άα]γετε|κείμενο (?:παραδείγματος|δείγμα)|ここに.{0,20}(?:入力|記入)|サンプルテキスト|ダミーテキスト",
-])
+]))
 
 #: Status phrases and error messages, by language.
 _STATUS = (
     r"(?:not found|bad (?:gateway|request)|gone|forbidden|unauthori[sz]ed|payment required|method not allowed|not acceptable|conflict|too many requests"
     r"|request time-?out|gateway time-?out|service (?:temporarily )?unavailable|internal (?:server )?error|not implemented|unavailable)"
 )
-ERRORS = "(?i)" + "|".join([
+ERRORS = "(?iu)" + bare("|".join([
     rf"\b[45]\d\d\b[\s\p{{P}}\p{{S}}]*{_STATUS}\b", rf"\b{_STATUS}[\s\p{{P}}\p{{S}}]*\(?[45]\d\d\b",
     rf"\b(?:http|status(?: code)?|error(?: code)?)[\s:#]*[45]\d\d[\s\p{{P}}\p{{S}}]*(?:$|{_STATUS})", r"\bHTTP [45]\d\d\b",
     r"\b(?:page|file|image|resource) not found\b(?=\s*(?:$|[.!…|:–\-]))", r"\brequested (?:address|page|url|resource|file)\b.{0,20}\b(?:not|could)\b", r"\bpage you (?:are looking for|requested)\b",
@@ -97,11 +115,11 @@ ERRORS = "(?i)" + "|".join([
     r"\bpage introuvable\b|\bacc[èe]s refus[ée]\b|\bla session a expir[ée]\b|\berreur (?:interne|\d{3})\b|\bune erreur (?:est survenue|s.est produite)\b|\br[ée]essayer plus tard\b",
     r"\bseite nicht gefunden\b|\bzugriff verweigert\b|\bfehler \d{3}\b|\bsp[äa]ter (?:erneut|noch einmal) versuchen\b|\binterner serverfehler\b|\bsitzung (?:ist )?abgelaufen\b",
     r"страница не найдена|доступ (?:запрещ[её]н|закрыт)|внутренняя ошибка|ошибка \d{3}|η σελίδα δεν (?:βρέθηκε|υπάρχει)|δεν επιτρέπεται η πρόσβαση|σφάλμα \d{3}|εσωτερικό σφάλμα|ページが見つかりません|アクセス(?:が)?拒否|エラーが発生|内部サーバー",
-])
+]))
 
 #: Notices that scripts are needed, by language.
 _SCRIPT = r"(?:java[\s\-]?script|\bjs\b|\bscripts\b|\bscripting\b|\bscript support\b)"
-SCRIPTS = "(?i)" + "|".join([
+SCRIPTS = "(?iu)" + bare("|".join([
     rf"\b(?:enable|activate|allow|turn on|switch on|unblock)\s+{_SCRIPT}", rf"\b(?:requires?|needs?)\s+{_SCRIPT}", rf"\bturn\s+{_SCRIPT}\s+on\b",
     rf"{_SCRIPT}\s+(?:is|are|must be|has to be|have to be|needs? to be|was|were|seems?(?: to be)?)\s+(?:currently\s+)?(?:disabled|turned off|switched off|blocked|enabled|allowed|activated|turned on|switched on|required|needed|off)\b",
     r"\bthis (?:site|page|gallery|app|slideshow|website|content)\s+(?:doesn.t|does not|won.t|will not) work\b", r"\byou need to (?:enable|activate|allow|turn on) ",
@@ -110,7 +128,7 @@ SCRIPTS = "(?i)" + "|".join([
     r"\bactiver (?:le )?(?:javascript|java script|les scripts|scripts)\b|\bne fonctionne pas sans\b|\bactivez (?:le )?javascript\b",
     r"\bjavascript (?:aktivieren|einschalten|erlauben)\b|\bskripte (?:aktivieren|erlauben|einschalten)\b|\baktivierte skripte\b|\bbitte javascript\b",
     r"включите javascript|javascript (?:отключен|отключён|выключен)|(?:требуется|необходим) javascript|ενεργοποιήστε (?:την |το )?javascript|javascript\s?を有効|スクリプトを有効|javascript\s?が(?:無効|必要)",
-])
+]))
 
 #: For each kind of residue pieces of text one of which every case holds (in lower case). They are looked for first,
 #: as a search for fixed pieces costs a small part of a search for the patterns.
@@ -135,7 +153,7 @@ TRIGGERS = {
 def _may_be(kind: str, lower: Column) -> Column:
     out = F.lit(False)
     for t in TRIGGERS[kind]:
-        out = out | lower.contains(t)
+        out = out | lower.contains(bare(t))
     return out
 
 
@@ -158,7 +176,7 @@ LEAST_BEGINNING = 12
 
 #: Least share of a long text that placeholders must take up, and from what length on a text is long.
 DENSITY, LONG_TEXT = 0.02, 400
-_MENTION = r"(?i)`[^`]*`|\b(?:syntax|templating|tutorial|example code|snippet|curly braces?|placeholder called|variable named)\b"
+_MENTION = r"(?iu)`[^`]*`|\b(?:syntax|templating|tutorial|example code|snippet|curly braces?|placeholder called|variable named)\b"
 
 #: Signs that may be written as character references or percent escapes.
 _ESCAPES = [
@@ -173,15 +191,16 @@ def signs_unescaped(c: Column) -> Column:
     """Template signs written as escapes, read as signs (escapes of escapes too)."""
     c = F.regexp_replace(F.regexp_replace(c, r"(?i)&amp;(?=#|[a-z]{2,8};)", "&"), r"(?i)%25(?=[0-9a-f]{2})", "%")
     for pattern, sign in _ESCAPES:
-        c = F.regexp_replace(c, "(?i)" + pattern, sign)
+        c = F.regexp_replace(c, "(?iu)" + pattern, sign)
     return c
 
 
-def cut_short(x: Column) -> Column:
-    """Whether a field is no more than the beginning of a known message."""
-    start = F.lower(F.regexp_replace(x, r"^\s+|[\s.…]+$", ""))
-    heads = [b[:LEAST_BEGINNING] for b in BEGINNINGS]
-    return F.substring(start, 1, LEAST_BEGINNING).isin(heads) & F.exists(F.array(*map(F.lit, BEGINNINGS)), lambda m: m.startswith(start))
+def cut_short(lower: Column) -> Column:
+    """Whether a field (in bare form) is no more than the beginning of a known message."""
+    start = F.regexp_replace(lower, r"^\s+|[\s.…]+$", "")
+    beginnings = [bare(b) for b in BEGINNINGS]
+    heads = [b[:LEAST_BEGINNING] for b in beginnings]
+    return F.substring(start, 1, LEAST_BEGINNING).isin(heads) & F.exists(F.array(*map(F.lit, beginnings)), lambda m: m.startswith(start))
 
 
 def residue_kind(c: Column) -> Column:
@@ -193,14 +212,14 @@ def residue_kind(c: Column) -> Column:
         return (
             F.when(_may_be("placeholder", lower) & x.rlike(PLACEHOLDER) & dense, "placeholder")
             .when(_may_be("value", lower) & x.rlike(VALUES), "value")
-            .when(x.rlike(REPEATED) | _may_be("filler", lower) & x.rlike(FILLER), "filler")
-            .when(_may_be("error", lower) & x.rlike(ERRORS), "error")
-            .when(_may_be("scripts", lower) & x.rlike(SCRIPTS), "scripts")
-            .when(cut_short(x), "error")
+            .when(x.rlike(REPEATED) | _may_be("filler", lower) & lower.rlike(FILLER), "filler")
+            .when(_may_be("error", lower) & lower.rlike(ERRORS), "error")
+            .when(_may_be("scripts", lower) & lower.rlike(SCRIPTS), "scripts")
+            .when(cut_short(lower), "error")
         )
 
     def judged(text: Column) -> Column:
-        return F.transform(F.array(F.struct(text.alias("x"), F.lower(text).alias("lower"))), lambda t: kind(t["x"], t["lower"]))[0]
+        return F.transform(F.array(F.struct(text.alias("x"), bare_column(text).alias("lower"))), lambda t: kind(t["x"], t["lower"]))[0]
 
     plain = F.regexp_replace(c, r"[\s\x{00A0}\x{200B}\x{FEFF}]+", " ")
     escaped = (c.contains("%") | c.contains("&")) & c.rlike(r"(?i)%[0-9a-f]{2}|&#?\w+;")

@@ -1,6 +1,7 @@
 """Problems 1 to 7 on small tables: nulls, blanks, ties, repeats, empty tables, clashing names; against brute force."""
 
 import random
+import unicodedata
 
 import numpy as np
 import pytest
@@ -126,6 +127,20 @@ def test_p3_rows(spark):
     assert one is None
 
 
+MESSAGES = [
+    "Página no encontrada", "Página não encontrada", "Pàgina no trobada", "Accès refusé : la session a expiré!", "Später erneut versuchen", "Страница не найдена", "Доступ запрещён", "Внутренняя ошибка", "Введите описание", "Включите JavaScript",
+    "Η σελίδα δεν βρέθηκε", "Δεν επιτρέπεται η πρόσβαση", "Εσωτερικό σφάλμα", "Εισαγάγετε περιγραφή", "Ενεργοποιήστε την JavaScript", "Page not found", "Insérez la légende ici", "Escriba aquí", "S’ha produït un error",
+]
+
+
+def test_p3_messages_in_any_case(spark):
+    """Capitals (with and without accents), sentence case and decomposed letters, alone and beside real text."""
+    forms = [f for m in MESSAGES for f in (m, m.upper(), p3.bare(m.lower()).upper(), m.lower(), unicodedata.normalize("NFD", m.upper()))]
+    texts = [t for f in forms for t in (f, f + " - Μουσείο / Museum")]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").filter(p3.residue_kind(F.col("t")).isNull()).collect()
+    assert [r["t"] for r in got] == []
+
+
 def test_p3_triggers_lose_nothing(spark):
     """The search for fixed pieces gives what the patterns alone give."""
     df = spark.read.parquet("/root/testdata/sf0.01/images_meta.parquet").select(F.explode(F.array("img_alt_text", "img_title")).alias("t")).filter("t is not null").distinct()
