@@ -15,7 +15,10 @@ results; an empty table gives an empty result; further columns are ignored; whol
 
 from __future__ import annotations
 
+import re
 import unicodedata
+from re import _constants as _sre
+from re import _parser as _sre_parser
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,7 +26,7 @@ from pyspark.sql import functions as F
 from lumigraph.session import table
 
 #: Letters with accents by their bare letters, as messages in capitals often lack the accents; combining accents go.
-_BARE = {c: unicodedata.normalize("NFD", c)[0] for c in map(chr, [*range(0xE0, 0x180), *range(0x386, 0x460), *range(0x1E00, 0x2000)]) if c == c.lower() and len(unicodedata.normalize("NFD", c)) > 1} | {"ς": "σ", "’": "'"}
+_BARE = {c: unicodedata.normalize("NFD", c)[0] for c in map(chr, [*range(0xE0, 0x180), *range(0x386, 0x460), *range(0x1E00, 0x2000)]) if c == c.lower() and len(unicodedata.normalize("NFD", c)) > 1} | {"ς": "σ", "ſ": "s", "ı": "i", "’": "'"}
 _ACCENTS = "".join(map(chr, range(0x300, 0x370)))
 
 
@@ -37,6 +40,37 @@ def bare_column(c: Column) -> Column:
     return F.when(lower.rlike(r"[^\x00-\x7F]"), F.translate(lower, "".join(_BARE) + _ACCENTS, "".join(_BARE.values()))).otherwise(lower)
 
 
+def _pieces(nodes) -> frozenset[str] | None:
+    """Pieces of text (in lower case) one of which every match of a parsed pattern holds; null where none is certain."""
+    found, run = [], ""
+    for op, arg in [*nodes, (None, None)]:
+        if op is _sre.LITERAL:
+            run += chr(arg).lower()
+            continue
+        if run:
+            found.append(frozenset([run]))
+        run = ""
+        if op is _sre.SUBPATTERN:
+            found.append(_pieces(arg[3]))
+        elif op is _sre.BRANCH:
+            parts = [_pieces(b) for b in arg[1]]
+            found.append(None if None in parts else frozenset().union(*parts))
+        elif op is _sre.MAX_REPEAT and arg[0] >= 1:
+            found.append(_pieces(arg[2]))
+        elif op is _sre.IN and all(o is _sre.LITERAL for o, _ in arg):
+            found.append(frozenset(chr(c).lower() for _, c in arg))
+    return max((f for f in found if f), key=lambda f: (min(map(len, f)), -len(f)), default=None)
+
+
+def triggers(patterns: list[str]) -> list[str] | None:
+    """Pieces of text one of which every case of the patterns holds; null where a pattern has none."""
+    found = [_pieces(_sre_parser.parse(re.sub(r"\\p\{\w+\}", r"\\w", p).replace("(?iu)", "").replace("(?i)", ""))) for p in patterns]
+    if None in found:
+        return None
+    every = frozenset().union(*found)
+    return sorted(t for t in every if not any(u != t and u in t for u in every))
+
+
 #: The inside of a placeholder: a name, and what may follow it (a filter, a default); a longer name between single signs.
 NAME = r"[$@]?[a-z_][a-z0-9_.:\-]*(?:\s*[|(?][^{}<>\[\]]{0,40}?)?"
 LONG_NAME = r"[a-z_][a-z0-9_.:\-]{2,}"
@@ -130,30 +164,17 @@ SCRIPTS = "(?iu)" + bare("|".join([
     r"включите javascript|javascript (?:отключен|отключён|выключен)|(?:требуется|необходим) javascript|ενεργοποιήστε (?:την |το )?javascript|javascript\s?を有効|スクリプトを有効|javascript\s?が(?:無効|必要)",
 ]))
 
-#: For each kind of residue pieces of text one of which every case holds (in lower case). They are looked for first,
-#: as a search for fixed pieces costs a small part of a search for the patterns.
-TRIGGERS = {
-    "placeholder": ["{", "%", "$", "<%", "<?", "<!", "[[", "[%", "*|", "@@", "##", "__"],
-    "value": ["null", "undefined", "nan", "none", "no value", "[object", "#", "translation", "i18n", "."],
-    "filler": [
-        "lorem", "ipsum", "dolor", "amet", "consec", "adipisc", "eiusmod", "tempor", "incididunt", "labor", "magna", "aliqu", "minim", "veniam", "nostr", "ullam", "commodo", "irure", "velit", "cillum", "fugiat", "nulla",
-        "pariatur", "excepteur", "sint", "occaecat", "cupidatat", "mollit", "blah", "test", "asdf", "qwer", "foobar", "sample", "placeholder", "caption", "description", "alt text", "alternative", "headline", "title", "name of the",
-        "goes here", "in this box", "publish", "tktk", "aqu", "exempl", "ejempl", "muestra", "mostra", "introdu", " ici", "beispiel", "platzhalter", "eingeben", "ersetzen", "введите", "текста", "εισαγ", "κείμενο", "入力", "記入", "テキスト",
-    ],
-    "error": [
-        "not found", "bad gateway", "bad request", "gone", "forbidden", "unauthori", "payment", "not allowed", "acceptable", "conflict", "too many", "timeout", "time-out", "time out", "unavailable", "internal", "not implemented", "http", "status",
-        "error", "requested", "page you", "session", "in again", "denied", "permission", "not available", "memory", "undefined", "exception", "wrong", "could not", "failed to", "timed out", "later", "temporarily", "blocked", "browser",
-        "verify", "encontrad", "denegad", "intent", "int\u00e9nt", "vuelva", "ocurrido", "sesi", "negado", "novamente", "ocorreu", "trobada", "produ", "denegat", "introuvable", "refus", "expir", "erreur", "essayer", "gefunden",
-        "verweigert", "fehler", "versuchen", "abgelaufen", "страница", "доступ", "ошибка", "σελίδα", "πρόσβαση", "σφάλμα", "ページ", "アクセス", "エラー", "サーバー",
-    ],
-    "scripts": ["script", "js", "skript", "n't work", "n\u2019t work", "not work", "this site", "this page", "this gallery", "this app", "this slideshow", "this website", "this content", "you need to", "fonctionne", "cal activar", "necesario habilitar", "スクリプト"],
-}
+#: For each kind of residue pieces of text one of which every case holds, taken from the patterns. They are looked for first, as a
+#: search for fixed pieces costs a small part of a search for the patterns.
+TRIGGERS = {kind: triggers([p]) for kind, p in (("placeholder", PLACEHOLDER), ("value", VALUES), ("filler", FILLER), ("error", ERRORS), ("scripts", SCRIPTS))}
 
 
 def _may_be(kind: str, lower: Column) -> Column:
+    if TRIGGERS[kind] is None:
+        return F.lit(True)
     out = F.lit(False)
     for t in TRIGGERS[kind]:
-        out = out | lower.contains(bare(t))
+        out = out | lower.contains(t)
     return out
 
 

@@ -1,10 +1,13 @@
 """Problems 1 to 7 on small tables: nulls, blanks, ties, repeats, empty tables, clashing names; against brute force."""
 
 import random
+import re
 import unicodedata
 
 import numpy as np
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lumigraph.llm import bounded_rank, repeat_filter
@@ -141,6 +144,22 @@ def test_p3_messages_in_any_case(spark):
     assert [r["t"] for r in got] == []
 
 
+@settings(max_examples=100, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.data())
+@pytest.mark.parametrize("kind, pattern", [("placeholder", p3.PLACEHOLDER), ("value", p3.VALUES), ("filler", p3.FILLER), ("error", p3.ERRORS), ("scripts", p3.SCRIPTS)])
+def test_p3_triggers_hold_of_what_patterns_make(kind, pattern, data):
+    plain = re.sub(r"\\p\{([LN])\}|\\p\{([PS])\}", lambda m: "a-z" if m[1] else "!-/", pattern.replace(r"\p{L}*", "[a-z]*").replace(r"\p{L}+", "[a-z]+").replace(r"\p{L}{", "[a-z]{"))
+    plain = re.sub(r"\(\?<!\\\.\(.*?\)\)", "", plain)  # look-behinds of several widths
+    text = data.draw(st.from_regex(plain.replace("(?iu)", "(?i)")))
+    assert any(t in p3.bare(text.lower()) for t in p3.TRIGGERS[kind]), text
+
+
+def test_p3_cases_that_triggers_lost(spark):
+    lost = ["Erro interno do servidor", "Foto: erro interno", "elit, sed do", "Duis aute", "sed quis nisi", "esse anim", "sit enim elit", "HTTP 503", "Error 404", "Sitzung ist abgelaufen"]
+    got = spark.createDataFrame([(t,) for t in lost], "t string").filter(p3.residue_kind(F.col("t")).isNull()).collect()
+    assert [r["t"] for r in got] == []
+
+
 def test_p3_triggers_lose_nothing(spark):
     """The search for fixed pieces gives what the patterns alone give."""
     df = spark.read.parquet("/root/testdata/sf0.01/images_meta.parquet").select(F.explode(F.array("img_alt_text", "img_title")).alias("t")).filter("t is not null").distinct()
