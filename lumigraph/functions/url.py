@@ -23,6 +23,12 @@ _NETLOC = r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//([^/?#]*)"
 _PATH = r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?(?://[^/?#]*)?([^?#]*)"
 
 
+def stripped(u: Column) -> Column:
+    """An address without white space around it, and without the line ends and tabs inside that parsers of addresses pass over."""
+    space = r"[\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+    return F.regexp_replace(F.regexp_replace(u, rf"^{space}|{space}\z", ""), r"[\t\r\n]", "")
+
+
 def scheme(u: Column) -> Column:
     return F.lower(F.regexp_extract(u, _SCHEME, 1))
 

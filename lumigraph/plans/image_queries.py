@@ -72,6 +72,12 @@ def link_normalise(spark, d):
     return images(spark, d).filter("image_url not like '%\n%' and image_url not like '%\r%'").select("row_id", U.normalise_link(F.col("image_url")).alias("link"))
 
 
+@query("link_normalise_all")
+def link_normalise_all(spark, d):
+    """Of every record, those with line ends in or around their address too."""
+    return images(spark, d).select("row_id", U.normalise_link(U.stripped(F.col("image_url"))).alias("link"))
+
+
 _TRACK = "'" + "','".join(U.TRACKING_PARAMS) + "'"
 _FULL = "case when contains(original_url, '://') then original_url else 'https://' || original_url end"
 
@@ -176,6 +182,11 @@ def safe_filename(spark, d):
     return images(spark, d).filter("image_url like 'https://%'").select("row_id", U.safe_filename(F.col("image_url")).alias("file"))
 
 
+@query("safe_filename_all")
+def safe_filename_all(spark, d):
+    return images(spark, d).select("row_id", U.safe_filename(F.col("image_url")).alias("file"))
+
+
 @query("url_keys", "select row_id, sha1(concat_ws('|', page_url, image_url, row_id)) as stem, md5(image_url) as url_hash, sha1(split_part(split_part(trim(image_url, ' '), '?', 1), '#', 1)) as canonical_key, md5(image_url || coalesce(nullif(crawl_date, ''), 'unknown')) as image_id from images_meta where image_url is not null and trim(image_url, ' ') <> ''")
 def url_keys(spark, d):
     u = F.col("image_url")
@@ -198,6 +209,11 @@ def norm_text(spark, d):
     return images(spark, d).filter("length(coalesce(img_title, '')) < 380").select("row_id", X.normal(F.col("img_title")).alias("title"), X.normal_meta(F.col("img_title")).alias("meta"))
 
 
+@query("norm_text_all")
+def norm_text_all(spark, d):
+    return images(spark, d).select("row_id", X.normal(F.col("img_title")).alias("title"), X.normal_meta(F.col("img_title")).alias("meta"))
+
+
 @query("clean_text", "with x as (select doc_id, trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g'), ' ') as t from documents) select doc_id, case when length(t) > 300 then rtrim(substr(t, 1, 300), ' ') || '...' else t end as head from x")
 def clean_text(spark, d):
     return table(spark, d, "documents").select("doc_id", X.clean(F.col("text")).alias("head"))
@@ -466,6 +482,11 @@ def canonical_key(spark, d):
     return images(spark, d).filter("image_url like 'https://%'").select("row_id", D.canonical_image_key(F.col("image_url")).alias("image_key"))
 
 
+@query("canonical_key_all")
+def canonical_key_all(spark, d):
+    return images(spark, d).select("row_id", D.canonical_image_key(U.stripped(F.col("image_url"))).alias("image_key"))
+
+
 @query("canonical_key_best", _CANON + "select k as image_key, row_id from (select *, row_number() over (partition by k order by coalesce(w * h, 0) desc, coalesce(w, 0) desc, coalesce(h, 0) desc, row_id) as rn from k) where rn = 1")
 def canonical_key_best(spark, d):
     w, h = F.col("detected_width"), F.col("detected_height")
@@ -473,6 +494,14 @@ def canonical_key_best(spark, d):
     return D.best_of_group(i, "image_key", [w * h, w, h], "row_id").select("image_key", "row_id")
 
 
+@query("canonical_key_best_all")
+def canonical_key_best_all(spark, d):
+    """Records without a key (no address, or one that is not http) all stay."""
+    w, h = F.col("detected_width"), F.col("detected_height")
+    i = images(spark, d).select(D.canonical_image_key(U.stripped(F.col("image_url"))).alias("image_key"), "row_id", "detected_width", "detected_height")
+    return D.best_of_group(i, "image_key", [w * h, w, h], "row_id").select("image_key", "row_id")
+
+
 @query("exact_hash_dups", "select row_id, n as group_size from images_meta join (select file_hash, count(*) as n from images_meta group by 1 having count(*) > 1) using (file_hash)")
 def exact_hash_dups(spark, d):
     i = images(spark, d)
@@ -487,7 +516,7 @@ def url_size_canonical(spark, d):
 
 @query("signature_dups")
 def signature_dups(spark, d):
-    i = images(spark, d).filter("detected_width > 0 and detected_height > 0")
+    i = images(spark, d)
     sig = D.metadata_signatures(F.col("website_url"), {"alt_text": F.col("img_alt_text"), "title_text": F.col("img_title")}, F.col("detected_width"), F.col("detected_height"))
     return D.signature_owners(i.select("row_id", sig.alias("signatures")), "row_id", "signatures")
 

@@ -47,6 +47,42 @@ def frontier_queue(spark, d):
     return crawl.frontier_queue(pages(spark, d), table(spark, d, "images_meta").filter("website_url is not null").select(F.col("website_url").alias("url"))).select("url")
 
 
+def whole_pages(spark, d):
+    """A page per image record as in pages(), of every record: signs with a meaning in HTML are written as character references."""
+    def written(c):
+        for sign, reference in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+            c = F.replace(c, F.lit(sign), F.lit(reference))
+        return F.coalesce(c, F.lit(""))
+
+    name = written(F.col("stored_filename"))
+    body = F.concat(
+        F.lit("<html><head><title>"), name, F.lit('</title></head><body><figure><img src="'), written(F.col("image_url")), F.lit('" width="'), F.coalesce("detected_width", F.lit(0)),
+        F.lit('"><figcaption>'), name, F.lit('</figcaption></figure><a href="/news/'), "row_id", F.lit('?x=1#y">n</a> <a class="b" href="mailto:x@h.example">m</a></body></html>'),
+    )
+    return table(spark, d, "images_meta").select("row_id", F.col("page_url").alias("url"), body.alias("html"), "image_url", "stored_filename")
+
+
+@query("page_images_all")
+def page_images_all(spark, d):
+    return html.page_images(whole_pages(spark, d)).groupBy("kind", "parent_tag").agg(F.count("*").alias("n"), F.countDistinct("context").alias("n_contexts"))
+
+
+@query("page_facts_all")
+def page_facts_all(spark, d):
+    return html.page_facts(whole_pages(spark, d)).agg(F.count("*").alias("n_pages"), F.sum("n_images").alias("n_images"), F.sum("n_links").alias("n_links"), F.countDistinct("title").alias("n_titles"))
+
+
+@query("page_links_all")
+def page_links_all(spark, d):
+    return crawl.page_links(whole_pages(spark, d)).select("url", "link", "is_priority")
+
+
+@query("frontier_queue_all")
+def frontier_queue_all(spark, d):
+    visited = table(spark, d, "images_meta").filter("website_url is not null").select(F.col("website_url").alias("url"))
+    return crawl.frontier_queue(whole_pages(spark, d).filter("url is not null"), visited).select("url")
+
+
 @query("pages_per_site", "select row_id from (select row_id, row_number() over (partition by website_url order by wayback_year desc nulls last, row_id) as rn from images_meta where website_url is not null) where rn <= 10")
 def pages_per_site(spark, d):
     i = table(spark, d, "images_meta").filter("website_url is not null").select("row_id", "website_url", "wayback_year")
