@@ -2,7 +2,7 @@
 
 The history is kept as sorted runs of keys in the shared folder, one run per load, split into key ranges; there is one
 key for the file hash and one for the picture address (multi-key sorted neighbourhood). A load holds one or more
-batches. Its keys are sorted into the same ranges, and only ranges that the load touches are read; equal keys are
+batches; a later job opens the history again by its folder. Its keys are sorted into the same ranges, and only ranges that the load touches are read; equal keys are
 neighbours there, so the window around a new record is the stretch of its own key. Records that repeat the history
 come out at once. Between the batches of one load a record counts only once it is accepted: rounds decide all records
 whose earlier neighbours are decided, until none is left (at most one round per batch, few in practice). The keys of
@@ -15,6 +15,7 @@ never compared; repeated row_ids get one verdict; an empty table gives an empty
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -84,10 +85,39 @@ def entries(df: DataFrame, id_col: str = "row_id", date: str = "crawl_date", has
 
 
 class History:
-    """Sorted runs of the keys of accepted records."""
+    """Sorted runs of the keys of accepted records; a path that holds a history is read again.
+
+    Manifests name the runs that count: each change writes the next one under another name and renames it, so that a
+    broken job leaves the last whole history, and of two jobs that change one history at once the later fails.
+    """
 
     def __init__(self, spark: SparkSession, path: str | None = None):
-        self.spark, self.path, self.runs = spark, path or f"{shared_dir(spark)}/history-{uuid.uuid4().hex}", []
+        self.spark, self.path = spark, (path or f"{shared_dir(spark)}/history-{uuid.uuid4().hex}").rstrip("/")
+        self._hadoop = spark._jvm.org.apache.hadoop
+        self._fs = self._hadoop.fs.Path(self.path).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+        found = self._fs.globStatus(self._hadoop.fs.Path(f"{self.path}/_manifest-*")) or []
+        self.version = max((int(f.getPath().getName().rpartition("-")[2]) for f in found), default=0)
+        self.runs = []
+        if self.version:
+            stream = self._fs.open(self._hadoop.fs.Path(self._manifest(self.version)))
+            try:
+                names = json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+            finally:
+                stream.close()
+            self.runs = [f"{self.path}/{n}" for n in names]
+
+    def _manifest(self, version: int) -> str:
+        return f"{self.path}/_manifest-{version:09d}"
+
+    def _commit(self, runs: list[str]) -> None:
+        new, target = (self._hadoop.fs.Path(p) for p in (f"{self.path}/_new-{uuid.uuid4().hex}", self._manifest(self.version + 1)))
+        stream = self._fs.create(new, False)
+        stream.write(bytearray(json.dumps([r.rpartition("/")[2] for r in runs]).encode()))
+        stream.close()
+        if self._fs.exists(target) or not self._fs.rename(new, target):
+            self._fs.delete(new, False)
+            raise RuntimeError(f"{self.path} was changed by another job")
+        self.version, self.runs = self.version + 1, runs
 
     def keys(self, ranges: list[int] | None = None) -> DataFrame | None:
         if not self.runs:
@@ -98,7 +128,7 @@ class History:
     def _write(self, keys: DataFrame, runs: list[str]) -> None:
         run = f"{self.path}/run={uuid.uuid4().hex}"
         keys.withColumn("range", _range(F.col("k1"))).repartition(RANGES, "range").sortWithinPartitions("range", "k1", "k2").write.partitionBy("range").parquet(run)
-        self.runs = [*runs, run]
+        self._commit([*runs, run])
 
     def append(self, keys: DataFrame) -> None:
         self._write(keys, self.runs)

@@ -276,3 +276,24 @@ def test_p7_rows(spark):
     df = spark.createDataFrame([(1, "aÃ±o", None, "x"), (2, "", "año", "x"), (1, "aÃ±o", None, "x")], "row_id bigint, img_alt_text string, organization_name string, text string")
     assert [(r["row_id"], r["field_name"], r["restored"]) for r in p7.garbled_fields(df, p7.FIELDS).collect()] == [(1, "img_alt_text", "año")] * 2
     assert p7.garbled_fields(df.limit(0), p7.FIELDS).count() == 0
+
+
+def test_p4_history_opened_again(spark, tmp_path, monkeypatch):
+    """Batches loaded by one job each, into a history known by its path only, give what one job gives; whole before and after compaction."""
+    monkeypatch.setattr(p4, "MAX_RUNS", 2)
+    rng = random.Random(44)
+    rows = [(i, f"2024010{i // 20 + 1}", f"{rng.randrange(40):064x}".replace("0", "a", 1), f"https://h.example/{rng.randrange(60)}.jpg") for i in range(100)]
+    df = spark.createDataFrame(rows, "row_id bigint, crawl_date string, file_hash string, image_url string")
+    want = {r["row_id"] for r in p4.repeats_of_history(spark, df).collect()}
+    got = set()
+    for day in range(1, 6):
+        history = p4.History(spark, f"file://{tmp_path}/h")
+        assert (history.version > 0) == (day > 1)
+        got |= {r["id"] for r in history.load(p4.entries(df.filter(F.col("crawl_date") == f"2024010{day}"))).collect()}
+    assert got == want and want
+    one, other = p4.History(spark, f"file://{tmp_path}/h"), p4.History(spark, f"file://{tmp_path}/h")
+    assert len(one.runs) <= 2
+    keys = one.keys().select("k1", "k2").limit(1)
+    one.append(keys)
+    with pytest.raises(RuntimeError):
+        other.append(keys)
