@@ -5,7 +5,8 @@ that was cut short). Escaped signs are read as signs. Single braces, percent and
 texts, so there the inside must be a name of at least three letters and nothing else; numbers, lists and spaces are
 content. Bare values (null, undefined, NaN) and numbered slots count only where they fill the field; error numbers
 only beside a status phrase. In longer texts (code listings, tutorials) a sign in backquotes or beside a word like
-"template", "syntax" or "variable" is a mention, and residue must be dense: at least DENSITY of the text. All tests
+"template", "syntax" or "variable" is a mention, and residue must be dense: at least DENSITY of the text. In texts of any
+length signs are passed over that the words beside them or backquotes show to be mentions. All tests
 are regular expressions inside the JVM, so the operator is a single pass without a shuffle. Messages are known in any
 case of their letters and without accents.
 
@@ -98,6 +99,15 @@ _SINGLE = [rf"\{{{LONG_NAME}{FILTER}\}}", rf"(?<![\p{{L}}\p{{N}}])%{LONG_NAME}{F
 _SLOTS = [r"(?<![\p{L}\p{N}%])%(?:\d+\$)?s(?![\p{L}\p{N}])", r"^[\s\p{P}\p{S}]*\{\d+\}(?:[\s\p{P}\p{S}]*\{\d+\})*[\s\p{P}\p{S}]*$"]
 PLACEHOLDER = "(?iu)" + "|".join([*_GRAMMARS, *_CUT, *_SINGLE, *_SLOTS])
 
+#: Signs that a text of any length talks about: in backquotes, behind a word for them or before one; in quotes where the text is about templates.
+_SIGN = "(?:" + "|".join([*_GRAMMARS, *_SINGLE, *_SLOTS[:1]]) + ")"
+_ABOUT = r"(?:syntax|templating|tutorial|placeholders?|template (?:tags?|syntax|languages?|variables?|engines?))"
+MENTIONED = "(?iu)" + "|".join([
+    r"`[^`]*`", rf"\b(?:(?:how to|to) (?:use|write|escape)|(?:placeholder|variable|tag|expression|string|template)s?(?: (?:called|named|like))?|such as|syntax)[\s:]+[\"'“‘«]?{_SIGN}",
+    rf"{_SIGN}[\"'”’»]?\s+(?:{_ABOUT}\b|(?:in|inside|within|from|for|of)\s+(?:(?:an?|the|your|our)\s+)?(?:\p{{L}}+\s+)?(?:templates?\b|{_ABOUT}\b))",
+    rf"(?<=\b{_ABOUT}\b.{{0,200}})[\"'“‘«]{_SIGN}[\"'”’»]|[\"'“‘«]{_SIGN}[\"'”’»](?=.*\b{_ABOUT}\b)",
+])
+
 #: What programs print for missing values and keys.
 _VALUE = r"(?:null|undefined|nan|none)"
 VALUES = "(?iu)" + "|".join([
@@ -230,8 +240,9 @@ def residue_kind(c: Column) -> Column:
     def kind(x: Column, lower: Column) -> Column:
         spans = F.length(F.regexp_replace(x, PLACEHOLDER, ""))
         dense = (F.length(x) < LONG_TEXT) | ((F.length(x) - spans) / F.length(x) >= DENSITY) & ~x.rlike(_MENTION)
+        told = F.regexp_replace(x, MENTIONED, " ").rlike(PLACEHOLDER)
         return (
-            F.when(_may_be("placeholder", lower) & x.rlike(PLACEHOLDER) & dense, "placeholder")
+            F.when(_may_be("placeholder", lower) & x.rlike(PLACEHOLDER) & dense & told, "placeholder")
             .when(_may_be("value", lower) & x.rlike(VALUES), "value")
             .when(x.rlike(REPEATED) | _may_be("filler", lower) & lower.rlike(FILLER), "filler")
             .when(_may_be("error", lower) & lower.rlike(ERRORS), "error")

@@ -160,6 +160,13 @@ def test_p3_cases_that_triggers_lost(spark):
     assert [r["t"] for r in got] == []
 
 
+def test_p3_mentions_in_short_texts(spark):
+    sound = ["How to use {{name}} in templates", "Screenshot of the {{user}} syntax tutorial", "Slide: `{% if %}` on a screen", "A page about the placeholder {{title}}", 'Tutorial slide showing "{{name}}" on a wall', "The ${user} variable: how to write ${user}"[26:]]
+    bad = ["{{template}}", "The template maker Smith – {{alt}}", "{{alt}} – The template maker Smith", '"{{title}}"', 'Photo "{{title}}" by Smith', "{{alt}} How to use {{name}} in templates", "Syntax, oak relief {{caption}}"]
+    got = {r["t"]: r["k"] for r in spark.createDataFrame([(t,) for t in sound + bad], "t string").select("t", p3.residue_kind(F.col("t")).alias("k")).collect()}
+    assert [t for t in sound if got[t]] == [] and [t for t in bad if not got[t]] == []
+
+
 def test_p3_triggers_lose_nothing(spark):
     """The search for fixed pieces gives what the patterns alone give."""
     df = spark.read.parquet("/root/testdata/sf0.01/images_meta.parquet").select(F.explode(F.array("img_alt_text", "img_title")).alias("t")).filter("t is not null").distinct()
