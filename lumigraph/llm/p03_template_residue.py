@@ -73,7 +73,7 @@ def triggers(patterns: list[str]) -> list[str] | None:
 
 
 #: The inside of a placeholder: a name, and what may follow it (a filter, a default); a longer name between single signs.
-NAME = r"[$@]?[a-z_][a-z0-9_.:\-]*(?:\s*[|(?][^{}<>\[\]]{0,40}?)?"
+NAME = r"[$@]?[\p{L}_][\p{L}\p{M}\p{N}_.:\-]*(?:\s*[|(?][^{}<>\[\]]{0,40}?)?"
 LONG_NAME = r"[a-z_][a-z0-9_.:\-]{2,}"
 FILTER = r"(?:\s*\|{1,2}\s*[^{}%$]{1,30})?"
 #: Opening and closing signs of template languages (patterns).
@@ -93,8 +93,14 @@ DELIMITERS = [
     (r"(?<![\p{L}\p{N}_])__", r"__(?![\p{L}\p{N}_])"),
 ]
 _GRAMMARS = [rf"{o}\s*{NAME}\s*(?:{c}|…|\.\.\.)" for o, c in DELIMITERS]
+#: Between double signs anything short with a letter: keywords, calls, indexes.
+_GRAMMARS += [
+    r"\{\{[^{}]{0,80}?\p{L}[^{}]{0,80}?\}\}", r"\{%[^{}%]{0,80}?\p{L}[^{}%]{0,80}?%\}", r"\$\{[^{}]{0,80}?\p{L}[^{}]{0,80}?\}",
+    r"<%.{0,80}?\p{L}.{0,80}?%>", r"<\?(?:=|php\b).{0,80}?\p{L}.{0,80}?\?>",
+]
 #: A field cut short behind an opening sign.
-_CUT = [rf"(?:{o})\s*[$@]?[a-z_][a-z0-9_.:|\-]*\s*$" for o, _ in DELIMITERS[:9]]
+_CUT = [rf"(?:{o})\s*[$@]?[\p{{L}}_][\p{{L}}\p{{M}}\p{{N}}_.:|\-]*\s*$" for o, _ in DELIMITERS[:9]]
+_CUT += [r"(?:\{\{|\{%|<%|<\?(?:=|php\b))[^{}<>%]{0,80}?\p{L}[^{}<>%]{0,80}[}%?]?\s*$"]
 _SINGLE = [rf"\{{{LONG_NAME}{FILTER}\}}", rf"(?<![\p{{L}}\p{{N}}])%{LONG_NAME}{FILTER}%(?![\p{{L}}\p{{N}}])", rf"(?<![\p{{L}}\p{{N}}])\${LONG_NAME}{FILTER}\$(?![\p{{L}}\p{{N}}])"]
 _SLOTS = [r"(?<![\p{L}\p{N}%])%(?:\d+\$)?s(?![\p{L}\p{N}])", r"^[\s\p{P}\p{S}]*\{\d+\}(?:[\s\p{P}\p{S}]*\{\d+\})*[\s\p{P}\p{S}]*$"]
 PLACEHOLDER = "(?iu)" + "|".join([*_GRAMMARS, *_CUT, *_SINGLE, *_SLOTS])
@@ -204,6 +210,8 @@ BEGINNINGS = [
 ]
 #: Least length at which a beginning tells.
 LEAST_BEGINNING = 12
+#: What stands between real text and a message.
+SEPARATOR = r"\s+[|/·•»›–—-]+\s+"
 
 #: Least share of a long text that placeholders must take up, and from what length on a text is long.
 DENSITY, LONG_TEXT = 0.02, 400
@@ -227,11 +235,16 @@ def signs_unescaped(c: Column) -> Column:
 
 
 def cut_short(lower: Column) -> Column:
-    """Whether a field (in bare form) is no more than the beginning of a known message."""
-    start = F.regexp_replace(lower, r"^\s+|[\s.…]+$", "")
+    """Whether a field (in bare form), or a part of it between separators, is no more than the beginning of a known message."""
     beginnings = [bare(b) for b in BEGINNINGS]
     heads = [b[:LEAST_BEGINNING] for b in beginnings]
-    return F.substring(start, 1, LEAST_BEGINNING).isin(heads) & F.exists(F.array(*map(F.lit, beginnings)), lambda m: m.startswith(start))
+
+    def is_beginning(part: Column) -> Column:
+        start = F.regexp_replace(part, r"^\s+|[\s.…]+$", "")
+        return F.substring(start, 1, LEAST_BEGINNING).isin(heads) & F.exists(F.array(*map(F.lit, beginnings)), lambda m: m.startswith(start))
+
+    parts = F.split(lower, SEPARATOR)
+    return is_beginning(lower) | F.when(lower.rlike(SEPARATOR), F.exists(parts, is_beginning)).otherwise(False)
 
 
 def residue_kind(c: Column) -> Column:
