@@ -6,7 +6,11 @@ brought together). The cap of a sector is the greatest c for which min(n, c) rec
 the sector's share of what is left; it is solved from the counts per site. Where a sector has too few sites for that
 (share times sites below one) the share is taken of all its records instead, and the report says so.
 
-Defined results: records whose site is not known belong to no contributor and stay; so do those of sectors without a
+p2_capped_org and p2_capped_count_org settle records of unknown sites by their organization_name: the one site that the
+table of sites has for it, else the name itself, in the sector of its sites or, without any, of most of its records.
+
+Defined results: records whose site is not known belong to no contributor and stay (in the queries named _org: those whose
+site and organisation are not known); so do those of sectors without a
 share; widths and heights that are null, zero or negative count as the least quality; equal keys are settled by the
 smaller row_id; repeated rows are separate records; an empty table gives an empty result; of further columns none is used.
 """
@@ -39,12 +43,33 @@ def quality(width: Column, height: Column, alt: Column, title: Column) -> Column
     return F.greatest(F.lit(LEAST_WEIGHT), F.least(F.lit(1.0), w * h / FULL_QUALITY_PIXELS) * 0.8 + told(alt) + told(title))
 
 
-def contributions(images: DataFrame, sites: DataFrame, seed: str = SEED) -> DataFrame:
+def contributions(images: DataFrame, sites: DataFrame, seed: str = SEED, further: dict[str, Column] | None = None) -> DataFrame:
     """(row_id, sector, site, contributor, key) of every record; sector and site as settled by the table of sites (null: unknown)."""
     known = sites.select(site_key(F.col("url")).alias("site"), F.col("sector").alias("settled"), F.lit(True).alias("known")).dropDuplicates(["site"])
     weight = quality(F.col("detected_width"), F.col("detected_height"), F.col("img_alt_text"), F.col("img_title"))
-    rows = images.select("row_id", site_key(F.col("website_url")).alias("site"), F.pow(uniform(seed, F.col("row_id")), 1 / weight).alias("key"))
-    return rows.join(known, "site", "left").select("row_id", F.col("settled").alias("sector"), F.when(F.col("known"), F.col("site")).alias("site"), "key")
+    rows = images.select("row_id", site_key(F.col("website_url")).alias("site"), F.pow(uniform(seed, F.col("row_id")), 1 / weight).alias("key"), *[c.alias(k) for k, c in (further or {}).items()])
+    return rows.join(known, "site", "left").select("row_id", F.col("settled").alias("sector"), F.when(F.col("known"), F.col("site")).alias("site"), "key", *(further or {}))
+
+
+def organisation_key(c: Column) -> Column:
+    """A name without letter case and runs of white space; null where blank."""
+    return F.nullif(F.trim(F.regexp_replace(F.lower(c), r"[\s\x{00A0}]+", " ")), F.lit(""))
+
+
+def contributions_by_organisation(images: DataFrame, sites: DataFrame, seed: str = SEED) -> DataFrame:
+    """contributions(), where records of unknown sites belong to their organisation: its only site, else "organisation: name"."""
+    further = {"org": organisation_key(F.col("organization_name")), "own": F.col("sector")}
+    rows = persist_shared(contributions(images, sites, seed, further), "rows")
+    unknown = rows.filter("site is null and org is not null")
+    of_sites = sites.select(organisation_key(F.col("organization_name")).alias("org"), site_key(F.col("url")).alias("s"), F.col("sector").alias("settled")).filter("org is not null and s is not null").groupBy("org").agg(
+        F.min("s").alias("s"), F.countDistinct("s").alias("n_sites"), F.mode("settled", True).alias("of_sites")
+    )
+    of_records = unknown.filter("own is not null").groupBy("org", "own").count().groupBy("org").agg(F.min_by("own", F.struct(-F.col("count"), "own")).alias("of_records"))
+    names = unknown.select("org").distinct().join(of_sites, "org", "left").join(of_records, "org", "left").select(
+        "org", F.coalesce("of_sites", "of_records").alias("to_sector"), F.when(F.col("n_sites") == 1, F.col("s")).otherwise(F.concat(F.lit("organisation: "), "org")).alias("to_site")
+    )
+    settled = unknown.join(names, "org").select("row_id", F.col("to_sector").alias("sector"), F.col("to_site").alias("site"), "key")
+    return rows.filter("site is not null or org is null").select("row_id", "sector", "site", "key").unionByName(settled)
 
 
 def caps(counts: DataFrame, shares: DataFrame) -> DataFrame:
@@ -74,8 +99,8 @@ def count_caps(counts: DataFrame, most: int) -> DataFrame:
     return counts.select("sector").distinct().select("sector", F.lit(most).cast("bigint").alias("cap"), F.lit(True).alias("met"))
 
 
-def _planned(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    rows = contributions(table(spark, sf_dir, "images_meta"), table(spark, sf_dir, "sites"))
+def _planned(spark: SparkSession, sf_dir: str, settle=contributions) -> tuple[DataFrame, DataFrame, DataFrame]:
+    rows = settle(table(spark, sf_dir, "images_meta"), table(spark, sf_dir, "sites"))
     shares = table(spark, sf_dir, "sector_targets").select("sector", F.col("site_max_share").alias("share")).filter("share is not null")
     counts = persist_shared(rows.groupBy("sector", "site").agg(F.count("*").alias("n")), "counts")
     return rows, counts, persist_shared(caps(counts.filter("site is not null"), shares), "caps")
@@ -108,6 +133,16 @@ def p2_capped_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return capped(rows, counts, count_caps(counts.filter("site is not null"), MOST)).select("row_id", "sector", "site")
 
 
+def p2_capped_org(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """p2_capped with records of unknown sites counted and capped by their organisation."""
+    return capped(*_planned(spark, sf_dir, contributions_by_organisation)).select("row_id", "sector", "site")
+
+
+def p2_capped_count_org(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, counts, _ = _planned(spark, sf_dir, contributions_by_organisation)
+    return capped(rows, counts, count_caps(counts.filter("site is not null"), MOST)).select("row_id", "sector", "site")
+
+
 _SQL = r"""
 with known as (select regexp_replace(regexp_replace(lower(url), '^[a-z]+:/+(www\.)?', ''), '/+$', '') as site, sector from sites),
 rows as (select row_id, nullif(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(regexp_replace(website_url, '^[\s\x{00A0}]+|[\s\x{00A0}]+$', '', 'g')), '^[a-z]+:/+', ''), '^www\.', ''), '[?#].*$', ''), '/+$', ''), '') as k,
@@ -122,7 +157,7 @@ caps as (select sector, case when max(greatest_n) <= max(share * total) then nul
   else coalesce(max(case when share * (m - rank) < 1 and share * through / (1 - share * (m - rank)) + 1e-9 >= n and (nxt is null or share * through / (1 - share * (m - rank)) + 1e-9 < nxt + 1) then floor(share * through / (1 - share * (m - rank)) + 1e-9) end), 0) end::bigint as cap,
   (max(share * m) >= 1 - 1e-12 or max(greatest_n) <= max(share * total)) as met from s group by sector)
 """
-QUERIES = {"p2_capped": p2_capped, "p2_capped_count": p2_capped_count, "p2_report": p2_report}
+QUERIES = {"p2_capped": p2_capped, "p2_capped_count": p2_capped_count, "p2_report": p2_report, "p2_capped_org": p2_capped_org, "p2_capped_count_org": p2_capped_count_org}
 SQL = {
     "p2_capped": _SQL
     + "select row_id, sector, site from (select r.*, cap, row_number() over (partition by r.site order by key desc, row_id) as rn from r left join caps on r.sector = caps.sector) where site is null or cap is null or rn <= cap",

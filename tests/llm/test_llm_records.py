@@ -102,6 +102,18 @@ def test_p2_quality_prefers_better_records(spark):
     assert sum(i % 2 for i in got if i < 400) > 80
 
 
+def test_p2_unknown_sites_count_for_their_organisation(spark):
+    org = {i: ("One  Museum" if i < 300 else "Two Halls" if i < 500 else "Nowhere" if i < 620 else " " if i < 640 else None) for i in range(660)}
+    img = [(i, "https://one.example/" if i < 100 else None, org[i], "own", 1920, 1080, "alt", None) for i in range(660)] + [(5000 + i, "https://x.example", "X", "t", 1, 1, "", "") for i in range(10)] + [(300, None, "two halls", "own", 1, 1, "", "")]
+    images_ = spark.createDataFrame(img, "row_id bigint, website_url string, organization_name string, sector string, detected_width int, detected_height int, img_alt_text string, img_title string")
+    sites = spark.createDataFrame([("https://www.one.example", "s", "one museum"), ("https://two-a.example", "t", "Two Halls"), ("https://two-b.example", "t", "Two Halls"), ("https://x.example", "t", "X")], "url string, sector string, organization_name string")
+    rows = p2.contributions_by_organisation(images_, sites)
+    counts = rows.groupBy("sector", "site").agg(F.count("*").alias("n"))
+    assert {tuple(r) for r in counts.collect()} == {("s", "one.example", 300), ("t", "organisation: two halls", 201), ("own", "organisation: nowhere", 120), ("t", "x.example", 10), (None, None, 40)}
+    kept = p2.capped(rows, counts, p2.count_caps(counts.filter("site is not null"), 50)).groupBy("site").count().collect()
+    assert {tuple(r) for r in kept} == {("one.example", 50), ("organisation: two halls", 50), ("organisation: nowhere", 50), ("x.example", 10), (None, 40)}
+
+
 RESIDUE = [
     "{{ user.name }}", "{{title | escape}}", "{% image.alt %}", "${alt}", "#{caption}", "<%= title %>", "<?= $alt ?>", "<!-- imgTitle -->", "[[caption]]", "[%title%]", "*|ALT|*", "%alt_text%", "@@title@@", "##ALT##", "__alt__", "$title$", "{caption}",
     "A cat – {{alt}}", "&#123;&#123;alt&#125;&#125;", "%7B%7Balt%7D%7D", "{0} ({1})", "Photo of %s", "null", "undefined, undefined", "NaN", "[object Object]", "Lorem ipsum dolor", "velit mollit ipsum", "xxxx xxxx xx", "asdf asdf", "test test 12",
