@@ -34,7 +34,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a fresh one where it is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir, or a fresh one where it is unset.
+
+    A folder of this machine is made up only for a local master (tests); on a cluster it would not be shared.
+    """
     sc = spark.sparkContext
     d = sc.getConf().get("spark.checkpoint.dir", None)
     if d:
@@ -42,14 +45,26 @@ def shared_dir(spark: SparkSession) -> str:
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    if not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     d = "file://" + os.path.join(tempfile.gettempdir(), f"lumigraph-{uuid.uuid4().hex}")
     sc.setCheckpointDir(d)
     return d
 
 
-def persist_shared(df: DataFrame, name: str = "stage") -> DataFrame:
-    """Write df once to the shared folder and read it back: a lineage cut that survives lost executors."""
+def persist_shared(df: DataFrame, name: str = "stage", partition_by: str | None = None) -> DataFrame:
+    """Write df once to the shared folder and read it back: a lineage cut that survives lost executors.
+
+    With partition_by every value of that column has files of its own, so that it can be read by itself.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    writer = df.write if partition_by is None else df.write.partitionBy(partition_by)
+    writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_shared(spark: SparkSession, path: str) -> None:
+    """Delete a folder of intermediate data that nothing reads any more."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
