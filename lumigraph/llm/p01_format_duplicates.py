@@ -1,8 +1,10 @@
 """Problem 1: records that differ only in formatting, collapsed to one with the number of copies.
 
-Addresses are brought to a canonical form on the JVM side. Bloom filters of once- and repeatedly-seen hashes
-(repeat_filter) decide which rows can have a copy; only those are shuffled and grouped exactly, by the canonical text
-itself; all others are emitted as singletons where they were read.
+Addresses are brought to a canonical form on the JVM side, once: form, 64-bit hash and id are written to the shared
+folder. Bloom filters of once- and repeatedly-seen hashes (repeat_filter) are built over the hashes, one group of
+segments of the hash space after the other, so that a filter of bounded size is held at any time however many records
+there are. Only rows that may repeat are shuffled and grouped exactly, by the canonical text itself; all others are
+emitted as singletons where they were read.
 
 Defined results: a null value matches nothing and is a record of its own; values without a letter or digit (blank ones)
 are the same record, as nothing but punctuation tells them apart; repeated row_ids count as separate records; an empty
@@ -41,12 +43,16 @@ def _unescape(c: Column) -> Column:
     return F.regexp_replace(c, _OTHER, " ")
 
 
+#: What every escape holds: a percent or plus sign, or a character reference. A plain & between fields is none.
+_ESCAPED = r"[%+]|&#?[A-Za-z0-9]{1,10};"
+
+
 def unescaped(c: Column, layers: int = LAYERS) -> Column:
     """Percent escapes and character references undone, up to so many layers; plain values skip the work.
 
     The fold names each layer's result once; written as nested expressions it would be copied into every branch.
     """
-    return F.aggregate(F.sequence(F.lit(1), F.lit(layers)), c, lambda x, _: F.when(x.rlike(r"[%&+]"), _unescape(x)).otherwise(x))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(layers)), c, lambda x, _: F.when(x.rlike(_ESCAPED), _unescape(x)).otherwise(x))
 
 
 def letters_and_digits(c: Column) -> Column:
@@ -64,20 +70,25 @@ def canonical_address(c: Column) -> Column:
     return F.transform(F.array(unescaped(c)), key)[0]
 
 
-def possible_repeats(df: DataFrame, key: Column, id_col: str) -> tuple[DataFrame, DataFrame | None]:
-    """(rows that may share their key, rows that surely don't), each as (key, id); nulls are in neither.
+def possible_repeats(df: DataFrame, key: Column, id_col: str) -> tuple[DataFrame, DataFrame]:
+    """(rows that may share their key, rows that surely don't), each as (__key, __id); nulls are in neither.
 
-    Beyond the size limit of the filter all rows count as possible repeats and the second part is None.
+    Keys and hashes are written once; the filters are built from the hashes and tested against them, one group of
+    segments at a time (the files of a group are read by themselves).
     """
-    spark = df.sparkSession
+    spark, n_rows = df.sparkSession, df.count()
+    n_segments, n_groups = repeat_filter.plan(n_rows)
     keyed = df.select(key.alias("__key"), F.col(id_col).alias("__id")).filter(F.col("__key").isNotNull())
-    sized = repeat_filter.plan(df.count())
-    if sized is None:
-        return keyed, None
-    h = F.xxhash64("__key")
-    marks = repeat_filter.maybe_repeated(spark, h, repeat_filter.repeated(keyed.select(h.alias("h")), *sized), *sized)
-    marked = keyed.withColumn("__maybe", marks)
-    return marked.filter("__maybe").drop("__maybe"), marked.filter("not __maybe").drop("__maybe")
+    keyed = keyed.withColumn("__h", F.xxhash64("__key")).withColumn("__group", repeat_filter.group_of(F.col("__h"), n_segments, n_groups))
+    keyed = persist_shared(keyed, "keyed", partition_by="__group" if n_groups > 1 else None)
+    maybe = single = None
+    for g in range(n_groups):
+        own = keyed.filter(F.col("__group") == g) if n_groups > 1 else keyed
+        twice = repeat_filter.repeated(own.select("__h"), n_segments)
+        marked = own.withColumn("__maybe", repeat_filter.maybe_repeated(spark, F.col("__h"), twice, n_segments))
+        hit, no = marked.filter("__maybe").select("__key", "__id"), marked.filter("not __maybe").select("__key", "__id")
+        maybe, single = (hit, no) if maybe is None else (maybe.unionAll(hit), single.unionAll(no))
+    return maybe, single
 
 
 def _groups(repeats: DataFrame) -> DataFrame:
@@ -88,8 +99,7 @@ def collapse(df: DataFrame, key: Column, id_col: str, first: str = "first_row_id
     """One row per group of same records: the smallest id and the number of copies (1 for a single record or a null key)."""
     repeats, singles = possible_repeats(df, key, id_col)
     out = _groups(repeats).select(F.col("__first").alias(first), F.col("__n").alias(copies))
-    if singles is not None:
-        out = out.unionAll(singles.select(F.col("__id").alias(first), F.lit(1).cast("bigint").alias(copies)))
+    out = out.unionAll(singles.select(F.col("__id").alias(first), F.lit(1).cast("bigint").alias(copies)))
     nulls = df.filter(key.isNull()).select(F.col(id_col).alias(first), F.lit(1).cast("bigint").alias(copies))
     return out.unionAll(nulls)
 

@@ -4,6 +4,9 @@ Every task packs the 64-bit hashes it reads into a pair of bit sets per segment
 bits of all hashes, ``twice`` those of hashes met again. Pairs of one segment are merged in a stream,
 ``twice |= t | (once & o); once |= o``: a hash found by two tasks has all its bits in ``once & o``, so no repeat is
 lost, and only the compressed bit sets travel, never the rows. A hash outside the merged ``twice`` is certainly unique.
+
+Segments grow in number with the rows (BITS_PER_ROW bits each). They are handled in groups of SEGMENTS_PER_GROUP, the
+filter of one group being built, broadcast and tested by itself, so what is held at once is bounded at any size.
 """
 
 from __future__ import annotations
@@ -18,12 +21,14 @@ from pyspark.sql import functions as F
 
 SEGMENT_BITS = 1 << 23
 SEGMENT_BYTES = SEGMENT_BITS // 8
-#: The merged filter is broadcast only up to this many segments of 1 MB.
-MAX_BROADCAST_SEGMENTS = 64
+#: Segments of 1 MB whose merged filters are broadcast together.
+SEGMENTS_PER_GROUP = 64
+#: Bits of a filter for each row, and bit positions for each hash.
+BITS_PER_ROW, POSITIONS = 16, 4
 HASHES_PER_CHUNK = 1 << 20
 
 
-def _positions(h: np.ndarray, k: int) -> np.ndarray:
+def _positions(h: np.ndarray, k: int = POSITIONS) -> np.ndarray:
     """k bit positions for each hash, by double hashing; shape (len(h), k)."""
     u = h.astype(np.uint64)
     a = u & np.uint64(0xFFFFFFFF)
@@ -56,17 +61,19 @@ def _unpack(data: bytes) -> np.ndarray:
     return _bits(np.cumsum(np.frombuffer(raw, dtype=np.uint32), dtype=np.int64))
 
 
-def plan(n_rows: int, max_segments: int = MAX_BROADCAST_SEGMENTS) -> tuple[int, int] | None:
-    """(segments, hash functions) for so many rows: 16 bits a row, down to 4 at the size limit, None beyond it."""
-    for bits, k in ((16, 4), (8, 3), (4, 2)):
-        n = max(1, -(-n_rows * bits // SEGMENT_BITS))
-        if n <= max_segments:
-            return n, k
-    return None
+def plan(n_rows: int) -> tuple[int, int]:
+    """(segments, groups of segments) for so many rows."""
+    n = max(1, -(-n_rows * BITS_PER_ROW // SEGMENT_BITS))
+    return n, -(-n // SEGMENTS_PER_GROUP)
+
+
+def group_of(h: Column, n_segments: int, n_groups: int) -> Column:
+    """The group that the segment of a hash belongs to (the same arithmetic as _segments)."""
+    return F.pmod(F.pmod(F.shiftrightunsigned(h, 32), F.lit(n_segments)), F.lit(n_groups)).cast("int")
 
 
-def repeated(hashes: DataFrame, n_segments: int, k: int) -> list[tuple[int, bytes]]:
-    """The merged ``twice`` bit sets of a one-column DataFrame of hashes, at most MAX_BROADCAST_SEGMENTS MB."""
+def repeated(hashes: DataFrame, n_segments: int) -> list[tuple[int, bytes]]:
+    """The merged ``twice`` bit sets of a one-column DataFrame of hashes of one group, at most SEGMENTS_PER_GROUP MB."""
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def emit(parts: list[np.ndarray]) -> pd.DataFrame:
@@ -77,7 +84,7 @@ def repeated(hashes: DataFrame, n_segments: int, k: int) -> list[tuple[int, byte
             starts = np.flatnonzero(np.r_[True, seg[1:] != seg[:-1]])
             rows = []
             for s, e in zip(starts, np.r_[starts[1:], len(seg)]):
-                pos = _positions(h[s:e], k)
+                pos = _positions(h[s:e])
                 rows.append((int(seg[s]), _pack(pos.ravel()), _pack(pos[c[s:e] > 1].ravel())))
             return pd.DataFrame(rows, columns=["segment", "once", "twice"])
 
@@ -107,27 +114,26 @@ def repeated(hashes: DataFrame, n_segments: int, k: int) -> list[tuple[int, byte
             yield pd.DataFrame({"segment": [now], "twice": [zlib.compress(twice.tobytes(), 1)]})
 
     packed = hashes.mapInPandas(build, "segment int, once binary, twice binary")
-    merged = packed.repartition(n_segments, "segment").sortWithinPartitions("segment").mapInPandas(merge, "segment int, twice binary")
+    merged = packed.repartition(min(n_segments, SEGMENTS_PER_GROUP), "segment").sortWithinPartitions("segment").mapInPandas(merge, "segment int, twice binary")
     return [(r["segment"], bytes(r["twice"])) for r in merged.collect()]
 
 
-def maybe_repeated(spark, hash_col: Column, filters: list[tuple[int, bytes]], n_segments: int, k: int) -> Column:
-    """True where the hash may occur more than once."""
+def maybe_repeated(spark, hash_col: Column, filters: list[tuple[int, bytes]], n_segments: int) -> Column:
+    """True where the hash (of the group that the filters were made of) may occur more than once."""
     shared = spark.sparkContext.broadcast(filters)
-    cache: dict[str, np.ndarray] = {}
+    cache: dict[int, np.ndarray] = {}
 
     @F.pandas_udf("boolean")
     def test(h: pd.Series) -> pd.Series:
-        if "bits" not in cache:
-            bits = np.zeros((n_segments, SEGMENT_BYTES), np.uint8)
-            for seg, data in shared.value:
-                bits[seg] = np.frombuffer(zlib.decompress(data), np.uint8)
-            cache["bits"] = bits
+        if not cache:
+            cache.update((seg, np.frombuffer(zlib.decompress(data), np.uint8)) for seg, data in shared.value)
         v = h.to_numpy(dtype=np.int64)
-        seg, pos = _segments(v, n_segments), _positions(v, k)
-        hit = np.ones(len(v), bool)
-        for i in range(k):
-            hit &= (cache["bits"][seg, pos[:, i] >> 3] >> (7 - (pos[:, i] & 7)).astype(np.uint8)) & 1 == 1
+        segments, pos, hit = _segments(v, n_segments), _positions(v), np.zeros(len(v), bool)
+        for seg in np.unique(segments).tolist():
+            if seg in cache:
+                own = np.flatnonzero(segments == seg)
+                bits = (cache[seg][pos[own] >> 3] >> (7 - (pos[own] & 7)).astype(np.uint8)) & 1
+                hit[own] = bits.all(axis=1)
         return pd.Series(hit)
 
     return test(hash_col)
