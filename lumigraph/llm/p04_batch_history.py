@@ -1,12 +1,15 @@
 """Problem 4: every new batch checked against all accepted history, without reading the history's records again.
 
-The history is kept as sorted runs of keys in the shared folder, one run per load, split into key ranges; there is one
-key for the file hash and one for the picture address (multi-key sorted neighbourhood). A load holds one or more
-batches; a later job opens the history again by its folder. Its keys are sorted into the same ranges, and only ranges that the load touches are read; equal keys are
-neighbours there, so the window around a new record is the stretch of its own key. Records that repeat the history
-come out at once. Between the batches of one load a record counts only once it is accepted: rounds decide all records
-whose earlier neighbours are decided, until none is left (at most one round per batch, few in practice). The keys of
-accepted records become a new run; runs are merged into one when there are too many.
+Multi-key sorted neighbourhood. A record has one key for its file hash and one for its picture address, each 128 bits of
+a hash of the text. The history is kept as sorted runs of the keys of accepted records in the shared folder, split into
+key ranges: the keys are evenly spread, so equal slices of the key space are their quantiles, and the slices become
+more as the history grows (ROWS_PER_RANGE). Runs are bucketed by range, so a batch is brought to the ranges and the
+history is never shuffled; only ranges that the batch touches are read. In each range the sorted batch is merged into
+the sorted runs, and each new key is compared with the window of neighbours before it: the stretch of its own sort
+key. Keys of accepted records become a new run; runs are merged into new ranges when there are too many or when the
+ranges have become too large.
+
+A later job opens the history again by its folder. Manifests name the runs that count.
 
 Defined results: records without a readable crawl_date are neither cases nor history; void hashes (anything but 64 hex
 digits, one repeated digit, or the hash of no bytes) and null or blank addresses match nothing; records of one day are
@@ -15,14 +18,18 @@ never compared; repeated row_ids get one verdict; an empty table gives an empty
 
 from __future__ import annotations
 
+import hashlib
 import json
+import random
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from lumigraph.llm.p01_format_duplicates import letters_and_digits, unescaped
-from lumigraph.session import persist_shared, shared_dir, table
+from lumigraph.session import drop_shared, persist_shared, shared_dir, table
 
 #: Size labels, file formats, and query fields that choose a rendition or serve caches and campaigns.
 SIZE_LABELS = "thumb|thumbnail|small|medium|large|xlarge|original|orig|full|fullsize|scaled|preview|mini|tiny|hd"
@@ -32,9 +39,13 @@ CACHE_FIELDS = "cb|cachebust(?:er)?|cache|nocache|ts|timestamp|time|t|v|ver|vers
 #: SHA-256 of no bytes.
 EMPTY_SHA256 = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
 
-RANGES = 16
-MAX_RUNS = 6
+#: Keys that a range should hold, and runs from which on they are merged.
+ROWS_PER_RANGE = 250_000
+MAX_RUNS = 12
+#: Batches loaded at once where a table holds many.
 DAYS_PER_LOAD = 20
+#: Touched ranges up to which they are listed to prune the others; a batch that touches more reads all.
+MAX_LISTED_RANGES = 10_000
 
 
 def day_of(c: Column) -> Column:
@@ -70,8 +81,10 @@ def picture_address(c: Column) -> Column:
     return F.when(k != "", k)
 
 
-def _range(k: Column) -> Column:
-    return F.pmod(F.shiftrightunsigned(k, 40), F.lit(RANGES)).cast("int")
+def range_of(k: Column, ranges: int) -> Column:
+    """The slice of the key space, of so many equal ones, that a key lies in; slices ascend with the key."""
+    top = F.shiftright(k, 32) + F.lit(1 << 31)  # 0 .. 2**32 - 1, in the order of the key
+    return F.shiftright(top * F.lit(ranges), 32).cast("int")
 
 
 def entries(df: DataFrame, id_col: str = "row_id", date: str = "crawl_date", hash_col: str = "file_hash", url: str = "image_url") -> DataFrame:
@@ -84,11 +97,34 @@ def entries(df: DataFrame, id_col: str = "row_id", date: str = "crawl_date", has
     )
 
 
+def _merge(new: pa.Table, old: pa.Table) -> pa.Table:
+    """The keys (k1, k2) of one range of a sorted batch that are among the range's history.
+
+    Both are merged in the order of k1, history first among equals; each new key is compared with its neighbours
+    before it, as far back as they have its k1.
+    """
+    k1 = np.concatenate([old["k1"].to_numpy(), new["k1"].to_numpy()])
+    k2 = np.concatenate([old["k2"].to_numpy(), new["k2"].to_numpy()])
+    is_new = np.r_[np.zeros(len(old), bool), np.ones(len(new), bool)]
+    order = np.argsort(k1, kind="stable")  # a merge sort: sorted stretches are merged, not sorted again
+    k1, k2, is_new = k1[order], k2[order], is_new[order]
+    at, hit, back = np.flatnonzero(is_new), np.zeros(len(k1), bool), 1
+    while True:
+        at = at[at >= back]
+        at = at[k1[at] == k1[at - back]]
+        if not len(at):
+            break
+        hit[at] |= ~is_new[at - back] & (k2[at] == k2[at - back])
+        back += 1
+    return pa.table({"k1": k1[hit], "k2": k2[hit]})
+
+
 class History:
     """Sorted runs of the keys of accepted records; a path that holds a history is read again.
 
-    Manifests name the runs that count: each change writes the next one under another name and renames it, so that a
-    broken job leaves the last whole history, and of two jobs that change one history at once the later fails.
+    Each change writes the next manifest under another name and renames it, so that a broken job leaves the last whole
+    history (rows of runs that no manifest names are passed over), and of two jobs that change one history at once the
+    later fails.
     """
 
     def __init__(self, spark: SparkSession, path: str | None = None):
@@ -97,67 +133,120 @@ class History:
         self._fs = self._hadoop.fs.Path(self.path).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
         found = self._fs.globStatus(self._hadoop.fs.Path(f"{self.path}/_manifest-*")) or []
         self.version = max((int(f.getPath().getName().rpartition("-")[2]) for f in found), default=0)
-        self.runs = []
+        self.state = {"epoch": "", "ranges": 0, "runs": [], "n_keys": 0, "former": ""}
         if self.version:
             stream = self._fs.open(self._hadoop.fs.Path(self._manifest(self.version)))
             try:
-                names = json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+                self.state = json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
             finally:
                 stream.close()
-            self.runs = [f"{self.path}/{n}" for n in names]
+
+    @property
+    def runs(self) -> list[int]:
+        return self.state["runs"]
 
     def _manifest(self, version: int) -> str:
         return f"{self.path}/_manifest-{version:09d}"
 
-    def _commit(self, runs: list[str]) -> None:
+    def _commit(self, state: dict) -> None:
         new, target = (self._hadoop.fs.Path(p) for p in (f"{self.path}/_new-{uuid.uuid4().hex}", self._manifest(self.version + 1)))
         stream = self._fs.create(new, False)
-        stream.write(bytearray(json.dumps([r.rpartition("/")[2] for r in runs]).encode()))
+        stream.write(bytearray(json.dumps(state).encode()))
         stream.close()
         if self._fs.exists(target) or not self._fs.rename(new, target):
             self._fs.delete(new, False)
             raise RuntimeError(f"{self.path} was changed by another job")
-        self.version, self.runs = self.version + 1, runs
+        self.version, self.state = self.version + 1, state
+
+    def _table(self, epoch: str, ranges: int) -> str:
+        """The bucketed table of an epoch, made known to this session."""
+        location = f"{self.path}/{epoch}"
+        name = "lumigraph_history_" + hashlib.md5(location.encode()).hexdigest()
+        self.spark.sql(
+            f"create table if not exists {name} (k1 bigint, k2 bigint, range int, run bigint) using parquet clustered by (range) sorted by (k1, k2) into {ranges} buckets location '{location}'"
+        )
+        return name
 
     def keys(self, ranges: list[int] | None = None) -> DataFrame | None:
+        """(k1, k2, range) of all history, or of some ranges only: the files of other ranges are not opened."""
         if not self.runs:
             return None
-        df = self.spark.read.schema("k1 bigint, k2 bigint, range int").option("basePath", self.path).parquet(*self.runs)
-        return df if ranges is None else df.filter(F.col("range").isin(ranges))
-
-    def _write(self, keys: DataFrame, runs: list[str]) -> None:
-        run = f"{self.path}/run={uuid.uuid4().hex}"
-        keys.withColumn("range", _range(F.col("k1"))).repartition(RANGES, "range").sortWithinPartitions("range", "k1", "k2").write.partitionBy("range").parquet(run)
-        self._commit([*runs, run])
+        name = self._table(self.state["epoch"], self.state["ranges"])
+        self.spark.catalog.refreshTable(name)
+        df = self.spark.table(name).filter(F.col("run").isin(self.runs))
+        return (df if ranges is None else df.filter(F.col("range").isin(ranges))).select("k1", "k2", "range")
+
+    def _write(self, keys: DataFrame, epoch: str, ranges: int, kept: list[int], former: str = "") -> None:
+        """keys as a new sorted run beside the kept ones; former is the epoch that this one replaces."""
+        run, seen = random.getrandbits(62), Observation()
+        name = self._table(epoch, ranges)
+        rows = keys.select("k1", "k2", range_of(F.col("k1"), ranges).alias("range"), F.lit(run).alias("run")).repartition(ranges, "range")
+        rows.observe(seen, F.count(F.lit(1)).alias("n")).write.insertInto(name)
+        before = self.state["n_keys"] if kept else 0
+        self._commit({"epoch": epoch, "ranges": ranges, "runs": [*kept, run], "n_keys": before + seen.get["n"], "former": former})
+
+    def append(self, keys: DataFrame, n_at_most: int) -> None:
+        """Accept keys (of which there are at most so many): a new run, after a compaction where it is time for one."""
+        wanted = max(1, -(-(self.state["n_keys"] + n_at_most) // ROWS_PER_RANGE))
+        if not self.runs:
+            self._write(keys, f"epoch-{uuid.uuid4().hex}", wanted, [])
+            return
+        if len(self.runs) >= MAX_RUNS or wanted > 2 * self.state["ranges"]:
+            self.compact(n_at_most)
+        self._write(keys, self.state["epoch"], self.state["ranges"], self.runs, self.state["former"])
 
-    def append(self, keys: DataFrame) -> None:
-        self._write(keys, self.runs)
-        if len(self.runs) > MAX_RUNS:
-            self.compact()
+    def compact(self, room: int = 0) -> None:
+        """Merge all runs into one, with as many ranges as the keys (and so many further ones) need.
 
-    def compact(self) -> None:
+        The files replaced are kept until the next compaction, for readers that have begun with them.
+        """
         if self.runs:
-            self._write(self.keys().select("k1", "k2"), [])
+            old = self.state
+            self._write(self.keys().select("k1", "k2"), f"epoch-{uuid.uuid4().hex}", max(1, -(-(old["n_keys"] + room) // ROWS_PER_RANGE)), [], old["epoch"])
+            if old["former"]:
+                drop_shared(self.spark, f"{self.path}/{old['former']}")
 
-    def load(self, new: DataFrame) -> DataFrame:
-        """Check a load (entries of one or more batches, all later than the history) and accept the rest; gives the ids of repeats."""
-        new = persist_shared(new, "load")
-        keyed = new.filter("k1 is not null")
-        repeats = None
-        if self.runs:
-            ranges = [r[0] for r in keyed.select(_range(F.col("k1"))).distinct().collect()]  # at most RANGES rows
-            repeats = persist_shared(keyed.join(self.keys(ranges).select("k1", "k2"), ["k1", "k2"], "left_semi").select("id").distinct(), "repeats")
+    def matches(self, keys: DataFrame) -> DataFrame | None:
+        """Those of the distinct keys (k1, k2) that the history holds; null without a history."""
+        if not self.runs:
+            return None
+        ranges = self.state["ranges"]
+        new = keys.select("k1", "k2", range_of(F.col("k1"), ranges).alias("range"))
+        touched = [r[0] for r in new.select("range").distinct().limit(MAX_LISTED_RANGES + 1).collect()] if ranges > 1 else [0]
+        old = self.keys(touched if len(touched) <= MAX_LISTED_RANGES else None)
+        return new.groupBy("range").cogroup(old.groupBy("range")).applyInArrow(_merge, "k1 bigint, k2 bigint")
+
+    def load(self, batches: DataFrame) -> DataFrame:
+        """Check the entries of one or more batches later than the history, accept the rest; gives the ids of repeats."""
+        return self.load_written(persist_shared(batches, "batches"))
+
+    def load_written(self, batches: DataFrame) -> DataFrame:
+        """load() for entries that are cheap to read again."""
+        keyed = batches.filter("k1 is not null")
+        distinct = persist_shared(keyed.groupBy("k1", "k2").agg(F.min("day").alias("lo"), F.max("day").alias("hi")), "batch-keys")
+        n, first, last = distinct.agg(F.count("*"), F.min("lo"), F.max("hi")).first()
+        if not n:
+            return batches.select("id").limit(0)
+        hits, repeats = self.matches(distinct), None
+        if hits is not None:
+            # a key that much of the batch holds is one row of the hits: adaptive execution may split the batch's side
+            repeats = persist_shared(keyed.join(hits, ["k1", "k2"], "left_semi").select("id").distinct(), "repeats")
             keyed = keyed.join(repeats, "id", "left_anti")
-        # a key met on one day only decides nothing; a record without any other key is accepted
-        shared = keyed.groupBy("k1", "k2").agg(F.min("day").alias("lo"), F.max("day").alias("hi")).filter("lo < hi").select("k1", "k2", "lo")
-        open_ = persist_shared(keyed.join(shared, ["k1", "k2"]).select("id", "day", "k1", "k2", F.lit(0).alias("state")), "open")
-        within = self._decide(open_)
-        repeats = within if repeats is None else repeats.unionAll(within)
-        self.append(new.filter("k1 is not null").join(repeats, "id", "left_anti").select("k1", "k2").distinct())
-        return repeats
+        if first < last:
+            # a key met on one day only decides nothing; a record without any other key is accepted
+            met_again = keyed.join(distinct.filter("lo < hi").select("k1", "k2"), ["k1", "k2"])
+            within = self._decide(persist_shared(met_again.select("id", "day", "k1", "k2", F.lit(0).alias("state")), "open"))
+            keyed = keyed.join(within, "id", "left_anti")
+            repeats = within if repeats is None else repeats.unionAll(within)
+        self.append(keyed.select("k1", "k2").distinct(), n)
+        return batches.select("id").limit(0) if repeats is None else repeats
 
     def _decide(self, e: DataFrame) -> DataFrame:
-        """ids of repeats among the entries of several days; state: 0 open, 1 accepted, 2 repeat."""
+        """ids of repeats among entries of several batches; state: 0 open, 1 accepted, 2 repeat.
+
+        Between the batches of one load a record counts only once it is accepted: rounds decide all records whose
+        earlier neighbours are decided, until none is left (at most one round per batch, few in practice).
+        """
         while True:
             first = e.filter("state < 2").groupBy("k1", "k2").agg(F.min("day").alias("live"), F.min(F.when(F.col("state") == 1, F.col("day"))).alias("accepted"))
             seen = e.filter("state = 0").join(first, ["k1", "k2"])
@@ -168,19 +257,43 @@ class History:
                 return e.filter("state = 2").select("id").distinct()
 
 
-def repeats_of_history(spark: SparkSession, records: DataFrame, days_per_load: int = DAYS_PER_LOAD) -> DataFrame:
-    """row_id of every record that repeats one accepted from an earlier batch; batches are loaded in order of their day."""
-    history, all_entries = History(spark), persist_shared(entries(records), "entries")
-    days = [r[0] for r in all_entries.select("day").distinct().orderBy("day").collect()]
-    out = [history.load(all_entries.filter(F.col("day").between(days[i], days[min(i + days_per_load, len(days)) - 1]))) for i in range(0, len(days), days_per_load)]
-    result = all_entries.select("id").limit(0)
-    for x in out:
-        result = result.unionAll(x)
-    return result.select(F.col("id").alias("row_id"))
+def replay(history: History, all_entries: DataFrame, days: list[int], days_per_load: int) -> DataFrame:
+    """ids of repeats when the batches of these days (ascending) are loaded, so many at a time."""
+    out = all_entries.select("id").limit(0)
+    for i in range(0, len(days), days_per_load):
+        out = out.unionAll(history.load_written(all_entries.filter(F.col("day").between(days[i], days[min(i + days_per_load, len(days)) - 1]))))
+    return out
+
+
+def _written(records: DataFrame) -> tuple[DataFrame, list[int]]:
+    """(entries with files of its own for each day, the days in order)."""
+    written = persist_shared(entries(records).select("id", "k1", "k2", "day"), "entries", partition_by="day")
+    return written, [r[0] for r in written.select("day").distinct().orderBy("day").collect()]
+
+
+def repeats_of_history(spark: SparkSession, records: DataFrame, days_per_load: int = DAYS_PER_LOAD, path: str | None = None) -> DataFrame:
+    """row_id of every record that repeats one accepted from an earlier batch; each day of crawl_date is a batch, in order.
+
+    A table of many batches is a backfill: several are loaded at once, with the same result as one after the other.
+    """
+    written, days = _written(records)
+    return replay(History(spark, path), written, days, days_per_load).select(F.col("id").alias("row_id"))
+
+
+def repeats_of_last_batch(spark: SparkSession, records: DataFrame, days_per_load: int = DAYS_PER_LOAD) -> DataFrame:
+    """row_id of the records of the last batch that repeat the history: the everyday load, one batch against persisted runs."""
+    written, days = _written(records)
+    history = History(spark)
+    replay(history, written, days[:-1], days_per_load)
+    return replay(history, written, days[-1:], 1).select(F.col("id").alias("row_id"))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats_of_history(spark, table(spark, sf_dir, "images_meta"))
 
 
-QUERIES = {"p4_found": p4_found}
+def p4_last_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats_of_last_batch(spark, table(spark, sf_dir, "images_meta"))
+
+
+QUERIES = {"p4_found": p4_found, "p4_last_batch": p4_last_batch}

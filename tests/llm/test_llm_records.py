@@ -5,6 +5,7 @@ import re
 import unicodedata
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -42,9 +43,20 @@ def test_p1_spellings(spark):
 def test_p1_empty_and_beyond_the_filter(spark, monkeypatch):
     empty = images(spark, [])
     assert p1.copies_of_first(empty, p1.canonical_address(F.col("image_url")), "row_id").count() == 0
-    monkeypatch.setattr(repeat_filter, "plan", lambda n: None)
-    rows = [(i, SAME[i % 3], 0, "") for i in range(9)]
-    assert p1.collapse(images(spark, rows), p1.canonical_address(F.col("image_url")), "row_id").collect()[0]["n_copies"] == 9
+    # segments so small that the filter is made in many groups: the method and the result stay
+    monkeypatch.setattr(repeat_filter, "plan", lambda n: (7, 4))
+    rows = [(i, SAME[i % 3] if i < 9 else f"https://h.example/{i}", 0, "") for i in range(60)]
+    got = {r["first_row_id"]: r["n_copies"] for r in p1.collapse(images(spark, rows), p1.canonical_address(F.col("image_url")), "row_id").collect()}
+    assert got == {0: 9} | {i: 1 for i in range(9, 60)}
+    assert sorted(r["copy_row_id"] for r in p1.copies_of_first(images(spark, rows), p1.canonical_address(F.col("image_url")), "row_id").collect()) == list(range(1, 9))
+
+
+def test_p1_filter_groups_hold_every_hash(spark):
+    h = np.random.default_rng(1).integers(-(2**63), 2**63 - 1, 2000)
+    n, groups = 130, 3
+    got = spark.createDataFrame([(int(x),) for x in h], "h bigint").select("h", repeat_filter.group_of(F.col("h"), n, groups).alias("g")).collect()
+    assert all(r["g"] == int(repeat_filter._segments(np.array([r["h"]]), n)[0]) % groups for r in got)
+    assert repeat_filter.plan(10**10)[1] > 1 and repeat_filter.plan(0) == (1, 1)
 
 
 def test_p1_hot_key_is_salted(spark, monkeypatch):
@@ -61,8 +73,8 @@ def test_repeat_filter_loses_no_repeat(spark):
     rng = np.random.default_rng(0)
     h = np.concatenate([rng.integers(-(2**63), 2**63 - 1, 5000), rng.integers(-(2**63), 2**63 - 1, 300).repeat(2)])
     df = spark.createDataFrame([(int(x),) for x in h], "h bigint").repartition(5)
-    for n, k in (repeat_filter.plan(len(h)), (7, 3)):
-        marks = repeat_filter.maybe_repeated(spark, F.col("h"), repeat_filter.repeated(df, n, k), n, k)
+    for n in (repeat_filter.plan(len(h))[0], 7):
+        marks = repeat_filter.maybe_repeated(spark, F.col("h"), repeat_filter.repeated(df, n), n)
         got = df.withColumn("m", marks).filter("m").groupBy("h").count().collect()
         assert sum(r["count"] == 2 for r in got) == 300 and len(got) < 450
 
@@ -197,7 +209,7 @@ def test_p3_triggers_lose_nothing(spark):
     assert df.filter(alone & p3.residue_kind(F.col("t")).isNull()).count() == 0
 
 
-def test_p4_against_a_scan(spark):
+def test_p4_against_a_scan(spark, monkeypatch):
     rng = random.Random(4)
     rows = []
     for i in range(600):
@@ -214,8 +226,13 @@ def test_p4_against_a_scan(spark):
         new = [r for r in batch if not ({r["h"], r["a"]} - {None}) & seen]
         want |= {r["row_id"] for r in batch} - {r["row_id"] for r in new}
         seen |= {k for r in new for k in (r["h"], r["a"]) if k}
-    for per_load in (3, 50):
-        assert {r[0] for r in p4.repeats_of_history(spark, df, per_load).collect()} == want
+    assert {r[0] for r in p4.repeats_of_history(spark, df).collect()} == want
+    last = max(r["d"] for r in keyed if r["d"])
+    assert {r[0] for r in p4.repeats_of_last_batch(spark, df).collect()} == {r["row_id"] for r in keyed if r["d"] == last} & want
+    monkeypatch.setattr(p4, "ROWS_PER_RANGE", 200)
+    monkeypatch.setattr(p4, "MAX_RUNS", 3)
+    monkeypatch.setattr(p4, "MAX_LISTED_RANGES", 5)
+    assert {r[0] for r in p4.repeats_of_history(spark, df, 1).collect()} == want
     assert p4.repeats_of_history(spark, df.limit(0)).count() == 0
 
 
@@ -223,7 +240,7 @@ def test_p4_compacts(spark, monkeypatch):
     monkeypatch.setattr(p4, "MAX_RUNS", 2)
     h = p4.History(spark)
     for i in range(4):
-        h.append(spark.createDataFrame([(i, i)], "k1 bigint, k2 bigint"))
+        h.append(spark.createDataFrame([(i, i)], "k1 bigint, k2 bigint"), 1)
     assert len(h.runs) <= 2 and sorted(r["k1"] for r in h.keys().collect()) == [0, 1, 2, 3]
 
 
@@ -323,6 +340,38 @@ def test_p4_history_opened_again(spark, tmp_path, monkeypatch):
     one, other = p4.History(spark, f"file://{tmp_path}/h"), p4.History(spark, f"file://{tmp_path}/h")
     assert len(one.runs) <= 2
     keys = one.keys().select("k1", "k2").limit(1)
-    one.append(keys)
+    one.append(keys, 1)
     with pytest.raises(RuntimeError):
-        other.append(keys)
+        other.append(keys, 1)
+
+
+def test_p4_merge_compares_windows():
+    new = pa.table({"k1": [5, 5, 7, 9, -3], "k2": [1, 2, 7, 0, 4]})
+    old = pa.table({"k1": [5, 5, 5, 8, -3], "k2": [2, 3, 9, 7, 4]})
+    assert sorted(zip(*(c.to_pylist() for c in p4._merge(new, old).columns))) == [(-3, 4), (5, 2)]
+    assert p4._merge(new, old.slice(0, 0)).num_rows == p4._merge(new.slice(0, 0), old).num_rows == 0
+
+
+def test_p4_reads_touched_ranges_only(spark, monkeypatch):
+    """A batch of one key reads the same number of history rows from a history ten times as large, and doesn't shuffle them."""
+    monkeypatch.setattr(p4, "ROWS_PER_RANGE", 100)
+    read = []
+    for n in (2_000, 20_000):
+        rng = np.random.default_rng(n)
+        k = rng.integers(-(2**63), 2**63 - 1, (n, 2))
+        h = p4.History(spark)
+        h.append(spark.createDataFrame([(int(a), int(b)) for a, b in k], "k1 bigint, k2 bigint"), n)
+        one = spark.createDataFrame([(int(k[7][0]), int(k[7][1])), (1, 1)], "k1 bigint, k2 bigint")
+        assert [tuple(r) for r in h.matches(one).collect()] == [(int(k[7][0]), int(k[7][1]))]
+        touched = [r[0] for r in one.select(p4.range_of(F.col("k1"), h.state["ranges"])).distinct().collect()]
+        read.append(h.keys(touched).count())
+        plan = h.matches(one)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning(range") == 1 and "Bucketed: true" in plan
+    assert read[1] < 2 * read[0] and read[1] < 1000
+
+
+def test_p4_ranges_are_slices_of_equal_keys(spark):
+    rng = np.random.default_rng(5)
+    k = sorted(int(x) for x in rng.integers(-(2**63), 2**63 - 1, 4000))
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in [-(2**63), *k, 2**63 - 1]], "k bigint").select(p4.range_of(F.col("k"), 10)).collect()]
+    assert got == sorted(got) and got[0] == 0 and got[-1] == 9 and max(got.count(i) for i in range(10)) < 500
