@@ -115,8 +115,47 @@ def test_p10_common_span_is_salted(spark, monkeypatch):
 
 
 def test_p10_chain_is_collinear():
-    c = p10.chain([(0, 0), (10, 10), (20, 5), (30, 30), (30, 31), (40, 12)], 5)
-    assert c[0] == (0, 0) and all(a < b and x < y for (a, x), (b, y) in zip(c, c[1:])) and len(c) == 3
+    anchors = [(0, 0, 5), (10, 10, 5), (20, 5, 5), (30, 30, 5), (30, 31, 5), (40, 12, 5)]
+    found = p10.chains(anchors)
+    assert found[0][0] == (0, 0, 5) and len(found[0]) == 3
+    assert all(a[0] < b[0] and a[1] < b[1] for c in found for a, b in zip(c, c[1:])) and sorted(x for c in found for x in c) == sorted(anchors)
+
+
+def test_p10_rows_come_from_the_chains(spark, monkeypatch):
+    rng = random.Random(12)
+    make = lambda n: "".join(rng.choices("abcdefgh", k=n))
+    common = make(90)
+    x, y = make(30) + common + make(30), make(50) + common[:45] + "#" + common[45:] + make(9)
+    found = p10.passages(p10.aligned(*map(text_seeds.codes, (x, y)), [(30, 50, 13), (90, 111, 13)]))
+    assert [[(s, m) for s, _, m in p] for p in found] == [[(30, 45), (75, 45)]]
+    df = spark.createDataFrame([(1, x), (2, y), (3, make(200))], "doc_id bigint, text string")
+    # which class is the first of a pair depends on its hash
+    assert [tuple(r) for r in p10.fuzzy_passages(df, 40).collect()] in ([(1, 2, 30, 120, 50, 141, 2, 90)], [(2, 1, 50, 141, 30, 120, 2, 90)])
+    monkeypatch.setattr(p10, "chains", lambda _: [])
+    assert p10.document_pairs(df, 40).count() == 0
+
+
+def test_p10_common_seed_makes_few_pairs(spark, monkeypatch):
+    """Texts that share less than a span are not paired, however many they are; those that share one are all found."""
+    monkeypatch.setattr(p10, "COMMON_SEED", 10)
+    rng = random.Random(13)
+    make = lambda n: "".join(rng.choices("abcdefgh", k=n))
+    seed, span = make(28), make(40)
+    texts = [(i, make(30) + (span if i % 5 == 0 else seed) + make(30)) for i in range(150)]
+    df = spark.createDataFrame(texts, "doc_id bigint, text string")
+    long = df.select(p10._text_class().alias("c"), "text")
+    assert p10.seed_table(long, 40).groupBy("h").count().filter("count > 10").count() > 0
+    n_sharing = 30 * 29 // 2
+    assert n_sharing <= p10.class_pairs(long, 40).count() < n_sharing + 300
+    assert p10.document_pairs(df, 40).count() == n_sharing
+
+
+def test_p10_long_keys_fit_every_span():
+    for span in (40, 100, 400, 401, 999):
+        k = span // 3
+        step = (span - k) // (p10.SLICES + 1)
+        for left in range(span - k + 1):
+            assert any(i * step <= left and (p10.SLICES - 1 - i) * step <= span - k - left for i in range(p10.SLICES))
 
 
 def test_seeds_meet_in_common_spans():
