@@ -1,8 +1,10 @@
-"""Keeping the k greatest keys of each group exactly, without bringing a group together.
+"""Keeping the k least keys of each group exactly, without bringing a group together.
 
-Keys lie in [0, 1). Rows are counted per group and bucket of the key (one small shuffle), the bucket that holds the
-k-th key is found from the counts, rows of greater buckets are kept where they are, and only the rows of that one
-bucket are ranked. Buckets become finer with the number of rows, so a bucket stays small however large a group is.
+Keys are positive numbers. Rows are counted per group and bucket of the key (one small shuffle), the bucket that holds
+the k-th key is found from the counts, rows of lesser buckets are kept where they are, and only the rows of that one
+bucket are ranked. Buckets are steps of the key's logarithm: exponential keys of any mixture of rates (and uniform keys)
+never have more than 0.7 of their rows in an octave, so buckets that become finer with the number of rows stay small
+however large a group is and however poor its records are.
 """
 
 from __future__ import annotations
@@ -12,7 +14,8 @@ from pyspark.sql import functions as F
 
 #: Rows that a bucket of the largest possible group should hold.
 ROWS_PER_BUCKET = 50_000
-MAX_BUCKETS = 1 << 20
+#: Least steps of an octave.
+STEPS = 64
 
 
 def uniform(seed: str, *ids: Column) -> Column:
@@ -21,32 +24,38 @@ def uniform(seed: str, *ids: Column) -> Column:
     return (bits + 0.5) / 4294967296.0
 
 
-def keep_greatest(df: DataFrame, group: str, key: str, tie: str, limits: DataFrame, limit: str, n_rows: int) -> DataFrame:
-    """Rows of df among the limit greatest keys of their group (ties by the smaller value of tie).
+def exponential(u: Column, weight: Column) -> Column:
+    """The exponential random key of a draw u in (0, 1): the least keys are those of the greatest u ** (1 / weight)."""
+    return -F.log(u) / weight
 
-    limits has one row per group (group, limit) and must be small enough to be joined by broadcast or not at all hot;
-    groups without a row there are left out.
+
+def keep_least(df: DataFrame, group: str, key: str, tie: str, limits: DataFrame, limit: str, n_rows: int) -> DataFrame:
+    """Rows of df among the limit least keys of their group (ties by the smaller value of tie).
+
+    limits has one row per group (group, limit); groups without a row there are left out.
     """
-    buckets = min(MAX_BUCKETS, max(256, 1 << max(1, n_rows // ROWS_PER_BUCKET).bit_length()))
-    placed = df.withColumn("__bucket", F.least(F.floor(F.col(key) * buckets), F.lit(buckets - 1)).cast("int"))
+    steps = max(STEPS, n_rows // ROWS_PER_BUCKET)
+    placed = df.withColumn("__bucket", F.floor(F.log2(key) * steps).cast("bigint"))
     counts = placed.groupBy(group, "__bucket").agg(F.count("*").alias("__n"))
-    w = Window.partitionBy(group).orderBy(F.desc("__bucket"))
+    w = Window.partitionBy(group).orderBy("__bucket")
     edges = (
         counts.withColumn("__through", F.sum("__n").over(w)).join(limits.select(group, F.col(limit).alias("__limit")), group)
         .filter(F.col("__through") - F.col("__n") < F.col("__limit"))
-        .groupBy(group).agg(F.min("__bucket").alias("__edge"), F.max(F.struct("__through", "__n")).alias("__last"), F.first("__limit").alias("__limit"))
+        .groupBy(group).agg(F.max("__bucket").alias("__edge"), F.max(F.struct("__through", "__n")).alias("__last"), F.first("__limit").alias("__limit"))
         .select(group, "__edge", (F.col("__limit") - F.col("__last.__through") + F.col("__last.__n")).alias("__open"))
     )
-    placed = placed.join(F.broadcast(edges) if edges_fit(limits) else edges, group).filter("__bucket >= __edge")
-    above = placed.filter("__bucket > __edge")
-    rank = F.row_number().over(Window.partitionBy(group).orderBy(F.desc(key), tie))
+    placed = placed.join(bounded(edges, limits), group).filter("__bucket <= __edge")
+    below = placed.filter("__bucket < __edge")
+    rank = F.row_number().over(Window.partitionBy(group).orderBy(key, tie))
     at = placed.filter("__bucket = __edge").withColumn("__rank", rank).filter("__rank <= __open").drop("__rank")
-    return above.unionByName(at).drop("__bucket", "__edge", "__open")
+    return below.unionByName(at).drop("__bucket", "__edge", "__open")
 
 
-#: Groups up to which their limits (some 50 bytes each) are broadcast.
-MAX_BROADCAST_GROUPS = 200_000
+#: Rows of some 50 bytes up to which a small side is broadcast; beyond it the join is a shuffle.
+MAX_BROADCAST_ROWS = 200_000
 
 
-def edges_fit(limits: DataFrame) -> bool:
-    return limits.limit(MAX_BROADCAST_GROUPS + 1).count() <= MAX_BROADCAST_GROUPS
+def bounded(small: DataFrame, sized: DataFrame | None = None) -> DataFrame:
+    """small, to be broadcast if it (or a table with at least as many rows that is cheap to read) has few enough rows."""
+    n = (small if sized is None else sized).limit(MAX_BROADCAST_ROWS + 1).count()
+    return F.broadcast(small) if n <= MAX_BROADCAST_ROWS else small

@@ -79,18 +79,32 @@ def test_repeat_filter_loses_no_repeat(spark):
         assert sum(r["count"] == 2 for r in got) == 300 and len(got) < 450
 
 
-def test_keep_greatest_is_exact(spark):
+def test_keep_least_is_exact(spark):
     rng = random.Random(1)
-    rows = [(f"g{rng.choice('abc')}", round(rng.random(), 2), i) for i in range(2000)]
+    rows = [(f"g{rng.choice('abc')}", round(rng.random(), 2) + 0.001, i) for i in range(2000)]
     df = spark.createDataFrame(rows, "g string, key double, i bigint")
     limits = spark.createDataFrame([("ga", 10), ("gb", 500), ("gz", 3)], "g string, most bigint")
-    got = sorted(r["i"] for r in bounded_rank.keep_greatest(df, "g", "key", "i", limits, "most", 2000).collect())
+    got = sorted(r["i"] for r in bounded_rank.keep_least(df, "g", "key", "i", limits, "most", 2000).collect())
     want = []
     for g, n in (("ga", 10), ("gb", 500)):
-        want += [i for _, i in sorted((-k, i) for x, k, i in rows if x == g)[:n]]
+        want += [i for _, i in sorted((k, i) for x, k, i in rows if x == g)[:n]]
     assert got == sorted(want)
 
 
+@pytest.mark.parametrize("weight", [0.05, 1.0])
+def test_buckets_stay_small_for_any_weight(spark, monkeypatch, weight):
+    """Ranks of poor records (keys u ** 20) are spread over buckets like those of good ones."""
+    monkeypatch.setattr(bounded_rank, "ROWS_PER_BUCKET", 100)
+    n = 20_000
+    keys = spark.range(n).select("id", F.lit("g").alias("g"), bounded_rank.exponential(bounded_rank.uniform("x", F.col("id")), F.lit(weight)).alias("key"))
+    steps = max(bounded_rank.STEPS, n // 100)
+    assert keys.groupBy(F.floor(F.log2("key") * steps)).count().agg(F.max("count")).first()[0] < 100
+    limits = spark.createDataFrame([("g", 5000)], "g string, most bigint")
+    got = {r["id"] for r in bounded_rank.keep_least(keys, "g", "key", "id", limits, "most", n).collect()}
+    u = keys.select("id", bounded_rank.uniform("x", F.col("id")).alias("u")).collect()
+    assert got == {r["id"] for r in sorted(u, key=lambda r: -r["u"] ** (1 / weight))[:5000]}
+
+
 def test_p2_shares_hold(spark):
     counts = spark.createDataFrame([("s", "a", 100), ("s", "b", 30), ("s", "c", 20), ("t", "a2", 5), ("u", "x", 50), ("u", "y", 60)], "sector string, site string, n bigint")
     shares = spark.createDataFrame([("s", 0.4), ("t", 1.0), ("u", 0.3)], "sector string, share double")
@@ -104,8 +118,8 @@ def test_p2_shares_hold(spark):
 
 def test_p2_quality_prefers_better_records(spark):
     img = [(i, "https://a.example/", 1920 if i % 2 else 0, 1080, "alt", None, "extra") for i in range(400)] + [(1000, None, None, None, None, None, "")] + [(2000 + i, f"http://www.b{i}.example", 10, 10, "", "", "") for i in range(3)]
-    images_ = spark.createDataFrame(img, "row_id bigint, website_url string, detected_width int, detected_height int, img_alt_text string, img_title string, site string")
-    sites = spark.createDataFrame([("https://www.a.example", "s"), *[(f"https://b{i}.example", "s") for i in range(3)]], "url string, sector string")
+    images_ = spark.createDataFrame(img, "row_id bigint, website_url string, detected_width int, detected_height int, img_alt_text string, img_title string, site string").withColumn("organization_name", F.lit(None).cast("string")).withColumn("sector", F.lit("s"))
+    sites = spark.createDataFrame([("https://www.a.example", "s", None), *[(f"https://b{i}.example", "s", "") for i in range(3)]], "url string, sector string, organization_name string")
     rows = p2.contributions(images_, sites)
     counts = rows.groupBy("sector", "site").agg(F.count("*").alias("n"))
     sector_caps = spark.createDataFrame([("s", 100, True)], "sector string, cap bigint, met boolean")
@@ -119,7 +133,7 @@ def test_p2_unknown_sites_count_for_their_organisation(spark):
     img = [(i, "https://one.example/" if i < 100 else None, org[i], "own", 1920, 1080, "alt", None) for i in range(660)] + [(5000 + i, "https://x.example", "X", "t", 1, 1, "", "") for i in range(10)] + [(300, None, "two halls", "own", 1, 1, "", "")]
     images_ = spark.createDataFrame(img, "row_id bigint, website_url string, organization_name string, sector string, detected_width int, detected_height int, img_alt_text string, img_title string")
     sites = spark.createDataFrame([("https://www.one.example", "s", "one museum"), ("https://two-a.example", "t", "Two Halls"), ("https://two-b.example", "t", "Two Halls"), ("https://x.example", "t", "X")], "url string, sector string, organization_name string")
-    rows = p2.contributions_by_organisation(images_, sites)
+    rows = p2.contributions(images_, sites)
     counts = rows.groupBy("sector", "site").agg(F.count("*").alias("n"))
     assert {tuple(r) for r in counts.collect()} == {("s", "one.example", 300), ("t", "organisation: two halls", 201), ("own", "organisation: nowhere", 120), ("t", "x.example", 10), (None, None, 40)}
     kept = p2.capped(rows, counts, p2.count_caps(counts.filter("site is not null"), 50)).groupBy("site").count().collect()
@@ -254,13 +268,18 @@ def test_p4_addresses(spark, a, b, same):
     assert (x == y) == same
 
 
-def test_p5_against_sorting(spark):
+@pytest.mark.parametrize("bound", [5, 100_000])
+def test_p5_against_sorting(spark, monkeypatch, bound):
     rng = random.Random(5)
+    monkeypatch.setattr(p5, "BOUND", bound)
+    monkeypatch.setattr(p5, "PARTS", 4)
     rows = [(rng.choice("ab"), rng.choice([1e-9, 3e-9, 0.5, rng.random(), 1.0, 0.0]), rng.randrange(1, 4)) for _ in range(500)]
-    records = spark.createDataFrame(rows, "source string, score double, n bigint").groupBy("source", "score").agg(F.sum("n").alias("n"))
-    targets = spark.createDataFrame([("a", 0.35), ("b", 0.9), ("none", 0.5)], "source string, fraction double")
+    rows += [("c", 0.9999 + rng.random() / 10_000, 1) for _ in range(300)] + [("d", 1.0, 60)]  # all in one bucket of the sketch
+    records = spark.createDataFrame([(s, x, i) for s, x, n in rows for i in range(n)], "source string, score double, row_id bigint")
+    targets = spark.createDataFrame([("a", 0.35), ("b", 0.9), ("none", 0.5), ("c", 0.5), ("d", 0.1)], "source string, fraction double")
     got = {r["source"]: r for r in p5.cutoffs(records, targets).collect()}
-    for s, f in (("a", 0.35), ("b", 0.9)):
+    assert p5.brackets(records, targets).filter("lo < hi").agg(F.coalesce(F.max("inside"), F.lit(0))).first()[0] <= bound
+    for s, f in (("a", 0.35), ("b", 0.9), ("c", 0.5), ("d", 0.1)):
         flat = sorted((x for g, x, n in rows if g == s for _ in range(n)), reverse=True)
         k = -(-int(f * len(flat) * 1000) // 1000)
         k = int(np.ceil(f * len(flat) - 1e-9))
@@ -271,15 +290,51 @@ def test_p5_against_sorting(spark):
 def test_p5_unusable_scores(spark):
     images_ = spark.createDataFrame([(1, "u", " A "), (2, "u", "a"), (3, "v", None), (4, None, "a"), (5, "w", "a")], "row_id bigint, image_url string, sector string")
     results = spark.createDataFrame([(1, "u", 0.2), (2, "u", 0.7), (3, "u", float("nan")), (4, "w", None), (5, "w", 1.5)], "result_id bigint, image_url string, score double")
-    assert [tuple(r) for r in p5.scored(images_, results).collect()] == [("a", 0.7, 2)]
-
-
-def test_p6_allocation():
-    mk = lambda i, path, share, have, least=0: {"id": i, "category": i, "share": share, "least": least, "available": have, "path": path}
-    t = [mk(1, ("a", "x", 1), 0.5, 10), mk(2, ("a", "x", 2), 0.1, 100), mk(3, ("a", "y", 1), 0.2, 100), mk(4, ("b", "z", 1), 0.2, 100, 30)]
-    out = {x["id"]: x for x in p6.allocate(t, 100)}
-    assert out[1]["quota"] == 10 and out[1]["unmet"] and out[2]["quota"] == 50 and out[4]["quota"] == 30
-    assert p6.allocate([], 10) == []
+    assert sorted(tuple(r) for r in p5.scored(images_, results).collect()) == [(1, "a", 0.7), (2, "a", 0.7)]
+
+
+def _allocated(spark, targets, size):
+    df = spark.createDataFrame(targets, "target_id bigint, s string, u string, share double, least bigint, most bigint").withColumn("there", F.col("most"))
+    got = p6.allocate(df, size).collect()
+    assert all(abs(r["short"] - max(0, r["share"] * size - r["there"])) < 1e-9 for r in got)
+    return {r["target_id"]: r["quota"] for r in got}
+
+
+def test_p6_allocation(spark):
+    t = [(1, "a", "x", 0.5, 0, 10), (2, "a", "x", 0.1, 0, 100), (3, "a", "y", 0.2, 0, 100), (4, "b", "z", 0.2, 30, 100)]
+    assert _allocated(spark, t, 100) == {1: 10, 2: 43, 3: 17, 4: 30}  # 40 rows that 1 lacks go to its sibling; 4 keeps its minimum within the 100
+    assert _allocated(spark, [(1, "a", "x", 0.5, 0, 900), (2, "b", "x", 0.49, 0, 900), (3, "c", "x", 0.01, 50, 900)], 100) == {1: 25, 2: 25, 3: 50}
+    assert _allocated(spark, [(1, "a", "x", 0.5, 80, 900), (2, "b", "x", 0.5, 80, 900)], 100) == {1: 50, 2: 50}  # minima beyond the sample are cut
+    assert _allocated(spark, [(1, "a", "x", 0.5, 0, 5), (2, None, None, 0.5, 0, 7)], 100) == {1: 5, 2: 7}
+    assert _allocated(spark, [], 10) == {}
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 100), st.integers(0, 30), st.integers(0, 300)), min_size=1, max_size=8), st.integers(0, 500))
+def test_p6_division(children, quota):
+    share, least, most = (np.array(x) for x in zip(*children))
+    got = p6.divide(quota, share / 100, least, most)
+    low, high = np.minimum(least, most), np.where(share > 0, most, np.minimum(least, most))
+    assert got.sum() == min(quota, high.sum()) and (got <= high).all() and (quota < low.sum() or (got >= low).all())
+    if quota >= low.sum():  # none that could take more has less for its share than another that could give
+        for i in range(len(share)):
+            for j in range(len(share)):
+                if share[i] and share[j] and got[i] < high[i] and got[j] > low[j]:
+                    assert got[i] >= got[j] * share[i] / share[j] - 1 - share[i] / share[j] - 1e-6
+
+
+def test_p6_sample_against_ranks(spark):
+    rows = [(i, "museum", "art" if i % 3 else "sea", 2020 + i % 2) for i in range(3000)]
+    images_ = spark.createDataFrame(rows, "row_id bigint, sector string, subsector string, wayback_year int")
+    targets = spark.createDataFrame([(1, "museum", "art", 2020, 0.9, 1), (2, "museum", "sea", 2021, 0.1, 60)], "target_id bigint, sector string, subsector string, wayback_year int, target_share double, min_rows int")
+    _, plan = p6.planned(spark, images_, targets)
+    quota = {r["target_id"]: r["quota"] for r in plan.collect()}
+    assert quota == {1: 90, 2: 60}
+    u = {r[0]: r[1] for r in images_.select("row_id", bounded_rank.uniform(p6.SEED, F.col("row_id"))).collect()}
+    want = set()
+    for t, (sub, year) in {1: ("art", 2020), 2: ("sea", 2021)}.items():
+        want |= {(i, t) for i in sorted((i for i, _, s, y in rows if (s, y) == (sub, year)), key=u.get)[: quota[t]]}
+    assert {tuple(r) for r in p6.sample(spark, images_, targets).collect()} == want
 
 
 def test_p6_rows(spark):
