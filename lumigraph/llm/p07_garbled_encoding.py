@@ -1,11 +1,13 @@
 """Problem 7: text that was decoded with a wrong character encoding, found and restored where possible.
 
 Characters are mapped back to the bytes of a legacy encoding. A byte-structure automaton (the well-formed sequences of
-UTF-8, Shift-JIS or EUC-JP, compiled over the characters that stand for each byte) finds the maximal multibyte spans,
-and only those spans are decoded; the rest of the text stays as it is. This is repeated for text garbled more than
-once. Text of one single-byte encoding read as another has no such structure: there the words tell. A word is odd if
+UTF-8, Shift-JIS, EUC-JP, GB18030, Big5 or EUC-KR, compiled over the characters that stand for each byte) finds the
+maximal multibyte spans, and only those spans are decoded; the rest of the text stays as it is. This is repeated for
+text garbled more than once. Byte pairs of several encodings of East Asia look alike: a reading is plausible if all its
+characters are in the part of the encoding that holds the common ones, and the original is given only if one reading is.
+Text of one single-byte encoding read as another has no such structure: there the words tell. A word is odd if
 it mixes scripts, has a sign inside, changes case within or has hardly a plain letter; a pair of encodings is accepted
-if it leaves (nearly) no odd word. Replacement characters and C1 controls are traces of a wrong decoding that can't be
+if it leaves (nearly) no odd word, and the original is given only if no other reading is about as good. Replacement characters and C1 controls are traces of a wrong decoding that can't be
 undone. Plain ASCII fields never leave the JVM; the others go through Arrow, each distinct text judged once a task.
 
 Defined results: null, blank and ASCII texts are no cases, nor are rows without an id; a case that can't be restored (wholly) has restored null;
@@ -64,6 +66,12 @@ def _automaton(codec: str, kind: str) -> tuple[re.Pattern, dict[int, int]]:
         ])
     elif kind == "cp932":
         body = cls((0x81, 0x9F), (0xE0, 0xFC)) + cls((0x40, 0x7E), (0x80, 0xFC))
+    elif kind == "gb18030":
+        body = cls((0xA1, 0xA3), (0xB0, 0xD7)) + cls((0xA1, 0xFE))
+    elif kind == "big5":
+        body = cls((0xA1, 0xA1), (0xA4, 0xC6)) + cls((0x40, 0x7E), (0xA1, 0xFE))
+    elif kind == "euc_kr":
+        body = cls((0xA1, 0xA3), (0xB0, 0xC8)) + cls((0xA1, 0xFE))
     else:
         body = cls((0xA1, 0xFE)) + cls((0xA1, 0xFE))
     return re.compile(f"(?:{body})+"), {ord(c): b for b, cs in chars.items() for c in cs}
@@ -72,6 +80,10 @@ def _automaton(codec: str, kind: str) -> tuple[re.Pattern, dict[int, int]]:
 _UTF8 = [(c, *_automaton(c, "utf-8")) for c in LATIN_CODECS + OTHER_CODECS]
 _ALIEN = {c: {chr(b) for b in range(0x80, 0xA0) if bytes([b]).decode(c, "replace") not in (chr(b), "�")} for c in LATIN_CODECS + OTHER_CODECS}
 _JAPANESE = [(c, k, *_automaton(c, k)) for k in ("cp932", "euc_jp") for c in ("cp1252", "latin-1", "mac_roman", "cp1251", "cp1250")]
+#: Two-byte encodings whose common characters are told by their lead bytes; read as an encoding of Western Europe.
+_EAST = [(k, *_automaton(c, k)) for k in ("gb18030", "big5", "euc_kr") for c in ("cp1252", "latin-1")]
+#: Ranges of common Chinese and Korean characters, and of signs written beside them.
+_EAST_TEXT = {"gb18030": re.compile("[一-鿿　-〗！-～]+"), "big5": re.compile("[一-鿿　-〗！-～]+"), "euc_kr": re.compile("[가-힣　-〗！-～]+")}
 
 #: Ranges of characters that restored text may hold.
 _EXPECTED = re.compile(
@@ -132,6 +144,18 @@ def _multibyte(text: str) -> str | None:
     return best
 
 
+def _eastern(text: str) -> list[str]:
+    """The readings of a text as Chinese or Korean: all its characters beyond ASCII lie in spans of common characters of one encoding."""
+    out = []
+    for kind, rx, back in _EAST:
+        spans = [(m.start(), m.end(), _decoded(m[0], back, kind)) for m in rx.finditer(text)]
+        inside = sum(ord(c) > 127 for s, e, _ in spans for c in text[s:e])
+        if inside < 4 or inside < sum(ord(c) > 127 for c in text) or any(d is None or not _EAST_TEXT[kind].fullmatch(d) for _, _, d in spans):
+            continue
+        out.append(_replaced(text, spans))
+    return sorted(set(out))
+
+
 def _replaced(text: str, spans: list[tuple[int, int, str]]) -> str:
     out, at = [], 0
     for s, e, d in spans:
@@ -144,7 +168,9 @@ def _replaced(text: str, spans: list[tuple[int, int, str]]) -> str:
 _SOUND_SIGNS = set("’‘'·–—…«»“”„°ªº™®©‐- 　、。・ー")
 _RUSSIAN = set("абвгдеёжзийклмнопрстуфхцчшщъыьэюяАБВГДЕЁЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ")
 #: Frequent letters of the languages, to choose between readings without odd words.
-_COMMON = set("оеаинтсрвлкмдпуяОМ" "αοιετσνηυρπκμλςάέίόή" "áéíóúñçãõàèòâêôîäöüßÁÉÍÓÚÑÇÃÕÀÈÄÖÜ·")
+_COMMON = set("оеаинтсрвлкмдпуя" "αοιετσνηυρπκμλςάέίόή" "áéíóúñçãõàèòâêôîäöüß·")
+#: By how much a reading must have more frequent letters than any other to be given as the original.
+CLEARLY = 0.1
 _CURRENCY = set("€£¥¢¤$©®±¿¡§«½¼¾№°")
 
 
@@ -205,39 +231,34 @@ for _wrong, _right in SINGLE:
 
 def _commonness(text: str) -> float:
     """Share of frequent letters among the characters beyond ASCII."""
-    foreign = [c for c in text if ord(c) > 127]
+    foreign = [c for c in text.lower() if ord(c) > 127]
     return sum(c in _COMMON for c in foreign) / max(1, len(foreign))
 
 
-def _single_byte(text: str) -> str | None:
-    """The text read in another single-byte encoding, if that leaves nearly no odd word; null otherwise."""
+def _single_byte(text: str) -> tuple[bool, str | None]:
+    """(whether another single-byte encoding leaves nearly no odd word, the text so read if no other reading is about as good)."""
     odd = _odd_words(text)
     if not odd:
-        return None
-    best, least = None, (odd, 1.0)
+        return False, None
+    ranked: dict[str, tuple[int, float]] = {}
     high = {ord(c) for c in text if ord(c) > 127}
     for pair in SINGLE:
         t = _TABLES[pair]
         if not high <= t.keys() or any(not t[c].isprintable() or t[c] == "�" for c in high):
             continue
         candidate = text.translate(t)
-        if re.fullmatch(r"[^\x00-\x7f]\d{2,}.*", text) and candidate[0] not in _CURRENCY:
+        if candidate in ranked or re.fullmatch(r"[^\x00-\x7f]\d{2,}.*", text) and candidate[0] not in _CURRENCY:
             continue
-        rank = (_odd_words(candidate), 1 - _commonness(candidate))
-        if rank[0] < odd and rank < least:
-            best, least = candidate, rank
-    return best if best is not None and least[0] <= odd / 3 else None
-
-
-#: Two-byte letters whose second byte was lost or turned into a space.
-_LOSSES = [(re.compile(r"(?<=[a-zà-ÿ])Ã (?=[a-zà-ÿ])"), "à"), (re.compile(r"(?<=[a-zà-ÿ])Ã(?=[a-zà-ÿ]|$)"), "í")]
+        ranked[candidate] = (_odd_words(candidate), 1 - _commonness(candidate))
+    best = sorted(((r, n, c) for n, (c, r) in enumerate(ranked.items()) if r[0] < odd))[:2]
+    if not best or best[0][0][0] > odd / 3:
+        return False, None
+    rivals = [*(c for r, _, c in best[1:] if r[0] == best[0][0][0] and r[1] - best[0][0][1] < CLEARLY), *_eastern(text)]
+    return True, None if rivals else best[0][2]
 
 
-def _lossy(text: str) -> str | None:
-    new = text
-    for rx, letter in _LOSSES:
-        new = rx.sub(letter, new)
-    return new if new != text else None
+#: A two-byte letter whose second byte was lost or turned into a space: a trace of a wrong decoding, the letter is gone.
+_LOST = re.compile(r"(?<=[a-zà-ÿ])Ã(?: (?=[a-zà-ÿ])|(?=[a-zà-ÿ]|$))")
 
 
 _REFERENCE = re.compile(r"&#(?:\d+|x[0-9a-fA-F]+);")
@@ -253,17 +274,26 @@ def repair(text: str | None) -> tuple[bool, str | None]:
     """(whether a text was decoded wrongly, the original where it can be restored)."""
     if text is None or text.isascii() and "&#" not in text:
         return False, None
-    now, found = text, False
+    now, found, sure = text, False, True
     if "&#" in text:
         now = _REFERENCE.sub(_character, text)
     for _ in range(MAX_LAYERS):
-        better = _multibyte(now) or _lossy(now) or _single_byte(now)
-        if better is None or better == now:
+        better = _multibyte(now)
+        if better is None or better == now or _odd_words(better) and _eastern(now):  # chance spans in pairs of another encoding
             break
         now, found = better, True
+    if _LOST.search(now):
+        found, sure = True, False
+    else:
+        east = _eastern(now) if not found and _odd_words(now) else []
+        hit, better = _single_byte(now)
+        if hit or east:
+            readings = {*east, *([better] if better else [])}
+            found, sure = True, len(readings) == 1
+            now = readings.pop() if sure else now
     if "�" in now or _CONTROL.search(now):
         return True, None
-    return found, now if found else None
+    return found, now if found and sure else None
 
 
 def garbled_fields(df: DataFrame, fields: list[str], id_col: str = "row_id") -> DataFrame:
