@@ -4,11 +4,15 @@ Each delimiter has its own grammar: an opening sign, an identifier, the matching
 that was cut short). Escaped signs are read as signs. Single braces, percent and dollar signs also occur in sound
 texts, so there the inside must be a name of at least three letters and nothing else; numbers, lists and spaces are
 content. Bare values (null, undefined, NaN) and numbered slots count only where they fill the field; error numbers
-only beside a status phrase. In longer texts (code listings, tutorials) a sign in backquotes or beside a word like
-"template", "syntax" or "variable" is a mention, and residue must be dense: at least DENSITY of the text. In texts of any
-length signs are passed over that the words beside them or backquotes show to be mentions. All tests
-are regular expressions inside the JVM, so the operator is a single pass without a shuffle. Messages are known in any
-case of their letters and without accents.
+only beside a status phrase. Messages are known in any case of their letters and without accents, and cut short: as the
+beginning of a known message, alone, behind a separator or before an ellipsis.
+
+One rule of context and density holds for texts of any length. Code blocks and signs in backquotes, signs within a
+short distance of words about templates ("syntax", "tutorial", "snippet") and messages in quotes beside a word that
+tells of them ("reads", "sign", "screenshot") are mentions and are taken out first. What is left must hold residue
+that takes up at least DENSITY of the whole text: a placeholder or message alone does so in any caption, a phrase met
+once in an article does not. All tests are regular expressions inside the JVM, so the operator is a single pass without
+a shuffle.
 
 Defined results: null and blank fields are no cases; every row is judged by itself, so repeated rows give repeated
 results; an empty table gives an empty result; further columns are ignored; whole texts are read.
@@ -105,14 +109,20 @@ _SINGLE = [rf"\{{{LONG_NAME}{FILTER}\}}", rf"(?<![\p{{L}}\p{{N}}])%{LONG_NAME}{F
 _SLOTS = [r"(?<![\p{L}\p{N}%])%(?:\d+\$)?s(?![\p{L}\p{N}])", r"^[\s\p{P}\p{S}]*\{\d+\}(?:[\s\p{P}\p{S}]*\{\d+\})*[\s\p{P}\p{S}]*$"]
 PLACEHOLDER = "(?iu)" + "|".join([*_GRAMMARS, *_CUT, *_SINGLE, *_SLOTS])
 
-#: Signs that a text of any length talks about: in backquotes, behind a word for them or before one; in quotes where the text is about templates.
+#: Signs that a text talks about: in code blocks or backquotes, behind a word for them or before one; in quotes where the text is about templates; near words about templates.
 _SIGN = "(?:" + "|".join([*_GRAMMARS, *_SINGLE, *_SLOTS[:1]]) + ")"
 _ABOUT = r"(?:syntax|templating|tutorial|placeholders?|template (?:tags?|syntax|languages?|variables?|engines?))"
+_NEAR = r"\b(?:syntax|templating|tutorial|example code|code example|snippet|curly braces?|placeholder called|variable named)\b"
+_GAP = r"[^.!?,;\n]{0,60}"
 MENTIONED = "(?iu)" + "|".join([
-    r"`[^`]*`", rf"\b(?:(?:how to|to) (?:use|write|escape)|(?:placeholder|variable|tag|expression|string|template)s?(?: (?:called|named|like))?|such as|syntax)[\s:]+[\"'“‘«]?{_SIGN}",
+    r"(?s)```.*?```|(?s)<(code|pre)\b[^>]*>.*?</\1>", r"`[^`]*`", rf"(?<={_NEAR}{_GAP}){_SIGN}", rf"{_SIGN}(?={_GAP}{_NEAR})",
+    rf"\b(?:(?:how to|to) (?:use|write|escape)|(?:placeholder|variable|tag|expression|string|template)s?(?: (?:called|named|like))?|such as|syntax)[\s:]+[\"'“‘«]?{_SIGN}",
     rf"{_SIGN}[\"'”’»]?\s+(?:{_ABOUT}\b|(?:in|inside|within|from|for|of)\s+(?:(?:an?|the|your|our)\s+)?(?:\p{{L}}+\s+)?(?:templates?\b|{_ABOUT}\b))",
     rf"(?<=\b{_ABOUT}\b.{{0,200}})[\"'“‘«]{_SIGN}[\"'”’»]|[\"'“‘«]{_SIGN}[\"'”’»](?=.*\b{_ABOUT}\b)",
 ])
+#: Messages and filler that a text talks about (in bare form): in quotes beside a word that tells of them.
+_TOLD = r"(?:reads?|reading|says|said|saying|shows?|showing|displays?|displaying|called|titled|entitled|labell?ed|marked|the (?:words?|phrase|message|text|notice|error)|sign|poster|screenshot of|screen of)"
+QUOTED = rf"\b{_TOLD}\b[^\"“”«».!?\n]{{0,30}}[\"“«„][^\"”»“\n]{{1,160}}[\"”»“]|[\"“«„][^\"”»“\n]{{1,160}}[\"”»“]\s+(?:message|error|page|sign|screen|notice|text|button|label|poster)s?\b|(?s)```.*?```|`[^`]*`"
 
 #: What programs print for missing values and keys.
 _VALUE = r"(?:null|undefined|nan|none)"
@@ -213,9 +223,22 @@ LEAST_BEGINNING = 12
 #: What stands between real text and a message.
 SEPARATOR = r"\s+[|/·•»›–—-]+\s+"
 
-#: Least share of a long text that placeholders must take up, and from what length on a text is long.
-DENSITY, LONG_TEXT = 0.02, 400
-_MENTION = r"(?iu)`[^`]*`|\b(?:syntax|templating|tutorial|example code|snippet|curly braces?|placeholder called|variable named)\b"
+#: Least share of a text that its residue must take up.
+DENSITY = 0.02
+
+#: Short phrases of messages, to know those that an ellipsis cuts.
+PHRASES = [
+    "failed to render", "failed to load", "failed to fetch", "internal server error", "service unavailable", "page not found", "could not be loaded", "session has expired", "access denied", "something went wrong",
+    "temporarily unavailable", "please try again later", "please enable javascript", "requires javascript", "lorem ipsum dolor sit amet",
+]
+
+
+def _cut(phrase: str, least: int) -> str:
+    """A pattern for a phrase that ends anywhere from so many characters on."""
+    out = ""
+    for c in reversed(phrase[least:]):
+        out = f"(?:{re.escape(c)}{out})?"
+    return re.escape(phrase[:least]) + out
 
 #: Signs that may be written as character references or percent escapes.
 _ESCAPES = [
@@ -234,8 +257,16 @@ def signs_unescaped(c: Column) -> Column:
     return c
 
 
+#: A known message or phrase, at least half of it, before an ellipsis at the end; a status number with words that are cut.
+_ELLIPSIS = r"\s*(?:…|\.\.\.)\s*$"
+CUT_MESSAGE = "(?iu)(?:" + "|".join([
+    rf"\b(?:{'|'.join(_cut(bare(p), max(8, len(p) // 2)) for p in [*PHRASES, *BEGINNINGS])})",
+    r"\b(?:http|status(?: code)?|error(?: code)?)[\s:#]*[45]\d\d\b[\s\p{P}]*\p{L}[\p{L}\s]{0,30}",
+]) + f"){_ELLIPSIS}"
+
+
 def cut_short(lower: Column) -> Column:
-    """Whether a field (in bare form), or a part of it between separators, is no more than the beginning of a known message."""
+    """Whether a field (in bare form), or a part of it between separators, is no more than the beginning of a known message, or an ellipsis cuts one."""
     beginnings = [bare(b) for b in BEGINNINGS]
     heads = [b[:LEAST_BEGINNING] for b in beginnings]
 
@@ -244,22 +275,28 @@ def cut_short(lower: Column) -> Column:
         return F.substring(start, 1, LEAST_BEGINNING).isin(heads) & F.exists(F.array(*map(F.lit, beginnings)), lambda m: m.startswith(start))
 
     parts = F.split(lower, SEPARATOR)
-    return is_beginning(lower) | F.when(lower.rlike(SEPARATOR), F.exists(parts, is_beginning)).otherwise(False)
+    cut = F.when(lower.rlike(r"(?:…|\.\.\.)\s*$"), lower.rlike(CUT_MESSAGE)).otherwise(False)
+    return is_beginning(lower) | cut | F.when(lower.rlike(SEPARATOR), F.exists(parts, is_beginning)).otherwise(False)
+
+
+def _residue(text: Column, pattern: str, mentions: str) -> Column:
+    """Whether what matches a pattern outside mentions takes up enough of the text."""
+    left = F.regexp_replace(text, mentions, " ")
+    return left.rlike(pattern) & (F.length(left) - F.length(F.regexp_replace(left, pattern, "")) >= F.length(text) * DENSITY)
 
 
 def residue_kind(c: Column) -> Column:
     """What a field holds instead of content: placeholder, value, filler, error or scripts; null for a sound field."""
 
     def kind(x: Column, lower: Column) -> Column:
-        spans = F.length(F.regexp_replace(x, PLACEHOLDER, ""))
-        dense = (F.length(x) < LONG_TEXT) | ((F.length(x) - spans) / F.length(x) >= DENSITY) & ~x.rlike(_MENTION)
-        told = F.regexp_replace(x, MENTIONED, " ").rlike(PLACEHOLDER)
+        # the pattern by itself is searched first: nearly all fields have no match, and only matches need the second look
+        dense = lambda text, pattern, mentions: text.rlike(pattern) & _residue(text, pattern, mentions)
         return (
-            F.when(_may_be("placeholder", lower) & x.rlike(PLACEHOLDER) & dense & told, "placeholder")
+            F.when(_may_be("placeholder", lower) & dense(x, PLACEHOLDER, MENTIONED), "placeholder")
             .when(_may_be("value", lower) & x.rlike(VALUES), "value")
-            .when(x.rlike(REPEATED) | _may_be("filler", lower) & lower.rlike(FILLER), "filler")
-            .when(_may_be("error", lower) & lower.rlike(ERRORS), "error")
-            .when(_may_be("scripts", lower) & lower.rlike(SCRIPTS), "scripts")
+            .when(x.rlike(REPEATED) | _may_be("filler", lower) & dense(lower, FILLER, QUOTED), "filler")
+            .when(_may_be("error", lower) & dense(lower, ERRORS, QUOTED), "error")
+            .when(_may_be("scripts", lower) & dense(lower, SCRIPTS, QUOTED), "scripts")
             .when(cut_short(lower), "error")
         )
 

@@ -216,6 +216,33 @@ def test_p3_mentions_in_short_texts(spark):
     assert [t for t in sound if got[t]] == [] and [t for t in bad if not got[t]] == []
 
 
+def test_p3_context_and_density_at_any_length(spark):
+    """One rule for all lengths: a mention is none in a short text, a message alone is one in a long field too."""
+    filler = "The old mill by the river was measured and drawn by the survey in 1925. "
+    sound = [
+        'A neon sign reading "Page not found" above a bar', 'Screenshot of "Access denied" on an old terminal', 'Poster saying "lorem ipsum dolor sit amet"', "Use `{{ name }}` here", "```\n{{ a }} {{ b }}\n``` is a template", "<code>${user}</code> explained",
+        filler * 60 + "Then the session expired and we left.", filler * 60 + "{{ alt }}", filler * 60 + "lorem ipsum dolor",
+    ]
+    bad = ["Page not found", filler + "{{ alt }}", filler + "Page not found.", "{{ a }} " * 300, "lorem ipsum dolor sit amet " * 100, "Template Viacrutern failed t...", "template wiacelei failed to rend…", "Status code 500, Internal Server ...", "Old bridge at dusk. Your session has exp…"]
+    got = {r["t"]: r["k"] for r in spark.createDataFrame([(t,) for t in sound + bad], "t string").select("t", p3.residue_kind(F.col("t")).alias("k")).collect()}
+    assert [t[-60:] for t in sound if got[t]] == [] and [t[-60:] for t in bad if not got[t]] == []
+
+
+#: Messages written for this test, none of them in the lists of the module.
+UNSEEN = [
+    "Error 503: the gateway is having a rest", "HTTP 418", "Sorry, that page could not be loaded just now", "Access denied. You tried a locked door", "You do not have permission to look at this picture", "Fatal error in picture.php", "TypeError: width is undefined",
+    "Kindly enable JavaScript before you go on", "Our map requires JavaScript", "JavaScript seems to be disabled", "JavaScript was turned off", "This gallery won't work like that", "Um JavaScript aktivieren zu können", "Merci d'activer JavaScript", "Active el JavaScript, por favor",
+    "Página no encontrada en el archivo", "Cette page introuvable", "Seite nicht gefunden auf dem Server", "{{ entry.caption|upper }}", "{% block alt %}", "${picture.alt}", "<%= picture.alt %>", "[[alt_text]]", "%picture_title%", "Lorem ipsum velit", "Your caption goes here", "Insert a caption", "Please try again later or call us",
+]
+
+
+def test_p3_messages_not_in_the_lists(spark):
+    df = spark.createDataFrame([(t,) for t in UNSEEN], "t string").select("t", p3.residue_kind(F.col("t")).alias("k"))
+    assert not {p3.bare(t) for t in UNSEEN} & {p3.bare(b) for b in p3.BEGINNINGS}
+    missed = [r["t"] for r in df.filter("k is null").collect()]
+    assert len(missed) <= 0.1 * len(UNSEEN), missed
+
+
 def test_p3_triggers_lose_nothing(spark):
     """The search for fixed pieces gives what the patterns alone give."""
     df = spark.read.parquet("/root/testdata/sf0.01/images_meta.parquet").select(F.explode(F.array("img_alt_text", "img_title")).alias("t")).filter("t is not null").distinct()
