@@ -6,7 +6,9 @@ minimum bin slack: a container is opened with the largest piece left, and the mu
 closest to the room left is found by a subset-sum dynamic program over bit sets (one bit per sum, shifted once per
 length and power of two of its count) and traced back to counts. A pattern is used again as often as its counts last,
 so the work follows the number of different lengths (at most the capacity), not the number of pieces. A task leaves
-one container partly filled at its end; tasks are given so many tokens that this is a small part.
+one container partly filled at its end; tasks are given CONTAINERS_PER_TASK containers' worth of tokens, so this is a small
+part. There are at most MAX_TASKS tasks a kind of container: beyond that tasks become larger (their memory is some 40 bytes
+a piece), nothing else changes.
 
 Defined results: documents without an id are left out; null and empty texts have no tokens and take no room: they come out with no container; repeated rows
 are separate items; an empty table gives an empty result; ties between patterns go to the longer pieces first.
@@ -33,6 +35,8 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Tokens that a task packs for each container kind, as a multiple of the capacity, and at least.
 CONTAINERS_PER_TASK = 2_000
+#: Tasks of a kind of container at most.
+MAX_TASKS = 100_000
 #: Longest run of characters given to the tokenizer at once; longer texts are cut between words there.
 RUN = 100_000
 
@@ -131,14 +135,16 @@ def packed(sizes: DataFrame, containers: DataFrame) -> DataFrame:
     container is a number that is unique within a kind; null for items without tokens. containers is a small fixed table.
     """
     kinds = [(r["container_kind"], r["capacity_tokens"]) for r in containers.filter("capacity_tokens > 0").collect()]
+    # numbered once and written, so that the items of a repeated id are spread like any others and a lost task deals the same again
+    sizes = persist_shared(sizes.select("doc_id", "n_tokens", F.monotonically_increasing_id().alias("item")), "sizes")
     total = sizes.agg(F.sum("n_tokens")).first()[0] or 0
     out = None
     for kind, capacity in kinds:
         cuts = F.greatest(F.lit(1), F.ceil(F.col("n_tokens") / capacity)).cast("int")
-        pieces = sizes.select("doc_id", "n_tokens", F.explode(F.sequence(F.lit(1), cuts)).alias("piece")).select(
-            "doc_id", "piece", F.least(F.lit(capacity), F.col("n_tokens") - (F.col("piece") - 1) * capacity).cast("bigint").alias("n_tokens")
+        pieces = sizes.select("item", "doc_id", "n_tokens", F.explode(F.sequence(F.lit(1), cuts)).alias("piece")).select(
+            F.xxhash64("item", "piece").alias("spread"), "doc_id", "piece", F.least(F.lit(capacity), F.col("n_tokens") - (F.col("piece") - 1) * capacity).cast("bigint").alias("n_tokens")
         )
-        n_tasks = max(1, min(100_000, total // (capacity * CONTAINERS_PER_TASK)))
+        n_tasks = max(1, min(MAX_TASKS, total // (capacity * CONTAINERS_PER_TASK)))
 
         def run(batches: Iterator[pd.DataFrame], capacity: int = capacity) -> Iterator[pd.DataFrame]:
             from pyspark import TaskContext
@@ -153,15 +159,14 @@ def packed(sizes: DataFrame, containers: DataFrame) -> DataFrame:
             number[some] = base + pack(df["n_tokens"].to_numpy()[some], capacity)
             yield df.assign(container=number)
 
-        own = pieces.repartition(n_tasks, F.xxhash64("doc_id", "piece")).mapInPandas(run, "doc_id bigint, piece int, n_tokens bigint, container bigint")
+        own = pieces.repartition(n_tasks, "spread").drop("spread").mapInPandas(run, "doc_id bigint, piece int, n_tokens bigint, container bigint")
         own = own.select(F.lit(kind).alias("container_kind"), F.lit(capacity).alias("capacity_tokens"), "doc_id", "piece", "n_tokens", "container")
         out = own if out is None else out.unionAll(own)
     return out if out is not None else sizes.sparkSession.createDataFrame([], "container_kind string, capacity_tokens int, doc_id bigint, piece int, n_tokens bigint, container bigint")
 
 
 def p8_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sizes = persist_shared(measured(table(spark, sf_dir, "documents")), "sizes")
-    return packed(sizes, table(spark, sf_dir, "containers"))
+    return packed(measured(table(spark, sf_dir, "documents")), table(spark, sf_dir, "containers"))
 
 
 def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
