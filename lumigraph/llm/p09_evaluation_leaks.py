@@ -9,8 +9,10 @@ greatest weights stays below the threshold, then block by block by the blocks' g
 of blocks that remain are scored; the bounds of all queries of a batch are computed together as sliding sums.
 Retrieved items are verified on the text: min_words consecutive words, letter case, punctuation and spacing aside.
 
-Items are few next to the corpus; they are indexed in blocks of MAX_ITEMS so that what is broadcast stays bounded,
-each block being searched by all texts.
+Items are spread over shards of bounded size; each shard's index is built and packed by a task of its own and written
+to the shared folder. Packed shards are broadcast together up to MAX_BROADCAST_BYTES, counted before; the corpus is read
+once and its texts are split into words once for all of them. Only where all shards together are larger is it read once
+more for each further group of shards.
 
 Defined results: null texts leak nothing; documents without an id are left out; items of fewer words than min_words can't leak; repeated documents and items
 give one row per pair of ids; an empty table on either side gives an empty result; whole texts are read.
@@ -18,7 +20,9 @@ give one row per pair of ids; an empty table on either side gives an empty resul
 
 from __future__ import annotations
 
+import pickle
 import re
+import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -28,15 +32,18 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumigraph.session import table
+from lumigraph.llm.bounded_rank import bounded
+from lumigraph.session import persist_shared, table
 
 MIN_WORDS = 12
 #: BM25 constants.
 K1, B = 1.2, 0.75
 #: Part of the threshold that a passage must reach; below 1 to allow for words joined or split differently.
 SLACK = 0.75
-#: Items indexed at once.
-MAX_ITEMS = 20_000
+#: Items, and characters of items, that a shard of the index holds.
+ITEMS_PER_SHARD, CHARS_PER_SHARD = 5_000, 5_000_000
+#: Bytes of packed shards that are broadcast together.
+MAX_BROADCAST_BYTES = 64 << 20
 BLOCKS = 96
 #: Tokens whose bounds are computed together.
 CHUNK = 1 << 15
@@ -66,7 +73,7 @@ class Index:
         blocks = -(-len(docs) // self.size) if docs else 0
         self.block_max = np.zeros((len(df) + 1, blocks), np.float32)  # the last row is for words outside the index
         self.postings: dict[tuple[int, int], list[tuple[int, float]]] = defaultdict(list)
-        self.grams: list[list[str]] = []
+        self.words = [w for _, w in docs]
         for d, (_, w) in enumerate(docs):
             tf, length = Counter(w), K1 * (1 - B + B * len(w) / average)
             weight = {t: np.log1p((len(docs) - df[t] + 0.5) / (df[t] + 0.5)) * f * (K1 + 1) / (f + length) for t, f in tf.items()}
@@ -75,7 +82,6 @@ class Index:
                 k, b = self.vocabulary[t], d // self.size
                 self.postings[k, b].append((d, x / least))
                 self.block_max[k, b] = max(self.block_max[k, b], x / least)
-            self.grams.append([" ".join(w[j : j + n]) for j in range(len(w) - n + 1)])
         self.postings = dict(self.postings)
         self.term_max = self.block_max.max(axis=1) if blocks else np.zeros(len(df) + 1, np.float32)
 
@@ -105,15 +111,16 @@ class Index:
 
     def verified(self, item: int, own: list[str]) -> bool:
         """Whether the words hold n consecutive words of the item, also if words are joined or split differently."""
-        line = " " + " ".join(own) + " "
-        if any(f" {g} " in line for g in self.grams[item]):
+        line, w = " " + " ".join(own) + " ", self.words[item]
+        grams = [" ".join(w[j : j + self.n]) for j in range(len(w) - self.n + 1)]
+        if any(f" {g} " in line for g in grams):
             return True
         joined, edges, at = "".join(own), set(), 0
         for w in own:
             edges.add(at)
             at += len(w)
         edges.add(at)
-        for g in self.grams[item]:
+        for g in grams:
             g = g.replace(" ", "")
             p = joined.find(g)
             while p >= 0:
@@ -123,56 +130,72 @@ class Index:
         return False
 
 
-def leaks(docs: DataFrame, items: DataFrame, min_words: int = MIN_WORDS, max_items: int = MAX_ITEMS) -> DataFrame:
+def shards(items: DataFrame, min_words: int = MIN_WORDS, items_per_shard: int = ITEMS_PER_SHARD) -> DataFrame:
+    """(shard, data): the packed indexes of all items, written."""
+    rows = items.select("item_id", "text").filter("item_id is not null and text is not null").distinct()
+    n, chars = rows.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    n_shards = max(1, -(-n // items_per_shard), -(-chars // CHARS_PER_SHARD))
+
+    def build(df: pd.DataFrame) -> pd.DataFrame:
+        df = df.sort_values(["item_id", "text"])
+        data = zlib.compress(pickle.dumps(Index(list(zip(df["item_id"].tolist(), df["text"].tolist())), min_words)), 1)
+        return pd.DataFrame({"shard": [int(df["shard"].iloc[0])], "data": [data]})
+
+    sharded = rows.withColumn("shard", F.pmod(F.xxhash64("item_id"), F.lit(n_shards)).cast("int"))
+    return persist_shared(sharded.groupBy("shard").applyInPandas(build, "shard int, data binary"), "shards")
+
+
+def leaks(docs: DataFrame, items: DataFrame, min_words: int = MIN_WORDS, items_per_shard: int = ITEMS_PER_SHARD, max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
     """(doc_id, item_id) for every document that holds min_words consecutive words of an item."""
-    spark, schema = docs.sparkSession, "doc_id bigint, item_id bigint"
-    out = spark.createDataFrame([], schema)
-    rows = items.select("item_id", "text").filter("item_id is not null and text is not null").distinct().orderBy("item_id", "text").toLocalIterator()
-    block: list[tuple[int, str]] = []
-    for r in rows:
-        block.append((r["item_id"], r["text"]))
-        if len(block) == max_items:
-            out, block = out.unionAll(_search(docs, block, min_words)), []
-    if block:
-        out = out.unionAll(_search(docs, block, min_words))
+    packed, groups, held = shards(items, min_words, items_per_shard), [], 0
+    for r in packed.select("shard", F.length("data").alias("n")).orderBy("shard").collect():  # one small row a shard
+        if not groups or held + r["n"] > max_bytes:
+            groups.append([])
+            held = 0
+        groups[-1].append(r["shard"])
+        held += r["n"]
+    out = docs.sparkSession.createDataFrame([], "doc_id bigint, item_id bigint")
+    for g in groups:
+        out = out.unionAll(_search(docs, [bytes(r["data"]) for r in packed.filter(F.col("shard").isin(g)).orderBy("shard").collect()], min_words))
     return out.distinct()
 
 
-def _search(docs: DataFrame, items: list[tuple[int, str]], min_words: int) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(Index(items, min_words))
+def _search(docs: DataFrame, packed: list[bytes], min_words: int) -> DataFrame:
+    """The leaks of the items of packed shards into all documents, in one pass over them."""
+    shared = docs.sparkSession.sparkContext.broadcast(packed)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index = shared.value
-        number, gap = index.vocabulary.get, np.full(index.n, -1)
+        indexes = [pickle.loads(zlib.decompress(data)) for data in shared.value]
+        gap = np.full(min_words, -1)
         for df in batches:
             found: list[tuple[int, int]] = []
             held: list[tuple[int, list[str], int]] = []
-            parts: list[np.ndarray] = []
             size = 0
 
             def flush() -> None:
-                if not parts:
+                if not held:
                     return
                 starts = [s for _, _, s in held]
-                candidates: dict[tuple[int, int], None] = {}
-                for at, hits in index.retrieve(np.concatenate(parts)):
-                    d = int(np.searchsorted(starts, at, "right")) - 1
-                    candidates.update(dict.fromkeys((d, i) for i in hits))
-                for d, i in candidates:
-                    if index.verified(i, held[d][1]):
-                        found.append((held[d][0], index.ids[i]))
+                for index in indexes:
+                    number = index.vocabulary.get
+                    terms = np.concatenate([x for _, own, _ in held for x in (np.array([number(w, -1) for w in own], np.int64), gap)])
+                    candidates: dict[tuple[int, int], None] = {}
+                    for at, hits in index.retrieve(terms):
+                        d = int(np.searchsorted(starts, at, "right")) - 1
+                        candidates.update(dict.fromkeys((d, i) for i in hits))
+                    for d, i in candidates:
+                        if index.verified(i, held[d][1]):
+                            found.append((held[d][0], index.ids[i]))
 
             for doc, text in zip(df["doc_id"].tolist(), df["text"].tolist()):
                 own = words(text) if text else []
-                if len(own) < index.n:
+                if len(own) < min_words:
                     continue
                 held.append((doc, own, size))
-                parts.append(np.array([number(w, -1) for w in own], np.int64))
-                parts.append(gap)
-                size += len(own) + index.n
+                size += len(own) + min_words
                 if size > CHUNK:
                     flush()
-                    held, parts, size = [], [], 0
+                    held, size = [], 0
             flush()
             yield pd.DataFrame(found, columns=["doc_id", "item_id"])
 
@@ -186,8 +209,8 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p9_item_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every item with the number of documents it leaked into."""
     items = table(spark, sf_dir, "eval_items")
-    n = p9_found(spark, sf_dir).groupBy("item_id").agg(F.count("*").alias("n"))
-    return items.join(F.broadcast(n), "item_id", "left").select("item_id", "task_name", "held_out", F.coalesce("n", F.lit(0)).cast("bigint").alias("n_documents"))
+    n = persist_shared(p9_found(spark, sf_dir).groupBy("item_id").agg(F.count("*").alias("n")), "leaked")
+    return items.join(bounded(n), "item_id", "left").select("item_id", "task_name", "held_out", F.coalesce("n", F.lit(0)).cast("bigint").alias("n_documents"))
 
 
 _SQL_FOUND = r"""
