@@ -367,5 +367,12 @@ QUERIES = {"p10_found": p10_found, "p10_shares": p10_shares, "p10_passages": p10
 SQL = {
     "p10_found": """with w as (select distinct doc_id, hash(substring(text, i, 400)) as h from documents, range(1, length(text) - 398) t(i) where length(text) >= 400),
     s as (select h from w group by 1 having count(*) > 1), v as (select w.* from w join s using (h))
-    select distinct a.doc_id as doc_id_a, b.doc_id as doc_id_b from v a join v b on a.h = b.h and a.doc_id < b.doc_id"""
+    select distinct a.doc_id as doc_id_a, b.doc_id as doc_id_b from v a join v b on a.h = b.h and a.doc_id < b.doc_id""",
+    "p10_shares": """with d as (select doc_id, text, md5(text) as c from documents where length(text) >= 400), sizes as (select c, min(doc_id) as class_id, count(distinct doc_id) as n_equal, min(length(text)) as n_chars from d group by 1),
+    w as (select distinct c, i, hash(substring(text, i, 400)) as h from (select distinct c, text from d), range(1, length(text) - 398) t(i)),
+    s as (select h from w group by 1 having count(distinct c) > 1), v as (select w.* from w join s using (h)),
+    covered as (select c, sum(least(400, coalesce(nxt - i, 400)))::bigint as covered from (select c, i, lead(i) over (partition by c order by i) as nxt from v) group by 1),
+    ch as (select distinct c, h from v), links as (select a.c, count(distinct b.c) as n_links from ch a join ch b on a.h = b.h and a.c <> b.c group by 1)
+    select doc_id, class_id, n_equal, coalesce(n_links, 0)::bigint as n_links, case when n_equal > 1 then n_chars else covered end::bigint as shared_chars, round(case when n_equal > 1 then n_chars else covered end::double / n_chars, 6) as shared_share
+    from (select distinct doc_id, c from d) join sizes using (c) left join covered using (c) left join links using (c) where n_equal > 1 or n_links > 0""",
 }

@@ -6,6 +6,7 @@ import random
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from lumigraph.llm import p08_container_packing as p8
 from lumigraph.llm import p09_evaluation_leaks as p9
@@ -68,10 +69,32 @@ def test_p9_against_brute_force(spark):
     it = spark.createDataFrame(items, "item_id bigint, text string")
     got = p9.leaks(df, it).collect()
     assert {tuple(r) for r in got} == want and len(got) == len(want) and want
-    assert {tuple(r) for r in p9.leaks(df, it, max_items=5).collect()} == want
+    assert {tuple(r) for r in p9.leaks(df, it, items_per_shard=5).collect()} == want  # several shards, one pass
+    assert {tuple(r) for r in p9.leaks(df, it, items_per_shard=5, max_bytes=1).collect()} == want  # a pass for each
     assert p9.leaks(df, it.limit(0)).count() == 0 and p9.leaks(df.limit(0), it).count() == 0
 
 
+def test_p9_many_items_are_one_scan(spark):
+    """Thousands of items in several shards are searched in one pass over the documents."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    items = [(i, " ".join(word() for _ in range(20))) for i in range(3000)]
+    docs = [(i, " ".join(word() for _ in range(30)) + " " + " ".join(items[i * 7][1].split()[4:17])) for i in range(40)]
+    it, df = spark.createDataFrame(items, "item_id bigint, text string"), spark.createDataFrame(docs, "doc_id bigint, text string")
+    got = p9.leaks(df, it, items_per_shard=500)
+    assert p9.shards(it, items_per_shard=500).count() == 6
+    assert {tuple(r) for r in got.collect()} == {(i, i * 7) for i in range(40)}
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("MapInPandas") == 1
+
+
+def test_p8_repeated_ids_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(p8, "CONTAINERS_PER_TASK", 10)
+    sizes = spark.range(2000).select(F.lit(7).cast("bigint").alias("doc_id"), F.lit(40).cast("bigint").alias("n_tokens"))
+    got = p8.packed(sizes, spark.createDataFrame([("k", 100)], "container_kind string, capacity_tokens int"))
+    tasks = got.groupBy((F.col("container") / F.lit(1 << 40)).cast("int")).count().collect()
+    assert len(tasks) > 20 and max(r["count"] for r in tasks) < 200 and sum(r["count"] for r in tasks) == 2000
+
+
 def test_p9_joined_words():
     index = p9.Index([(1, "one two three four five six seven eight nine ten eleven twelve thirteen")])
     assert index.verified(0, p9.words("x one two three fourfive six seven eight nine ten eleven twelve thirteen"))
