@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumigraph.operators import ordered
+
 
 def running(df: DataFrame, keys: list[str], order: str, **values: Column) -> DataFrame:
     """Running sums per key in the order of a unique column."""
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.select(*df.columns, *[F.sum(v).over(w).alias(n) for n, v in values.items()])
+    return ordered.running(df, keys, [F.col(order)], values)
 
 
 def bce(score: Column, label: Column, eps: float = 1e-7) -> Column:
@@ -20,9 +21,8 @@ def bce(score: Column, label: Column, eps: float = 1e-7) -> Column:
 def ecdf(df: DataFrame, value: str, keys: list[str] | None = None) -> DataFrame:
     """(keys, value, share): the share of rows up to each distinct value, from counts per value."""
     keys = keys or []
-    counts = df.filter(F.col(value).isNotNull() & ~F.isnan(value)).groupBy(*keys, value).agg(F.count("*").alias("n"))
-    whole = Window.partitionBy(*keys)
-    return counts.select(*keys, value, (F.sum("n").over(whole.orderBy(value)) / F.sum("n").over(whole)).alias("share"))
+    c = ordered.cumulative_counts(df.filter(~F.isnan(value)), keys, value)
+    return c.select(*keys, value, (F.col("through") / F.col("through_total")).alias("share"))
 
 
 def quota(df: DataFrame, key: str, quotas: dict, order: str) -> DataFrame:
@@ -38,8 +38,7 @@ def quota(df: DataFrame, key: str, quotas: dict, order: str) -> DataFrame:
 
 def spread(df: DataFrame, key: str, order: str, k: int) -> DataFrame:
     """k rows of each group, evenly spread in its order, both ends among them; all rows of smaller groups."""
-    w = Window.partitionBy(key)
-    r = df.withColumn("__i", F.row_number().over(w.orderBy(order)) - 1).withColumn("__n", F.count("*").over(w))
+    r = ordered.ranked(df, [key], [F.col(order)], "__i", "__n").withColumn("__i", F.col("__i") - 1)
     if k == 1:
         return r.filter("__i = 0").drop("__i", "__n")
     wanted = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.bround(i * (F.col("__n") - 1) / F.lit(float(k - 1)), 0).cast("bigint"))
@@ -48,9 +47,8 @@ def spread(df: DataFrame, key: str, order: str, k: int) -> DataFrame:
 
 def every_nth(df: DataFrame, key: str, order: str, k: int) -> DataFrame:
     """About k rows of each group: every (n div k)-th in its order, k at most."""
-    w = Window.partitionBy(key)
-    r = df.withColumn("__i", F.row_number().over(w.orderBy(order)) - 1).withColumn("__step", F.greatest(F.floor(F.count("*").over(w) / k), F.lit(1)))
-    return r.filter((F.col("__i") % F.col("__step") == 0) & (F.col("__i") / F.col("__step") < k)).drop("__i", "__step")
+    r = ordered.ranked(df, [key], [F.col(order)], "__i", "__n").withColumn("__i", F.col("__i") - 1).withColumn("__step", F.greatest(F.floor(F.col("__n") / k), F.lit(1)))
+    return r.filter((F.col("__i") % F.col("__step") == 0) & (F.col("__i") / F.col("__step") < k)).drop("__i", "__n", "__step")
 
 
 def hash_sample(df: DataFrame, id_col: str, fraction: float, seed: int = 42) -> DataFrame:
@@ -70,16 +68,23 @@ def drop_adjacent(df: DataFrame, key: str, order: str, value: str) -> DataFrame:
     return df.withColumn("__b", before).filter(F.col("__b").isNull() | (F.col("__b") != F.col(value))).drop("__b")
 
 
-def natural_key(c: Column, width: int = 12) -> Column:
-    """A text that sorts digits as numbers: each run of digits is padded."""
+def natural_key(c: Column) -> Column:
+    """A text that sorts digits as numbers, however many: each run of digits without leading zeros, behind its length."""
     pieces = F.regexp_extract_all(c, F.lit(r"(\d+|\D+)"), 1)
-    return F.array_join(F.transform(pieces, lambda p: F.when(p.rlike(r"^\d+$"), F.lpad(p, width, "0")).otherwise(F.lower(p))), "")
+
+    def sortable(p: Column) -> Column:
+        digits = F.regexp_replace(p, r"^0+(?=\d)", "")
+        return F.when(p.rlike(r"^\d+$"), F.concat(padded(F.length(digits), 10), digits)).otherwise(F.lower(p))
+
+    return F.array_join(F.transform(pieces, sortable), "")
+
+
+def padded(n: Column, width: int) -> Column:
+    """A number with leading zeros up to a width; longer numbers stay whole."""
+    text = n.cast("string")
+    return F.when(F.length(text) >= width, text).otherwise(F.lpad(text, width, "0"))
 
 
 def offsets(df: DataFrame, order: str, length: str) -> DataFrame:
-    """Start of every row in the concatenation of all; sums per range first, so no task sorts the whole table."""
-    rows = df.repartitionByRange(order).withColumn("__p", F.spark_partition_id())
-    sums = rows.groupBy("__p").agg(F.sum(length).alias("__s"))
-    starts = sums.withColumn("__start", F.coalesce(F.sum("__s").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__s")
-    inner = F.coalesce(F.sum(length).over(Window.partitionBy("__p").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return rows.join(F.broadcast(starts), "__p").withColumn("offset", F.col("__start") + inner).drop("__p", "__start")
+    """Start of every row in the concatenation of all."""
+    return ordered.running(df, [], [F.col(order)], {"__end": F.coalesce(F.col(length), F.lit(0))}).withColumn("offset", F.col("__end") - F.coalesce(F.col(length), F.lit(0))).drop("__end")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumigraph.operators import ordered
+
 
 def attach_files(df: DataFrame, files: DataFrame, path: str, file_path: str = "path") -> DataFrame:
     """df with found_path: the file of exactly this path, else the first of the same name; null where there is none."""
@@ -33,10 +35,8 @@ def triplets(df: DataFrame, id_col: str, label: str, seed: int = 42) -> DataFram
     Rows are numbered per class in hash order; the partner is the next number of the class (cyclic), the negative the
     same number, cyclic, of the next class. Two equi-joins; nothing is paired with all.
     """
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("c").orderBy(F.xxhash64(F.lit(seed), F.col("id")), "id")
-    n = df.select(F.col(id_col).alias("id"), F.col(label).alias("c")).withColumn("__rn", F.row_number().over(w) - 1)
+    ids = df.select(F.col(id_col).alias("id"), F.col(label).alias("c"))
+    n = ordered.ranked(ids, ["c"], [F.xxhash64(F.lit(seed), F.col("id")), F.col("id")], "__rn").withColumn("__rn", F.col("__rn") - 1)
     sizes = df.groupBy(F.col(label).alias("c")).agg(F.count("*").alias("size"))
     order = Window.orderBy("c")  # one row per class
     sizes = sizes.withColumn("next", F.coalesce(F.lead("c").over(order), F.first("c").over(order))).withColumn("next_size", F.coalesce(F.lead("size").over(order), F.first("size").over(order)))

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 #: Rows that one salt of a hot key may hold.
 ROWS_PER_SALT = 100_000
+#: Hot keys (some 100 bytes each) that may be broadcast; a key with less than this part of all rows is never hot.
+MAX_HOT_KEYS = 100_000
 
 
-def hot_keys(groups: DataFrame, keys: list[str], count_col: str, rows_per_salt: int = ROWS_PER_SALT, at_most: int = 1000) -> DataFrame | None:
+def hot_keys(groups: DataFrame, keys: list[str], count_col: str, rows_per_salt: int = ROWS_PER_SALT, at_most: int = MAX_HOT_KEYS) -> DataFrame | None:
     """Keys holding more rows than one task should, with their number of salts.
 
     A key is hot from max(rows_per_salt, total / at_most) rows on, so there are never more than at_most and the list
@@ -39,7 +41,7 @@ def attach_group_values(
     return left.join(right, [*keys, "__salt"]).drop("__salt")
 
 
-def salted_self_join(a: DataFrame, b: DataFrame, key: str, counts: DataFrame, count_col: str, spread_by: str, rows_per_salt: int = 2000, at_most: int = 100_000) -> DataFrame:
+def salted_self_join(a: DataFrame, b: DataFrame, key: str, counts: DataFrame, count_col: str, spread_by: str, rows_per_salt: int = 2000, at_most: int = MAX_HOT_KEYS) -> DataFrame:
     """Inner join of two tables on a key that many rows of both may share: rows of a on a hot key are spread over salts
     by a column, those of b repeated per salt, so the product of a hot key is made by many tasks."""
     hot = hot_keys(counts, [key], count_col, rows_per_salt, at_most)

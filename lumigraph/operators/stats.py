@@ -1,32 +1,35 @@
 """Group statistics, confusion counts and curve metrics over scores.
 
-All are single aggregations (map-side combined) or windows over already aggregated rows: nothing sorts the scores of
-the whole table in one task. Curves over thresholds are built from counts per distinct score.
+All are single aggregations (map-side combined) or sums over counts per distinct score (ordered): nothing sorts the
+scores of the whole table, or of one key, in one task.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumigraph.operators import ordered
+
 
 def score_stats(df: DataFrame, keys: list[str], score: str, population: bool = False) -> DataFrame:
     """n, mean, median, std, min, max and quartiles, exact; std of the sample, or of the population with 0.0 for no rows."""
     s = F.col(score)
-    aggs = [
-        F.count(s).alias("n"), F.avg(s).alias("mean"), F.median(s).alias("median"), F.stddev_pop(s).alias("std") if population else F.stddev_samp(s).alias("std"),
-        F.min(s).alias("min"), F.max(s).alias("max"), F.percentile(s, 0.25).alias("q25"), F.percentile(s, 0.75).alias("q75"),
-    ]
+    aggs = [F.count(s).alias("n"), F.avg(s).alias("mean"), F.stddev_pop(s).alias("std") if population else F.stddev_samp(s).alias("std"), F.min(s).alias("min"), F.max(s).alias("max")]
+    q = ordered.quantiles(df, keys, score, {"q25": 0.25, "median": 0.5, "q75": 0.75})
     out = df.groupBy(*keys).agg(*aggs)
+    if keys:
+        out = out.alias("l").join(q.alias("r"), ordered._same("l", "r", keys), "left").select(*[F.col(f"l.{c}") for c in out.columns], "q25", "median", "q75")
+    else:
+        out = out.crossJoin(q)  # one row each
+    out = out.select(*keys, "n", "mean", "median", "std", "min", "max", "q25", "q75")
     return out.fillna(0.0, [c for c in ("mean", "median", "std", "min", "max", "q25", "q75")]) if population else out
 
 
 def upper_median(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """The element at n div 2 of the sorted values, from counts per distinct value."""
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))
-    w = Window.partitionBy(*keys)
-    at = counts.withColumn("through", F.sum("n").over(w.orderBy(value))).withColumn("total", F.sum("n").over(w))
-    return at.filter(F.col("through") > F.floor(F.col("total") / 2)).groupBy(*keys).agg(F.min(value).alias("upper_median"))
+    at = ordered.cumulative_counts(df, keys, value)
+    return at.filter(F.col("through") > F.floor(F.col("through_total") / 2)).groupBy(*keys).agg(F.min(value).alias("upper_median"))
 
 
 def fixed_domain_counts(df: DataFrame, keys: list[str], column: str, domain: list) -> DataFrame:
@@ -69,19 +72,17 @@ def by_score(df: DataFrame, keys: list[str], score: str, label: str) -> DataFram
         df.filter(F.col(score).isNotNull() & ~F.isnan(score) & F.col(label).isNotNull()).groupBy(*keys, F.col(score).alias("s"))
         .agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"))
     )
-    down, whole = Window.partitionBy(*keys).orderBy(F.desc("s")), Window.partitionBy(*keys)
-    return counts.select(
-        *keys, "s", "pos", "neg", F.sum("pos").over(down).alias("cum_pos"), F.sum("neg").over(down).alias("cum_neg"), F.sum("pos").over(whole).alias("P"), F.sum("neg").over(whole).alias("N")
-    )
+    c = ordered.running(counts, keys, [F.desc("s")], {"cum_pos": F.col("pos"), "cum_neg": F.col("neg")}, totals=True)
+    return c.withColumnsRenamed({"cum_pos_total": "P", "cum_neg_total": "N"})
 
 
 def curve_metrics(df: DataFrame, keys: list[str], score: str, label: str) -> DataFrame:
     """auroc, average precision, area under precision-recall by trapezoids, and the best F1, per group."""
-    w = Window.partitionBy(*keys).orderBy(F.desc("s"))
     c = by_score(df, keys, score, label)
-    precision, recall = F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg")), F.try_divide(F.col("cum_pos"), F.col("P"))
-    c = c.withColumn("precision", precision.cast("double")).withColumn("recall", recall.cast("double"))
-    c = c.withColumn("p0", F.coalesce(F.lag("precision").over(w), F.lit(1.0))).withColumn("r0", F.coalesce(F.lag("recall").over(w), F.lit(0.0)))
+    # the point before a score is what its own counts leave: no row looks at its neighbour
+    pos0, neg0 = F.col("cum_pos") - F.col("pos"), F.col("cum_neg") - F.col("neg")
+    c = c.withColumn("precision", (F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg"))).cast("double")).withColumn("recall", F.try_divide(F.col("cum_pos"), F.col("P")).cast("double"))
+    c = c.withColumn("p0", F.coalesce(F.try_divide(pos0, pos0 + neg0), F.lit(1.0))).withColumn("r0", F.coalesce(F.try_divide(pos0, F.col("P")), F.lit(0.0)))
     f1 = F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall"))
     pairs = F.sum(F.col("neg") * (F.col("cum_pos") - F.col("pos")) + F.col("neg") * F.col("pos") * 0.5)
     return c.groupBy(*keys).agg(
@@ -101,12 +102,14 @@ def confusion_scores(counts: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def histogram(df: DataFrame, value: str, bins: int, keys: list[str] | None = None) -> DataFrame:
-    """Equal-width bins between the least and greatest value, the last closed; empty bins are left out."""
+    """Equal-width bins between the least and greatest value, the last closed; bins without a value have 0."""
     keys = keys or []
-    ends = df.groupBy(*keys).agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
-    rows = df.join(F.broadcast(ends), keys) if keys else df.crossJoin(F.broadcast(ends))  # one row of two numbers per group
+    ends = df.groupBy(*keys).agg(F.min(value).alias("lo"), F.max(value).alias("hi")).filter("lo is not null")
+    rows = df.join(ends, keys) if keys else df.crossJoin(F.broadcast(ends))  # without keys one row of two numbers
     bin_ = F.when(F.col("hi") == F.col("lo"), 0).otherwise(F.least(F.floor((F.col(value) - F.col("lo")) / ((F.col("hi") - F.col("lo")) / bins)), F.lit(bins - 1)))
-    return rows.filter(F.col(value).isNotNull()).groupBy(*keys, bin_.cast("int").alias("bin")).agg(F.count("*").alias("n"), F.min("lo").alias("lo"), F.min("hi").alias("hi"))
+    found = rows.filter(F.col(value).isNotNull()).groupBy(*keys, bin_.cast("int").alias("bin")).agg(F.count("*").alias("n"))
+    every = ends.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
+    return every.join(found, [*keys, "bin"], "left").select(*keys, "bin", F.coalesce("n", F.lit(0)).alias("n"), "lo", "hi")
 
 
 def edges_histogram(value: Column, edges: list[float]) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lumigraph.functions import text as X
 from lumigraph.functions import url as U
 from lumigraph.operators import dedup as D
-from lumigraph.operators import curves, joins
+from lumigraph.operators import curves, joins, ordered
 from lumigraph.operators import filters as P
 from lumigraph.plans.registry import query
 from lumigraph.session import table
@@ -604,10 +604,10 @@ def smallest_per_bucket(spark, d):
     return curves.quota(i.withColumn("o", F.struct("r", "row_id")), "aspect", {"wide": 3, "tall": 3}, "o").select("row_id", "aspect")
 
 
-@query("enumerated_names", "select row_id, 'image_' || lpad(cast(row_number() over (partition by website_url order by row_id) as varchar), 6, '0') as name from images_meta where website_url is not null")
+@query("enumerated_names", "select row_id, 'image_' || printf('%06d', row_number() over (partition by website_url order by row_id)) as name from images_meta where website_url is not null")
 def enumerated_names(spark, d):
-    rn = F.row_number().over(Window.partitionBy("website_url").orderBy("row_id"))
-    return images(spark, d).filter("website_url is not null").select("row_id", F.concat(F.lit("image_"), F.lpad(rn.cast("string"), 6, "0")).alias("name"))
+    i = ordered.ranked(images(spark, d).filter("website_url is not null").select("row_id", "website_url"), ["website_url"], [F.col("row_id")])
+    return i.select("row_id", F.concat(F.lit("image_"), curves.padded(F.col("rank"), 6)).alias("name"))
 
 
 @query("split_by_ads", f"select is_ad, sector, count(*) as n from (select sector, {any_of(_ADTEXT, P.AD_KEYWORDS)} or coalesce((detected_width, detected_height) in {_BANNERS}, false) as is_ad from images_meta) group by 1, 2")

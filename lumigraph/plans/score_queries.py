@@ -5,12 +5,13 @@ Where a query needs a label, web_classifier_results gets a stand-in one from its
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumigraph.functions import text as X
 from lumigraph.functions import url as U
 from lumigraph.operators import curves as C
+from lumigraph.operators import ordered
 from lumigraph.operators import stats as S
 from lumigraph.plans.registry import query
 from lumigraph.session import table
@@ -124,7 +125,7 @@ def roc_points(spark, d):
     return c.select(F.col("s").alias("score"), F.try_divide(F.col("cum_neg"), F.col("N")).alias("fpr"), F.try_divide(F.col("cum_pos"), F.col("P")).alias("tpr"))
 
 
-@query("histogram_equal_width", _R + ", e as (select min(score) as lo, max(score) as hi from v) select least(floor((score - lo) / ((hi - lo) / 25)), 24)::int as bin, count(*) as n, min(lo) as lo, min(hi) as hi from v, e group by 1")
+@query("histogram_equal_width", _R + ", e as (select min(score) as lo, max(score) as hi from v), h as (select least(floor((score - lo) / ((hi - lo) / 25)), 24)::int as bin, count(*) as n from v, e group by 1) select b::int as bin, coalesce(n, 0) as n, lo, hi from range(25) t(b) cross join e left join h on b = bin")
 def histogram_equal_width(spark, d):
     return S.histogram(valid(spark, d), "score", 25)
 
@@ -141,7 +142,7 @@ def ecdf(spark, d):
 
 @query("score_curve", _R + "select source, result_id, row_number() over (partition by source order by score desc, result_id) as rank from v")
 def score_curve(spark, d):
-    return valid(spark, d).select("source", "result_id", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("score"), "result_id")).alias("rank"))
+    return ordered.ranked(valid(spark, d).select("source", "result_id", "score"), ["source"], [F.desc("score"), F.col("result_id")]).select("source", "result_id", "rank")
 
 
 @query("running_accuracy", _R + "select result_id, sum(case when predicted_label = gt then 1 else 0 end) over w::double / count(*) over w as accuracy from v where gt is not null window w as (partition by source order by result_id rows unbounded preceding)")
@@ -176,7 +177,7 @@ def accuracy_vs_threshold(spark, d):
 def topk_box(spark, d):
     v = valid(spark, d).filter("source is not null")
     top = v.groupBy("source").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "source").limit(10).select("source")
-    return v.join(F.broadcast(top), "source", "left_semi").groupBy("source").agg(F.percentile("score", 0.25).alias("q25"), F.median("score").alias("median"), F.percentile("score", 0.75).alias("q75"))
+    return ordered.quantiles(v.join(F.broadcast(top), "source", "left_semi"), ["source"], "score", {"q25": 0.25, "median": 0.5, "q75": 0.75})
 
 
 @query("balanced_quota", "select row_id, sector from (select row_id, sector, row_number() over (partition by sector order by row_id) as rn from images_meta where sector in ('museum', 'press', 'retail')) where rn <= case sector when 'museum' then 50 when 'press' then 30 else 20 end")
