@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 SOURCE_ATTRIBUTES = ["src", "data-src", "data-original", "data-lazy-src", "data-url", "data-image", "data-srcset", "srcset"]
 META_IMAGES = {"og:image", "og:image:url", "og:image:secure_url", "twitter:image", "twitter:image:src"}
+#: Parts of the address of a page about a video.
+VIDEO_PATHS = ["/video/", "/videos/", "/watch", "/player/"]
 TEXT_CONTEXT = 220
 
 IMAGE_SCHEMA = (
@@ -26,6 +28,23 @@ IMAGE_SCHEMA = (
 LINK_SCHEMA = "page_url string, idx int, href string, url string, text string"
 META_SCHEMA = "page_url string, title string, n_images int, n_links int, is_video boolean"
 
+_DESCRIPTOR = re.compile(r"([0-9]+(?:\.[0-9]+)?)([wx])")
+
+
+def best_source(srcset: str) -> str:
+    """The largest source of a srcset: widths as they are, densities in thousands; the last on ties, the first without any."""
+    best, size = "", -1.0
+    for entry in re.split(r",\s+|,(?=[^\s,]+\s)", srcset.strip()):
+        parts = entry.strip(" ,").split()
+        if not parts:
+            continue
+        m = _DESCRIPTOR.fullmatch(parts[-1].lower()) if len(parts) > 1 else None
+        n = float(m[1]) * (1000 if m[2] == "x" else 1) if m else 0.0
+        if n > size or n == size and n > 0:
+            best, size = parts[0], n
+    return best
+
+
 _CSS_URL = re.compile(r"""url\(\s*['"]?([^'")]+)['"]?\s*\)""")
 
 
@@ -57,9 +76,9 @@ class PageParser(HTMLParser):
             for name in SOURCE_ATTRIBUTES:
                 if a.get(name) and not found:
                     found = True
-                    self._add(a[name].split(",")[0].split()[0] if "srcset" in name else a[name], tag, name, a)
+                    self._add(best_source(a[name]) if "srcset" in name else a[name], tag, name, a)
         elif tag == "source" and a.get("srcset") and any(e["tag"] == "picture" for e in self._stack):
-            self._add(a["srcset"].split(",")[0].split()[0], "source", "srcset", a)
+            self._add(best_source(a["srcset"]), "source", "srcset", a)
         elif tag == "video" and a.get("poster"):
             self._add(a["poster"], "poster", "poster", a)
         elif tag == "link" and "preload" in a.get("rel", "") and a.get("as") == "image":
@@ -163,7 +182,7 @@ def page_link_rows(pages: DataFrame, url: str = "url", html: str = "html") -> Da
 
 
 def page_facts(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """Title, counts and whether a page is about a video (og:type or a twitter player)."""
+    """Title, counts and whether a page is about a video (its address, og:type or a twitter player)."""
 
     def run(batches):
         for b in batches:
@@ -171,6 +190,7 @@ def page_facts(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
             for u, h in zip(b[url], b[html]):
                 p = parse(h, u)
                 video = "video" in p.meta.get("og:type", "").lower() or any("player" in p.meta.get(k, "").lower() for k in ("twitter:card", "twitter:player"))
+                video |= any(w in (u or "").lower() for w in VIDEO_PATHS)
                 rows.append({"page_url": u, "title": " ".join(p.title.split()), "n_images": len(p.images), "n_links": len(p.links), "is_video": video})
             yield _frame(rows, META_SCHEMA)
 

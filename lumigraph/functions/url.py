@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: Second-level labels below a country code, and tracking parameters.
 SECOND_LEVEL = ["ac", "co", "com", "edu", "gov", "ltd", "me", "net", "org", "plc", "sch"]
@@ -94,29 +92,36 @@ def normalise_url(u: Column) -> Column:
     return F.concat(scheme(full), F.lit("://"), netloc(full), path(full), F.when(q == "", "").otherwise(F.concat(F.lit("?"), q)))
 
 
+def without_dots(p: Column) -> Column:
+    """A path from the root without "." and ".." segments; ".." at the root stays there."""
+
+    def fold(parts: Column) -> Column:
+        last = F.element_at(parts, -1)
+        kept = F.aggregate(
+            F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), F.array().cast("array<string>"),
+            lambda acc, x: F.when(x == ".", acc).when(x == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(x))),
+        )
+        return F.concat(F.lit("/"), F.array_join(F.when(last.isin(".", ".."), F.concat(kept, F.array(F.lit("")))).otherwise(kept), "/"))
+
+    return F.when(p.rlike(r"/\.{1,2}(?:/|$)"), F.transform(F.array(F.split(p, "/")), fold)[0]).otherwise(p)
+
+
 def resolve(base: Column, href: Column) -> Column:
-    """Absolute form of a reference; the plain cases in the JVM (see resolve_any for dot segments)."""
+    """Absolute form of a reference as RFC 3986 has it, in the JVM."""
     origin = F.regexp_extract(base, r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*", 0)
     folder = F.regexp_extract(path(base), r"^(.*/)", 1)
+    own, rest = F.regexp_extract(href, r"^[^?#]*", 0), F.regexp_extract(href, r"^[^?#]*([\s\S]*)$", 1)
     return (
         F.when(F.coalesce(href, F.lit("")) == "", base)
         .when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), href)
         .when(href.startswith("//"), F.concat(scheme(base), F.lit(":"), href))
-        .when(href.startswith("/"), F.concat(origin, href))
+        .when(href.startswith("/"), F.concat(origin, without_dots(own), rest))
         .when(href.startswith("?"), F.concat(origin, path(base), href))
         .when(href.startswith("#"), F.concat(F.regexp_replace(base, r"#.*$", ""), href))
-        .otherwise(F.concat(origin, F.when(folder == "", "/").otherwise(folder), href))
+        .otherwise(F.concat(origin, without_dots(F.concat(F.when(folder == "", "/").otherwise(folder), own)), rest))
     )
 
 
-@F.pandas_udf(T.StringType())
-def resolve_any(base: pd.Series, href: pd.Series) -> pd.Series:
-    """All of RFC 3986 (dot segments too), in Arrow batches."""
-    from urllib.parse import urljoin
-
-    return pd.Series([urljoin(b or "", h or "") if b is not None else None for b, h in zip(base, href)])
-
-
 def wayback_build(ts: Column, original: Column, flag: str = "id_") -> Column:
     return F.concat(F.lit(WAYBACK), ts, F.lit(f"{flag}/"), original)
 
@@ -127,6 +132,18 @@ def wayback_original(u: Column, host: str = r"web\.archive\.org") -> Column:
     return F.when(inner != "", inner).otherwise(u)
 
 
+def wayback_base(u: Column) -> Column:
+    """The archive address up to the address inside, which links of an archived page are put behind; null if it is none."""
+    return F.nullif(F.regexp_extract(u, r"^(https?://web\.archive\.org/web/\d{14}[a-z_]*/)", 1), F.lit(""))
+
+
+def wayback_rewrite(page: Column, href: Column, flag: str | None = None) -> Column:
+    """A link of an archived page, resolved against the original page and put behind the page's archive prefix; links into the archive stay."""
+    prefix = wayback_base(page) if flag is None else F.regexp_replace(wayback_base(page), r"(\d{14})[a-z_]*/$", f"$1{flag}/")
+    full = resolve(wayback_original(page), F.regexp_replace(href, r"^/web/(?=\d{14})", WAYBACK))
+    return F.when(prefix.isNull() | full.startswith(WAYBACK), full).otherwise(F.concat(prefix, full))
+
+
 def wayback_timestamp(u: Column) -> Column:
     return F.nullif(F.regexp_extract(u, r"/web/(\d{14})", 1), F.lit(""))
 

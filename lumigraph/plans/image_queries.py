@@ -18,6 +18,11 @@ _PATH = r"regexp_extract({u}, '^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?(?://[^/?#]*)?([^?
 _SCHEME = r"lower(regexp_extract({u}, '^([A-Za-z][A-Za-z0-9+.\-]*):', 1))"
 
 
+#: An address without white space around it and line ends inside, as the functions read it.
+_SPACE = r"[\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+_STRIPPED = f"regexp_replace(regexp_replace(image_url, '^{_SPACE}|{_SPACE}$', '', 'g'), '[\t\r\n]', '', 'g')"
+
+
 def netloc(u: str) -> str:
     return _NETLOC.replace("{u}", u)
 
@@ -67,13 +72,8 @@ def page_canonical(spark, d):
     return images(spark, d).select("row_id", U.canonical_page(F.col("page_url")).alias("page"))
 
 
-@query("link_normalise", "select row_id, regexp_replace(replace(trim(image_url, ' '), ' ', '%20'), '#[^\n]*$', '') as link from images_meta where image_url not like '%\n%' and image_url not like '%\r%'")
+@query("link_normalise", f"select row_id, regexp_replace(replace(trim({_STRIPPED}, ' '), ' ', '%20'), '#[^\n]*$', '') as link from images_meta")
 def link_normalise(spark, d):
-    return images(spark, d).filter("image_url not like '%\n%' and image_url not like '%\r%'").select("row_id", U.normalise_link(F.col("image_url")).alias("link"))
-
-
-@query("link_normalise_all")
-def link_normalise_all(spark, d):
     """Of every record, those with line ends in or around their address too."""
     return images(spark, d).select("row_id", U.normalise_link(U.stripped(F.col("image_url"))).alias("link"))
 
@@ -122,14 +122,13 @@ def link_priority(spark, d):
 
 
 def _srcset(spark, d):
-    w = F.col("detected_width")
-    u = F.col("image_url")
-    return images(spark, d).filter("image_url like 'https://%' and image_url not like '%,%' and image_url not like '% %' and not image_url rlike '\\\\s' and detected_width > 0").select(
-        "row_id", F.concat(u, F.lit(" "), w, F.lit("w, "), u, F.lit("?2 "), w + 300, F.lit("w,"), u, F.lit("?3 2x")).alias("srcset")
-    )
+    """A srcset of three sources for every record; signs that separate sources are escaped in its address."""
+    w = F.greatest(F.coalesce("detected_width", F.lit(1)), F.lit(1))
+    u = F.replace(F.regexp_replace(F.coalesce("image_url", F.lit("none")), r"[ \t\n\f\r]", ""), F.lit(","), F.lit("%2C"))
+    return images(spark, d).select("row_id", F.concat(u, F.lit(" "), w, F.lit("w, "), u, F.lit("?2 "), w + 300, F.lit("w,"), u, F.lit("?3 2x")).alias("srcset"))
 
 
-_SRCSET_FROM = "from images_meta where image_url like 'https://%' and image_url not like '%,%' and image_url not like '% %' and not regexp_matches(image_url, '\\s') and detected_width > 0"
+_SRCSET_FROM = "from (select row_id, replace(regexp_replace(coalesce(image_url, 'none'), '[ \\t\\n\\f\\r]', '', 'g'), ',', '%2C') as image_url, greatest(coalesce(detected_width, 1), 1) as detected_width from images_meta)"
 
 
 @query("srcset_best_a", f"select row_id, case when detected_width > 2000 then image_url else image_url || '?2' end as best {_SRCSET_FROM}")
@@ -152,10 +151,12 @@ def srcset_first(spark, d):
     return _srcset(spark, d).select("row_id", U.srcset_first(F.col("srcset")).alias("first_url"))
 
 
-@query("css_urls", "select row_id, len(regexp_extract_all('a{background:url(\"' || stored_path || '\")} b{background:url(' || stored_filename || ')}', 'url\\(')) as n, stored_path as first_url from images_meta where stored_path not like '%(%' and stored_path not like '%''%'")
+@query("css_urls", "select row_id, 2::bigint as n, translate(stored_path, '()''\"', '____') as first_url from images_meta where stored_path is not null and stored_filename is not null")
 def css_urls(spark, d):
-    css = F.concat(F.lit('a{background:url("'), "stored_path", F.lit('")} b{background:url('), "stored_filename", F.lit(")}"))
-    return images(spark, d).filter("stored_path not like '%(%' and stored_path not like \"%'%\"").select("row_id", F.size(U.css_urls(css)).cast("bigint").alias("n"), U.css_urls(css)[0].alias("first_url"))
+    """Two addresses in a style for every record; signs that end an address are replaced."""
+    p, n = (F.translate(c, "()'\"", "____") for c in ("stored_path", "stored_filename"))
+    css = F.concat(F.lit('a{background:url("'), p, F.lit('")} b{background:url('), n, F.lit(")}"))
+    return images(spark, d).filter("stored_path is not null and stored_filename is not null").select("row_id", F.size(U.css_urls(css)).cast("bigint").alias("n"), U.css_urls(css)[0].alias("first_url"))
 
 
 @query("file_parts", f"select row_id, regexp_extract({path('page_url')}, '[^/]*$', 0) as name, lower(regexp_extract(stored_filename, '[^.](\\.[^.]+)$', 1)) as ext from images_meta")
@@ -175,15 +176,10 @@ _SAFE = "'" + "','".join(U.SAFE_EXTENSIONS) + "'"
 
 
 @query("safe_filename", f"""
-with x as (select row_id, image_url as u, regexp_replace(regexp_extract({path('image_url')}, '[^/]*$', 0), '[^A-Za-z0-9_.\\-]', '_', 'g') as name from images_meta where image_url like 'https://%'),
+with x as (select row_id, image_url as u, regexp_replace(regexp_extract({path('image_url')}, '[^/]*$', 0), '[^A-Za-z0-9_.\\-]', '_', 'g') as name from images_meta),
 y as (select *, lower(regexp_extract(name, '[^.](\\.[^.]+)$', 1)) as ext, substr(md5(u), 1, 12) as digits from x)
 select row_id, case when ext in ({_SAFE}) then substr(substr(name, 1, length(name) - length(ext)), 1, 80) || '_' || digits || ext else digits || '.jpg' end as file from y""")
 def safe_filename(spark, d):
-    return images(spark, d).filter("image_url like 'https://%'").select("row_id", U.safe_filename(F.col("image_url")).alias("file"))
-
-
-@query("safe_filename_all")
-def safe_filename_all(spark, d):
     return images(spark, d).select("row_id", U.safe_filename(F.col("image_url")).alias("file"))
 
 
@@ -204,13 +200,8 @@ def partition_path(spark, d):
 _NORM = "lower(trim(regexp_replace(coalesce({c}, ''), '\\s+', ' ', 'g'), ' '))"
 
 
-@query("norm_text", "select row_id, " + _NORM.format(c="img_title") + " as title, trim(regexp_replace(regexp_replace(lower(regexp_replace(coalesce(img_title, ''), '\\s+', ' ', 'g')), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g'), ' ') as meta from images_meta where length(coalesce(img_title, '')) < 380")
+@query("norm_text", "with x as (select row_id, img_title, trim(regexp_replace(coalesce(img_title, ''), '\\s+', ' ', 'g'), ' ') as t from images_meta), y as (select *, case when length(t) > 400 then rtrim(substr(t, 1, 400), ' ') || '...' else t end as cut from x) select row_id, " + _NORM.format(c="img_title") + " as title, trim(regexp_replace(regexp_replace(lower(cut), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g'), ' ') as meta from y")
 def norm_text(spark, d):
-    return images(spark, d).filter("length(coalesce(img_title, '')) < 380").select("row_id", X.normal(F.col("img_title")).alias("title"), X.normal_meta(F.col("img_title")).alias("meta"))
-
-
-@query("norm_text_all")
-def norm_text_all(spark, d):
     return images(spark, d).select("row_id", X.normal(F.col("img_title")).alias("title"), X.normal_meta(F.col("img_title")).alias("meta"))
 
 
@@ -468,34 +459,23 @@ def seen_before_filter(spark, d):
 
 
 _CANON = rf"""
-with x as (select row_id, image_url as u, detected_width as w, detected_height as h from images_meta where image_url like 'https://%'),
+with x as (select row_id, {_STRIPPED} as u, detected_width as w, detected_height as h from images_meta),
 a as (select *, list_filter(string_split({path('u')}, '/'), lambda p: p <> '' and not regexp_full_match(p, 'image_\d+_\d+') and not starts_with(p, 'content_image_')) as ps from x),
 b as (select *, [p for p, i in ps if i = 1 or p <> ps[i - 1]] as qs from a),
 c as (select *, regexp_replace(qs[-1], '([^.])\.[^.]+$', '\1') as s0 from b),
 e as (select *, case when contains(s0, '.r_d.') then split_part(s0, '.r_d.', 1) else s0 end as s1 from c),
-k as (select row_id, w, h, {netloc('u')} || '|' || case when len(qs) = 0 then '' else array_to_string(list_append(qs[:-2], case when regexp_matches(s1, '(-\d+)(-\d+)+$') then regexp_replace(s1, '-\d+$', '') else s1 end), '/') end as k from e)
+k as (select row_id, w, h, case when {scheme('u')} in ('http', 'https') then {netloc('u')} || '|' || case when len(qs) = 0 then '' else array_to_string(list_append(qs[:-2], case when regexp_matches(s1, '(-\d+)(-\d+)+$') then regexp_replace(s1, '-\d+$', '') else s1 end), '/') end else '' end as k from e)
 """
 
 
 @query("canonical_key", _CANON + "select row_id, k as image_key from k")
 def canonical_key(spark, d):
-    return images(spark, d).filter("image_url like 'https://%'").select("row_id", D.canonical_image_key(F.col("image_url")).alias("image_key"))
-
-
-@query("canonical_key_all")
-def canonical_key_all(spark, d):
+    """Of every record; empty for those without an address or with one that is not http."""
     return images(spark, d).select("row_id", D.canonical_image_key(U.stripped(F.col("image_url"))).alias("image_key"))
 
 
-@query("canonical_key_best", _CANON + "select k as image_key, row_id from (select *, row_number() over (partition by k order by coalesce(w * h, 0) desc, coalesce(w, 0) desc, coalesce(h, 0) desc, row_id) as rn from k) where rn = 1")
+@query("canonical_key_best", _CANON + "select k as image_key, row_id from (select *, row_number() over (partition by k order by coalesce(w * h, 0) desc, coalesce(w, 0) desc, coalesce(h, 0) desc, row_id) as rn from k where k <> '') where rn = 1 union all select k, row_id from k where k = ''")
 def canonical_key_best(spark, d):
-    w, h = F.col("detected_width"), F.col("detected_height")
-    i = images(spark, d).filter("image_url like 'https://%'").select(D.canonical_image_key(F.col("image_url")).alias("image_key"), "row_id", "detected_width", "detected_height")
-    return D.best_of_group(i, "image_key", [w * h, w, h], "row_id").select("image_key", "row_id")
-
-
-@query("canonical_key_best_all")
-def canonical_key_best_all(spark, d):
     """Records without a key (no address, or one that is not http) all stay."""
     w, h = F.col("detected_width"), F.col("detected_height")
     i = images(spark, d).select(D.canonical_image_key(U.stripped(F.col("image_url"))).alias("image_key"), "row_id", "detected_width", "detected_height")

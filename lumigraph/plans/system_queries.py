@@ -15,40 +15,10 @@ from lumigraph.streaming import running
 
 
 def pages(spark, d):
-    """A page per image record, built from the record: a figure with the image, a link to the site and one to the page."""
-    i = table(spark, d, "images_meta").filter("image_url like 'https://%' and page_url is not null and website_url is not null and image_url not like '%\"%' and image_url not like '%&%'")
-    body = F.concat(
-        F.lit("<html><head><title>"), "stored_filename", F.lit('</title></head><body><figure><img src="'), "image_url", F.lit('" width="'), F.coalesce("detected_width", F.lit(0)),
-        F.lit('"><figcaption>'), "stored_filename", F.lit('</figcaption></figure><a href="/news/'), "row_id", F.lit('?x=1#y">n</a> <a class="b" href="mailto:x@h.example">m</a></body></html>'),
-    )
-    return i.select("row_id", F.col("page_url").alias("url"), body.alias("html"), "image_url", "stored_filename")
-
-
-_PAGES = "from images_meta where image_url like 'https://%' and page_url is not null and website_url is not null and image_url not like '%\"%' and image_url not like '%&%'"
-
-
-@query("page_images", f"select 'img' as kind, 'figure' as parent_tag, count(*) as n, count(distinct stored_filename) as n_contexts {_PAGES}")
-def page_images(spark, d):
-    return html.page_images(pages(spark, d)).groupBy("kind", "parent_tag").agg(F.count("*").alias("n"), F.countDistinct("context").alias("n_contexts"))
+    """A page per image record: a figure with the image in one of three forms, links up, down, out and unquoted.
 
-
-@query("page_facts", f"select count(*) as n_pages, count(*) as n_images, 2 * count(*) as n_links, count(distinct stored_filename) as n_titles {_PAGES}")
-def page_facts(spark, d):
-    return html.page_facts(pages(spark, d)).agg(F.count("*").alias("n_pages"), F.sum("n_images").alias("n_images"), F.sum("n_links").alias("n_links"), F.countDistinct("title").alias("n_titles"))
-
-
-@query("page_links", f"select page_url as url, regexp_extract(page_url, '^[A-Za-z][A-Za-z0-9+.\\-]*://[^/?#]*', 0) || '/news/' || row_id as link, true as is_priority {_PAGES}")
-def page_links(spark, d):
-    return crawl.page_links(pages(spark, d)).select("url", "link", "is_priority")
-
-
-@query("frontier_queue", f"select distinct page_url as url {_PAGES} and page_url not in (select website_url from images_meta where website_url is not null)")
-def frontier_queue(spark, d):
-    return crawl.frontier_queue(pages(spark, d), table(spark, d, "images_meta").filter("website_url is not null").select(F.col("website_url").alias("url"))).select("url")
-
-
-def whole_pages(spark, d):
-    """A page per image record as in pages(), of every record: signs with a meaning in HTML are written as character references."""
+    Signs with a meaning in HTML are written as character references, so every record has its page.
+    """
     def written(c):
         for sign, reference in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
             c = F.replace(c, F.lit(sign), F.lit(reference))
@@ -57,30 +27,38 @@ def whole_pages(spark, d):
     name = written(F.col("stored_filename"))
     body = F.concat(
         F.lit("<html><head><title>"), name, F.lit('</title></head><body><figure><img src="'), written(F.col("image_url")), F.lit('" width="'), F.coalesce("detected_width", F.lit(0)),
-        F.lit('"><figcaption>'), name, F.lit('</figcaption></figure><a href="/news/'), "row_id", F.lit('?x=1#y">n</a> <a class="b" href="mailto:x@h.example">m</a></body></html>'),
+        F.lit('"><figcaption>'), name, F.lit('</figcaption></figure><a href="/news/'), "row_id", F.lit('?x=1#y">n</a> <a class="b" href="mailto:x@h.example">m</a> <a href=/x/../up/'), "row_id",
+        F.lit('>u</a> <A title="t" HREF=\'/q?a=1&amp;b=2\'>q</A></body></html>'),
     )
     return table(spark, d, "images_meta").select("row_id", F.col("page_url").alias("url"), body.alias("html"), "image_url", "stored_filename")
 
 
-@query("page_images_all")
-def page_images_all(spark, d):
-    return html.page_images(whole_pages(spark, d)).groupBy("kind", "parent_tag").agg(F.count("*").alias("n"), F.countDistinct("context").alias("n_contexts"))
+_SPACE = r"[\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+_ADDRESS = f"regexp_replace(image_url, '^{_SPACE}|{_SPACE}$', '', 'g')"
+_NAME = f"trim(regexp_replace(coalesce(stored_filename, ''), '{_SPACE}', ' ', 'g'))"
+_SHOWN = f"coalesce({_ADDRESS}, '') <> '' and not regexp_matches({_ADDRESS}, '^(data|blob|javascript):')"
+_ORIGIN = "regexp_extract(page_url, '^[A-Za-z][A-Za-z0-9+.\\-]*://[^/?#]*', 0)"
+
+
+@query("page_images", f"select 'img' as kind, 'figure' as parent_tag, count(*) as n, count(distinct {_NAME}) as n_contexts from images_meta where {_SHOWN}")
+def page_images(spark, d):
+    return html.page_images(pages(spark, d)).groupBy("kind", "parent_tag").agg(F.count("*").alias("n"), F.countDistinct("context").alias("n_contexts"))
 
 
-@query("page_facts_all")
-def page_facts_all(spark, d):
-    return html.page_facts(whole_pages(spark, d)).agg(F.count("*").alias("n_pages"), F.sum("n_images").alias("n_images"), F.sum("n_links").alias("n_links"), F.countDistinct("title").alias("n_titles"))
+@query("page_facts", f"select count(*) as n_pages, count(*) filter ({_SHOWN}) as n_images, 4 * count(*) as n_links, count(distinct {_NAME}) as n_titles from images_meta")
+def page_facts(spark, d):
+    return html.page_facts(pages(spark, d)).agg(F.count("*").alias("n_pages"), F.sum("n_images").alias("n_images"), F.sum("n_links").alias("n_links"), F.countDistinct("title").alias("n_titles"))
 
 
-@query("page_links_all")
-def page_links_all(spark, d):
-    return crawl.page_links(whole_pages(spark, d)).select("url", "link", "is_priority")
+@query("page_links", f"select page_url as url, {_ORIGIN} || p as link, starts_with(p, '/news/') as is_priority from images_meta, (values ('/news/', true), ('/up/', true), ('/q', false)) t(q, with_id), lateral (select q || case when with_id then row_id::varchar else '' end as p) where regexp_matches(page_url, '^https?://')")
+def page_links(spark, d):
+    return crawl.page_links(pages(spark, d)).select("url", "link", "is_priority")
 
 
-@query("frontier_queue_all")
-def frontier_queue_all(spark, d):
+@query("frontier_queue", "select distinct page_url as url from images_meta where page_url is not null and page_url not in (select website_url from images_meta where website_url is not null)")
+def frontier_queue(spark, d):
     visited = table(spark, d, "images_meta").filter("website_url is not null").select(F.col("website_url").alias("url"))
-    return crawl.frontier_queue(whole_pages(spark, d).filter("url is not null"), visited).select("url")
+    return crawl.frontier_queue(pages(spark, d).filter("url is not null"), visited).select("url")
 
 
 @query("pages_per_site", "select row_id from (select row_id, row_number() over (partition by website_url order by wayback_year desc nulls last, row_id) as rn from images_meta where website_url is not null) where rn <= 10")

@@ -45,8 +45,8 @@ def csv_rows(store: DataFrame, key: str, schema: str, sep: str = ",") -> DataFra
     return lines.select(F.from_csv("line", schema, {"sep": sep}).alias("r")).select("r.*")
 
 
-def csv_closure(spark: SparkSession, store: DataFrame, roots: list[str], column: int = 0, max_depth: int = 8) -> DataFrame:
-    """(key, depth): values that are CSV files name further keys in a column; all keys reached from the roots."""
+def csv_closure(spark: SparkSession, store: DataFrame, roots: list[str], column: int = 0, max_depth: int | None = None) -> DataFrame:
+    """(key, depth): values that are CSV files name further keys in a column; all keys reached from the roots, at any depth if none is given."""
     from lumigraph.operators.crawl import reachable
 
     rows = store.filter(F.col("key").endswith(".csv")).select("key", F.explode(F.split(F.decode("value", "UTF-8"), r"\r?\n")).alias("line"))

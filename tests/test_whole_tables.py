@@ -41,13 +41,14 @@ def test_pages(spark, data):
     rows = data[1]
     shown = [r for r in rows if image_address(r)]
     name = lambda r: " ".join((r["stored_filename"] or "").split())
-    found = html.page_images(system_queries.whole_pages(spark, data[0])).collect()
+    found = html.page_images(system_queries.pages(spark, data[0])).collect()
     assert sorted((r["page_url"] or "", r["url"]) for r in found) == sorted((r["page_url"] or "", image_address(r)) for r in shown)
-    assert [tuple(r) for r in got(spark, data, "page_images_all")] == [("img", "figure", len(shown), len({name(r) for r in shown}))]
-    assert [tuple(r) for r in got(spark, data, "page_facts_all")] == [(len(rows), len(shown), 2 * len(rows), len({name(r) for r in rows}))]
-    links = [(r["page_url"], re.match(r"[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*", r["page_url"])[0] + f"/news/{r['row_id']}", True) for r in rows if r["page_url"]]
-    assert sorted(tuple(r) for r in got(spark, data, "page_links_all")) == sorted(links)
-    assert sorted(r["url"] for r in got(spark, data, "frontier_queue_all")) == sorted({r["page_url"] for r in rows if r["page_url"]} - {r["website_url"] for r in rows})
+    assert [tuple(r) for r in got(spark, data, "page_images")] == [("img", "figure", len(shown), len({name(r) for r in shown}))]
+    assert [tuple(r) for r in got(spark, data, "page_facts")] == [(len(rows), len(shown), 4 * len(rows), len({name(r) for r in rows}))]
+    origin = lambda u: re.match(r"[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*", u)[0]
+    links = [(r["page_url"], origin(r["page_url"]) + p, p[1:2] == "n") for r in rows if r["page_url"] for p in (f"/news/{r['row_id']}", f"/up/{r['row_id']}", "/q")]
+    assert sorted(tuple(r) for r in got(spark, data, "page_links")) == sorted(links)
+    assert sorted(r["url"] for r in got(spark, data, "frontier_queue")) == sorted({r["page_url"] for r in rows if r["page_url"]} - {r["website_url"] for r in rows})
 
 
 def canonical(u):
@@ -68,18 +69,18 @@ def canonical(u):
 
 def test_canonical_keys(spark, data):
     keys = {r["row_id"]: canonical(r["image_url"]) for r in data[1]}
-    assert {r["row_id"]: r["image_key"] or "" for r in got(spark, data, "canonical_key_all")} == keys
+    assert {r["row_id"]: r["image_key"] or "" for r in got(spark, data, "canonical_key")} == keys
     groups = defaultdict(list)
     for r in data[1]:
         w, h = r["detected_width"], r["detected_height"]
         groups[keys[r["row_id"]] or r["row_id"]].append((-(w * h if w is not None and h is not None else 0), -(w or 0), -(h or 0), r["row_id"]))
-    assert sorted(r["row_id"] for r in got(spark, data, "canonical_key_best_all")) == sorted(min(g)[3] for g in groups.values())
+    assert sorted(r["row_id"] for r in got(spark, data, "canonical_key_best")) == sorted(min(g)[3] for g in groups.values())
 
 
 def test_names_links_and_titles(spark, data):
-    links = {r["row_id"]: r["link"] for r in got(spark, data, "link_normalise_all")}
-    files = {r["row_id"]: r["file"] for r in got(spark, data, "safe_filename_all")}
-    texts = {r["row_id"]: (r["title"], r["meta"]) for r in got(spark, data, "norm_text_all")}
+    links = {r["row_id"]: r["link"] for r in got(spark, data, "link_normalise")}
+    files = {r["row_id"]: r["file"] for r in got(spark, data, "safe_filename")}
+    texts = {r["row_id"]: (r["title"], r["meta"]) for r in got(spark, data, "norm_text")}
     assert len(links) == len(files) == len(texts) == len(data[1])
     for r in data[1]:
         i, u, t = r["row_id"], r["image_url"], re.sub(r"[ \t\n\v\f\r]+", " ", r["img_title"] or "").strip(" ")
