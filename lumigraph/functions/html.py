@@ -20,10 +20,13 @@ META_IMAGES = {"og:image", "og:image:url", "og:image:secure_url", "twitter:image
 #: Parts of the address of a page about a video.
 VIDEO_PATHS = ["/video/", "/videos/", "/watch", "/player/"]
 TEXT_CONTEXT = 220
+#: Links of an article that tell of its images, and the longest text taken over.
+LINKS_TOLD, LONGEST_TEXT = 4, 300
 
 IMAGE_SCHEMA = (
     "page_url string, idx int, url string, kind string, source_attr string, alt string, title string, img_class string, img_id string, "
-    "parent_tag string, parent_class string, parent_id string, srcset string, loading string, declared_width int, declared_height int, context string"
+    "parent_tag string, parent_class string, parent_id string, srcset string, loading string, declared_width int, declared_height int, context string, "
+    "resolved_alt string, resolved_title string"
 )
 LINK_SCHEMA = "page_url string, idx int, href string, url string, text string"
 META_SCHEMA = "page_url string, title string, n_images int, n_links int, is_video boolean"
@@ -34,7 +37,7 @@ _DESCRIPTOR = re.compile(r"([0-9]+(?:\.[0-9]+)?)([wx])")
 def best_source(srcset: str) -> str:
     """The largest source of a srcset: widths as they are, densities in thousands; the last on ties, the first without any."""
     best, size = "", -1.0
-    for entry in re.split(r",\s+|,(?=[^\s,]+\s)", srcset.strip()):
+    for entry in re.split(r",\s+|(?<=\d[wx]),", srcset.strip()):
         parts = entry.strip(" ,").split()
         if not parts:
             continue
@@ -67,7 +70,8 @@ class PageParser(HTMLParser):
             "img_id": a.get("id") or "", "parent_tag": parent["tag"], "parent_class": parent["attrs"].get("class") or "", "parent_id": parent["attrs"].get("id") or "", "srcset": a.get("srcset") or "",
             "loading": a.get("loading") or "", "declared_width": whole(a.get("width")), "declared_height": whole(a.get("height")), "context": (a.get("aria-label") or "").strip(),
         }
-        self.images.append((row, next((e for e in reversed(self._stack) if e["tag"] == "figure"), None), parent, self._headings))
+        around = lambda tag: next((e for e in reversed(self._stack) if e["tag"] == tag), None)
+        self.images.append((row, around("figure"), around("article"), parent, self._headings))
 
     def handle_starttag(self, tag, attrs):
         a = {k: v or "" for k, v in attrs}
@@ -104,8 +108,13 @@ class PageParser(HTMLParser):
             self._link = None
         for i in range(len(self._stack) - 1, -1, -1):
             if self._stack[i]["tag"] == tag:
+                text = " ".join("".join(self._stack[i]["text"]).split())
                 if tag in ("h1", "h2", "h3"):
-                    self._headings = " ".join("".join(self._stack[i]["text"]).split())
+                    self._headings = text
+                if tag in ("h1", "h2", "h3", "p", "a"):
+                    for e in self._stack[:i]:
+                        if e["tag"] == "article" and len(told := e.setdefault("told", {}).setdefault(tag, [])) < (LINKS_TOLD if tag == "a" else 1):
+                            told.append(text)
                 del self._stack[i:]
                 break
 
@@ -131,15 +140,29 @@ class PageParser(HTMLParser):
             self.handle_endtag(tag)
 
     def rows(self) -> Iterator[dict]:
-        """Images in order; the context is the label, the figure's caption, the text around, or the last heading."""
-        for row, figure, parent, heading in self.images:
-            if not row["context"]:
-                caption = " ".join("".join((figure or {}).get("caption", [])).split())
-                around = " ".join("".join(parent["text"]).split())[:TEXT_CONTEXT]
-                row["context"] = caption or around or heading
+        """Images in order; the context is the label, the figure's caption, the text around, or the last heading.
+
+        A missing alternative text or title is taken from the texts beside: the caption, then of the article headings,
+        the first links and the first paragraph, then the text around; the first of these is the text, the second the title.
+        """
+        squeezed = lambda parts: " ".join("".join(parts).split())
+        for row, figure, article, parent, heading in self.images:
+            caption, around = squeezed((figure or {}).get("caption", [])), squeezed(parent["text"])
+            row["context"] = row["context"] or caption or around[:TEXT_CONTEXT] or heading
+            told = (article or {}).get("told", {})
+            beside = [caption, *(t for tag in ("h1", "h2", "h3", "a", "p") for t in told.get(tag, [])), around]
+            beside = list(dict.fromkeys(_cleaned(t) for t in beside if t))
+            both = bool(row["alt"] and row["title"])
+            row["resolved_alt"] = _cleaned(row["alt"]) or (beside[0] if beside and not both else "")
+            row["resolved_title"] = _cleaned(row["title"]) or (beside[1] if len(beside) > 1 and not both else "")
             yield row
 
 
+def _cleaned(text: str, most: int = LONGEST_TEXT) -> str:
+    text = " ".join(text.split())
+    return text[:most].rstrip() + "..." if len(text) > most else text
+
+
 def parse(html: str | None, page_url: str) -> PageParser:
     """Parses a page; the content of noscript elements is read like any other."""
     p = PageParser(page_url or "")

@@ -133,3 +133,53 @@ def fit_square(img: np.ndarray, size: int = 224) -> np.ndarray:
     y, x = (size - h) // 2, (size - w) // 2
     out[y : y + h, x : x + w] = resize(img, h, w)
     return out
+
+
+#: Crops that tell recropped pictures, in quarters of the width (from, to) and the height (from, to).
+CROPS = [(0, 4, 0, 4), (0, 2, 0, 4), (2, 4, 0, 4), (0, 4, 0, 2), (0, 4, 2, 4), (1, 3, 1, 3), (0, 3, 0, 4), (1, 4, 0, 4), (0, 4, 0, 3), (0, 4, 1, 4), (0, 3, 0, 3), (1, 4, 0, 3), (0, 3, 1, 4), (1, 4, 1, 4)]
+#: Least side of a picture or crop that is hashed by itself.
+LEAST_SIDE = 8
+
+
+def crop_hashes(img: np.ndarray, size: int = 16) -> list[list[int]]:
+    """Distinct average hashes of a picture without its border and of its crops, with and without theirs."""
+    def trimmed(x: np.ndarray) -> np.ndarray:
+        t = trim_border(x) if min(x.shape) >= LEAST_SIDE else x
+        return t if min(t.shape) >= LEAST_SIDE else x
+
+    h, w = img.shape
+    if min(h, w) < LEAST_SIDE:
+        return [ahash_words(img, size)]
+    views = [trimmed(img)]
+    for x0, x1, y0, y1 in CROPS:
+        crop = img[h * y0 // 4 : h * y1 // 4, w * x0 // 4 : w * x1 // 4]
+        if min(crop.shape) >= LEAST_SIDE:
+            views += [crop, trimmed(crop)]
+    return [list(t) for t in dict.fromkeys(tuple(ahash_words(v, size)) for v in views)]
+
+
+def crop_hash_sets(images: DataFrame, id_col: str = "image_id") -> DataFrame:
+    """(id, hashes) of images (id, width, height, pixels): their sets of hashes, for hash_set_matches."""
+
+    def run(batches):
+        for b in batches:
+            rows = [(i, crop_hashes(np.asarray(px, np.float64).reshape(h, w))) for i, w, h, px in zip(b[id_col], b["width"], b["height"], b["pixels"])]
+            yield pd.DataFrame(rows, columns=[id_col, "hashes"])
+
+    return images.select(id_col, "width", "height", "pixels").mapInPandas(run, f"{id_col} bigint, hashes array<array<bigint>>")
+
+
+def ten_crops(img: np.ndarray, size: int) -> np.ndarray:
+    """Corners and centre of a picture, and of its mirror image; smaller pictures are padded with zeros around."""
+    h, w = img.shape[:2]
+    dh, dw = max(0, size - h), max(0, size - w)
+    img = np.pad(img, [(dh // 2, dh - dh // 2), (dw // 2, dw - dw // 2)] + [(0, 0)] * (img.ndim - 2))
+    h, w = img.shape[:2]
+    at = [(0, 0), (0, w - size), (h - size, 0), (h - size, w - size), (round((h - size) / 2), round((w - size) / 2))]
+    five = lambda x: [x[i : i + size, j : j + size] for i, j in at]
+    return np.stack(five(img) + five(img[:, ::-1]))
+
+
+def joined_views(views: np.ndarray, side_by_side: bool = False) -> np.ndarray:
+    """Views of one picture as they are, or side by side as one."""
+    return np.concatenate(list(views), axis=1)[None] if side_by_side else views

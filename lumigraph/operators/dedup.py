@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lumigraph.functions import text as X
 from lumigraph.functions import url as U
+from lumigraph.operators.skew import salted_self_join
 from lumigraph.session import persist_shared
 
 
@@ -76,13 +77,17 @@ def distance(a: Column, b: Column) -> Column:
 
 
 def near_pairs(df: DataFrame, id_col: str, hash_col: str, within: int, bits: int = 64) -> DataFrame:
-    """(a, b, distance) of all pairs of ids a < b whose hashes differ in at most so many bits."""
+    """(a, b, distance) of all pairs of ids a < b whose hashes differ in at most so many bits.
+
+    Bands that many hashes share (blank pictures, constant colours) are paired by several tasks.
+    """
     n = within + 1
     cuts = [round(i * bits / n) for i in range(n + 1)]
-    bands = F.array(*[F.struct(F.lit(i).alias("band"), F.call_function("shiftrightunsigned", F.col(hash_col), F.lit(lo)).bitwiseAND(F.lit((1 << (hi - lo)) - 1)).alias("part")) for i, (lo, hi) in enumerate(zip(cuts, cuts[1:]))])
-    long = df.select(F.col(id_col).alias("id"), F.col(hash_col).alias("h"), F.explode(bands).alias("x")).select("id", "h", "x.band", "x.part")
-    a, b = (long.select("band", "part", F.col("id").alias(s), F.col("h").alias(f"h{s}")) for s in "ab")
-    close = a.join(b, ["band", "part"]).filter((F.col("a") < F.col("b")) & (distance(F.col("ha"), F.col("hb")) <= within))
+    bands = F.array(*[F.xxhash64(F.lit(i), F.call_function("shiftrightunsigned", F.col(hash_col), F.lit(lo)).bitwiseAND(F.lit((1 << (hi - lo)) - 1))) for i, (lo, hi) in enumerate(zip(cuts, cuts[1:]))])
+    long = df.select(F.col(id_col).alias("id"), F.col(hash_col).alias("h"), F.explode(bands).alias("band"))
+    a, b = (long.select("band", F.col("id").alias(s), F.col("h").alias(f"h{s}")) for s in "ab")
+    counts = long.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
+    close = salted_self_join(a, b, "band", counts, "n", "a").filter((F.col("a") < F.col("b")) & (distance(F.col("ha"), F.col("hb")) <= within))
     return close.select("a", "b", distance(F.col("ha"), F.col("hb")).alias("distance")).distinct()
 
 
@@ -102,14 +107,56 @@ def greedy_kept(pairs: DataFrame) -> DataFrame:
 
 
 def greedy_near_duplicates(df: DataFrame, id_col: str, hash_col: str, within: int) -> DataFrame:
-    """df with kept and, for dropped rows, the nearest kept earlier row (the earliest on ties)."""
-    pairs = persist_shared(near_pairs(df, id_col, hash_col, within), "pairs")
-    state = greedy_kept(pairs)
-    match = pairs.join(state.filter("kept").select(F.col("id").alias("a")), "a", "left_semi").groupBy("b").agg(F.min(F.struct("distance", "a")).alias("m"))
-    dropped = state.filter("not kept").join(match, F.col("id") == F.col("b")).select(F.col("id").alias(id_col), F.col("m.a").alias("matched"), F.col("m.distance").alias("matched_distance"))
+    """df with kept and, for dropped rows, the nearest kept earlier row (the earliest on ties).
+
+    Equal hashes are compared through the first of them: n copies make n rows, not all their pairs.
+    """
+    rows = df.select(F.col(id_col).alias("id"), F.col(hash_col).alias("h")).filter("h is not null")
+    firsts = persist_shared(rows.groupBy("h").agg(F.min("id").alias("id")), "firsts")
+    pairs = persist_shared(near_pairs(firsts, "id", "h", within), "pairs")
+    state = persist_shared(firsts.join(greedy_kept(pairs), "id", "left").select("id", "h", F.coalesce("kept", F.lit(True)).alias("kept")), "state")
+    # a copy of a kept first matches it; other dropped rows match the nearest kept first before them
+    both = pairs.select(F.col("a").alias("k"), F.col("b").alias("of"), "distance").unionAll(pairs.select(F.col("b").alias("k"), F.col("a").alias("of"), "distance"))
+    near = both.join(state.filter("kept").select(F.col("id").alias("k")), "k", "left_semi")
+    own = state.filter("kept").select("h", F.col("id").alias("k"), F.lit(0).alias("distance"))
+    others = near.join(state.filter("not kept").select(F.col("id").alias("of"), "h"), "of").select("h", "k", "distance")
+    choices = own.unionAll(others).groupBy("h").agg(F.array_sort(F.collect_list(F.struct("distance", "k"))).alias("choices"))  # kept firsts near one hash
+    earlier = F.get(F.filter("choices", lambda c: c["k"] < F.col("id")), F.lit(0))
+    found = rows.join(choices, "h").select(F.col("id").alias(id_col), earlier.alias("m")).filter("m is not null")
+    dropped = found.select(id_col, F.col("m.k").alias("matched"), F.col("m.distance").alias("matched_distance")).dropDuplicates([id_col])
     return df.join(dropped, id_col, "left").withColumn("kept", F.col("matched").isNull())
 
 
+def hash_set_matches(a: DataFrame, b: DataFrame, id_col: str, hashes: str, within: int, words: int = 4) -> DataFrame:
+    """(a, b, distance): ids whose sets of long hashes (arrays of 64-bit words) hold a pair that differs in at most so many bits; the least distance.
+
+    A hash is cut into within + 1 bands of bytes at least one of which a near hash shares; candidates meet on a band.
+    """
+    n_bytes = 8 * words
+    size = max(1, n_bytes // (within + 1))
+    if (within + 1) * size > n_bytes:
+        raise ValueError(f"hashes of {n_bytes * 8} bits can't be cut into {within + 1} bands of whole bytes")
+
+    def banded(df: DataFrame, name: str) -> DataFrame:
+        one = df.select(F.col(id_col).alias(name), F.explode(hashes).alias("h"))
+        text = F.array_join(F.transform("h", lambda w: F.lpad(F.hex(w), 16, "0")), "")
+        cuts = [i * size * 2 for i in range(within + 1)] + [n_bytes * 2]
+        parts = F.array(*[F.xxhash64(F.lit(i), F.substring(F.col("t"), lo + 1, hi - lo)) for i, (lo, hi) in enumerate(zip(cuts, cuts[1:]))])
+        return one.withColumn("t", text).select(name, F.col("h").alias(f"h_{name}"), F.explode(parts).alias("band"))
+
+    left, right = banded(a, "a"), banded(b, "b")
+    counts = left.select("band").unionAll(right.select("band")).groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
+    gap = F.aggregate(F.zip_with("h_a", "h_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, v: acc + v)
+    close = salted_self_join(left, right, "band", counts, "n", "a").filter("a <> b").select("a", "b", gap.alias("distance")).filter(F.col("distance") <= within)
+    return close.groupBy("a", "b").agg(F.min("distance").alias("distance"))
+
+
+def audit_log(df: DataFrame, id_col: str, reasons: dict[str, Column]) -> DataFrame:
+    """(id, reason, matched) in long form: one row for each reason (a column with the id matched, or null) by which a row is a duplicate."""
+    events = F.array(*[F.struct(F.lit(n).alias("reason"), c.cast("string").alias("matched")) for n, c in reasons.items()])
+    return df.select(F.col(id_col).alias("id"), F.explode(events).alias("e")).select("id", "e.reason", "e.matched").filter("matched is not null")
+
+
 def hex_similarity(a: Column, b: Column) -> Column:
     """1 - differing digits / four times the length."""
     differ = F.size(F.filter(F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: x != y), lambda x: x))

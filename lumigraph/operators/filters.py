@@ -211,3 +211,18 @@ def not_done(df: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
 def first_reason(**rules: Column) -> Column:
     """Name of the first rule that holds, in the order given; null if none does."""
     return F.coalesce(*[F.when(hit, F.lit(name)) for name, hit in rules.items()])
+
+
+def analyst_filters(n_bytes: Column, w: Column, h: Column, parent: Column, loading: Column) -> dict[str, Column]:
+    """The usual selections of an image catalogue, by name."""
+    return {"heavy": n_bytes > 500_000, "wide": w > 1920, "in_picture": F.lower(parent) == "picture", "lazy": F.lower(loading) == "lazy", "tiny": (w < 200) | (h < 200)}
+
+
+def without_labels(df: DataFrame, label: str, excluded: list) -> DataFrame:
+    """Rows whose label is not excluded; rows without a label stay."""
+    return df.filter(~F.coalesce(F.col(label).isin(excluded), F.lit(False))) if excluded else df
+
+
+def labelled(df: DataFrame, label: str, balanced: bool) -> DataFrame:
+    """Rows that may be drawn: where classes are to be balanced those with a label only."""
+    return df.filter(F.col(label).isNotNull()) if balanced else df

@@ -6,7 +6,7 @@ scores of the whole table, or of one key, in one task.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumigraph.operators import ordered
@@ -129,3 +129,40 @@ def reduce_column(df: DataFrame, key: str, value: str, how: str, order: str, car
 
 def unpivot_counts(df: DataFrame, columns: list[str], name: str = "reason", value: str = "n") -> DataFrame:
     return df.select(F.explode(F.array(*[F.struct(F.lit(c).alias(name), F.col(c).alias(value)) for c in columns])).alias("x")).select("x.*").filter(F.col(value) > 0)
+
+
+def success_rate(df: DataFrame, keys: list[str], ok: Column) -> DataFrame:
+    """Rows, successes and their share in percent, per key; 0.0 where there are no rows."""
+    n, good = F.count("*"), F.count_if(ok)
+    return df.groupBy(*keys).agg(n.alias("total"), good.alias("succeeded"), (n - good).alias("failed"), F.when(n > 0, F.lit(100.0) * good / n).otherwise(0.0).alias("success_percent"))
+
+
+def label_names(df: DataFrame, label: str, name: str) -> DataFrame:
+    """(label, name) of every label: the name that most of its rows have (the first of the alphabet on ties)."""
+    n = df.filter(F.col(label).isNotNull() & F.col(name).isNotNull()).groupBy(label, name).agg(F.count("*").alias("n"))
+    return n.groupBy(label).agg(F.min_by(name, F.struct(-F.col("n"), F.col(name))).alias(name))
+
+
+def long_scores(sets: dict[str, DataFrame], columns: list[str]) -> DataFrame:
+    """(origin, measure, value): the score columns of several tables in one long form, nulls left out."""
+    out = None
+    for origin, df in sets.items():
+        one = df.select(F.lit(origin).alias("origin"), *[F.col(c).cast("double").alias(c) for c in columns]).unpivot(["origin"], columns, "measure", "value").filter("value is not null")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def precision_recall_series(df: DataFrame, keys: list[str], score: Column, gt: Column, steps: int = 100) -> DataFrame:
+    """(keys, threshold, precision, recall) at equally spaced thresholds from 0 to 1.
+
+    A row counts at the greatest threshold it reaches; counts of so many steps are then summed from the top.
+    """
+    reached = F.least(F.floor(score * (steps - 1) + 1e-9), F.lit(steps - 1)).cast("int")
+    valid = df.filter(score.isNotNull() & ~F.isnan(score) & (score >= 0) & gt.isNotNull())
+    counts = valid.groupBy(*keys, reached.alias("step")).agg(F.count_if(gt == 1).alias("pos"), F.count_if(gt == 0).alias("neg"))
+    every = counts.select(*keys).distinct().withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))))
+    full = every.join(counts, [*keys, "step"], "left")
+    down = Window.partitionBy(*keys).orderBy(F.desc("step"))  # so many rows a key
+    tp, fp = F.coalesce(F.sum("pos").over(down), F.lit(0)), F.coalesce(F.sum("neg").over(down), F.lit(0))
+    summed = full.select(*keys, "step", tp.alias("tp"), fp.alias("fp"), F.sum("pos").over(Window.partitionBy(*keys)).alias("p"))
+    return summed.select(*keys, (F.col("step") / F.lit(float(steps - 1))).alias("threshold"), F.coalesce(F.try_divide(F.col("tp").cast("double"), F.col("tp") + F.col("fp")), F.lit(1.0)).alias("precision"), F.try_divide(F.col("tp").cast("double"), F.col("p")).alias("recall"))

@@ -599,3 +599,28 @@ def split_by_ads(spark, d):
 @query("page_probe", "select page_url, count(*) as n_images, count(distinct image_url) as n_unique from images_meta where page_url is not null group by 1")
 def page_probe(spark, d):
     return images(spark, d).filter("page_url is not null").groupBy("page_url").agg(F.count("*").alias("n_images"), F.countDistinct("image_url").alias("n_unique"))
+
+
+@query("analyst_filters", "select count(*) filter (detected_width * detected_height > 500000) as heavy, count(*) filter (detected_width > 1920) as wide, count(*) filter (lower(source) = 'picture') as in_picture, count(*) filter (lower(source) = 'lazy') as lazy, count(*) filter (detected_width < 200 or detected_height < 200) as tiny from images_meta")
+def analyst_filters(spark, d):
+    w, h = F.col("detected_width"), F.col("detected_height")
+    return images(spark, d).agg(*[F.count_if(c).alias(n) for n, c in P.analyst_filters(w * h, w, h, F.col("source"), F.col("source")).items()])
+
+
+@query("dup_audit_log", """select row_id as id, 'hash' as reason, f::varchar as matched from (select row_id, min(row_id) over (partition by file_hash) as f from images_meta where file_hash is not null) where f < row_id
+union all select row_id, 'url', f::varchar from (select row_id, min(row_id) over (partition by image_url) as f from images_meta where image_url is not null) where f < row_id""")
+def dup_audit_log(spark, d):
+    i = images(spark, d).select("row_id", "file_hash", "image_url")
+    for key, name in (("file_hash", "hash"), ("image_url", "url")):
+        first = i.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min("row_id").alias(f"first_{name}"), F.count("*").alias("n")).filter("n > 1").drop("n")
+        i = i.join(first, key, "left")
+    earlier = lambda c: F.when(F.col(c) < F.col("row_id"), F.col(c))
+    return D.audit_log(i, "row_id", {"hash": earlier("first_hash"), "url": earlier("first_url")})
+
+
+@query("image_inputs", """select row_id, case when regexp_matches(trim(image_url, ' '), '^(?i)https?://') then 'url' when length(trim(image_url, ' ')) > 0 then 'path' end as form, case when trim(image_url, ' ') <> '' then trim(image_url, ' ') end as ref from images_meta""")
+def image_inputs(spark, d):
+    from lumigraph.functions import references as R
+
+    i = images(spark, d).select("row_id", "image_url")
+    return i.select("row_id", R.image_input(F.col("image_url"), i.schema["image_url"].dataType).alias("x")).select("row_id", "x.form", "x.ref")

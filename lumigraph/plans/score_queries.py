@@ -8,9 +8,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumigraph.functions import references as R
 from lumigraph.functions import text as X
 from lumigraph.functions import url as U
 from lumigraph.operators import curves as C
+from lumigraph.operators import filters as P
 from lumigraph.operators import ordered
 from lumigraph.operators import stats as S
 from lumigraph.plans.registry import query
@@ -350,3 +352,44 @@ def json_props(spark, d):
 @query("tumbling_windows", "select time_bucket(interval 1 hour, ts) as start, event_type, count(*) as n, round(sum(value), 4) as v from events group by 1, 2")
 def tumbling_windows(spark, d):
     return table(spark, d, "events").groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("v")).select(F.col("w.start").alias("start"), "event_type", "n", "v")
+
+
+@query("excluded_labels", "select result_id from web_classifier_results where predicted_label_name is null or predicted_label_name not in ('ai')")
+def excluded_labels(spark, d):
+    return P.without_labels(results(spark, d), "predicted_label_name", ["ai"]).select("result_id")
+
+
+@query("balanced_rows", _R + "select result_id from r where gt is not null")
+def balanced_rows(spark, d):
+    return P.labelled(results(spark, d), "gt", True).select("result_id")
+
+
+@query("success_rates", "select snapshot_year, count(*) as total, count(*) filter (length(snapshot_ts) = 14) as succeeded, count(*) - count(*) filter (length(snapshot_ts) = 14) as failed, 100.0::double * count(*) filter (length(snapshot_ts) = 14) / count(*) as success_percent from snapshots group by 1")
+def success_rates(spark, d):
+    return S.success_rate(table(spark, d, "snapshots"), ["snapshot_year"], F.length("snapshot_ts") == 14)
+
+
+@query("label_names", "select predicted_label, predicted_label_name from (select predicted_label, predicted_label_name, count(*) as c from web_classifier_results where predicted_label is not null and predicted_label_name is not null group by 1, 2) qualify row_number() over (partition by predicted_label order by c desc, predicted_label_name) = 1")
+def label_names(spark, d):
+    return S.label_names(results(spark, d), "predicted_label", "predicted_label_name")
+
+
+@query("long_scores", """select 'results' as origin, 'score' as measure, score as value from web_classifier_results where score is not null union all select 'results', 'threshold', threshold from web_classifier_results where threshold is not null
+union all select 'models', 'score', accuracy from genai_b120_thresholds_by_model where accuracy is not null union all select 'models', 'threshold', threshold from genai_b120_thresholds_by_model where threshold is not null""")
+def long_scores(spark, d):
+    models = table(spark, d, "genai_b120_thresholds_by_model").select(F.col("accuracy").alias("score"), "threshold")
+    return S.long_scores({"results": results(spark, d).select("score", "threshold"), "models": models}, ["score", "threshold"])
+
+
+@query("precision_recall_series", _R + """, t as (select i, i / 99.0::double as threshold from range(100) t(i)),
+g as (select distinct source from v where gt is not null),
+c as (select g.source, t.i, count(*) filter (gt = 1 and floor(score * 99 + 1e-9) >= t.i) as tp, count(*) filter (gt = 0 and floor(score * 99 + 1e-9) >= t.i) as fp, count(*) filter (gt = 1) as p from g, t, v where v.source is not distinct from g.source and gt is not null group by 1, 2)
+select source, i / 99.0::double as threshold, coalesce(tp::double / nullif(tp + fp, 0), 1.0) as precision, tp::double / nullif(p, 0) as recall from c where source is not null""")
+def precision_recall_series(spark, d):
+    return S.precision_recall_series(valid(spark, d).filter("source is not null"), ["source"], F.col("score"), F.col("gt"))
+
+
+@query("sorted_json", "select event_id, case when json_valid(props) then '{\"a\":[' || (props->>'k') || '],\"id\":' || event_id || '}' end as props from events")
+def sorted_json(spark, d):
+    text = F.concat(F.lit('{"id": '), "event_id", F.lit(', "a": [ '), F.get_json_object("props", "$.k"), F.lit(" ]}"))
+    return table(spark, d, "events").select("event_id", R.sorted_json(text).alias("props"))
