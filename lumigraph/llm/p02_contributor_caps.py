@@ -100,7 +100,7 @@ def count_caps(counts: DataFrame, most: int) -> DataFrame:
 
 
 def _planned(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    rows = contributions(table(spark, sf_dir, "images_meta"), table(spark, sf_dir, "sites"))
+    rows = persist_shared(contributions(table(spark, sf_dir, "images_meta"), table(spark, sf_dir, "sites")), "contributions")
     shares = table(spark, sf_dir, "sector_targets").select("sector", F.col("site_max_share").alias("share")).filter("share is not null")
     counts = persist_shared(rows.groupBy("sector", "site").agg(F.count("*").alias("n")), "counts")
     return rows, counts, persist_shared(caps(counts.filter("site is not null"), shares), "caps")
