@@ -64,8 +64,8 @@ def sample_n(df: DataFrame, id_col: str, n: int, seed: int = 42) -> DataFrame:
 
 def drop_adjacent(df: DataFrame, key: str, order: str, value: str) -> DataFrame:
     """Rows whose value differs from the row before it in the group."""
-    before = F.lag(value).over(Window.partitionBy(key).orderBy(order))
-    return df.withColumn("__b", before).filter(F.col("__b").isNull() | (F.col("__b") != F.col(value))).drop("__b")
+    seen = ordered.with_previous(df, [key], F.col(order), value, "__b")
+    return seen.filter(F.col("__b").isNull() | (F.col("__b") != F.col(value))).drop("__b")
 
 
 def natural_key(c: Column) -> Column:

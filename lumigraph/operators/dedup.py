@@ -7,12 +7,12 @@ is resolved in rounds over the edges, which leave out rows without a neighbour a
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumigraph.functions import text as X
 from lumigraph.functions import url as U
-from lumigraph.operators.skew import salted_self_join
+from lumigraph.operators.skew import attach_group_values, salted_self_join
 from lumigraph.session import persist_shared
 
 
@@ -165,5 +165,7 @@ def hex_similarity(a: Column, b: Column) -> Column:
 
 def file_duplicates(df: DataFrame, name: str, w: str, h: str, age: str) -> DataFrame:
     """kept flag: the oldest row of each (width, height, file name), or of the name where sizes are unknown."""
-    by = Window.partitionBy(F.lower(name), F.coalesce(w, F.lit(-1)), F.coalesce(h, F.lit(-1)))
-    return df.withColumn("kept", F.row_number().over(by.orderBy(age)) == 1)
+    keys = {"__name": F.lower(F.coalesce(name, F.lit(""))), "__w": F.coalesce(w, F.lit(-1)), "__h": F.coalesce(h, F.lit(-1))}
+    rows = df.withColumns(keys)
+    oldest = rows.groupBy(*keys).agg(F.min(age).alias("__oldest"), F.count("*").alias("__n"))
+    return attach_group_values(rows, oldest, [*keys], "__n", age).withColumn("kept", F.col(age) == F.col("__oldest")).drop(*keys, "__oldest", "__n")

@@ -68,3 +68,14 @@ def quantiles(df: DataFrame, keys: list[str], value: str, fractions: dict[str, f
         aggs += [at(F.floor(p)).alias(f"__lo_{name}"), at(F.ceil(p)).alias(f"__hi_{name}"), F.max(p - F.floor(p)).alias(f"__f_{name}")]
     both = c.groupBy(*keys).agg(*aggs)
     return both.select(*keys, *[(F.col(f"__lo_{n}") * (1 - F.col(f"__f_{n}")) + F.col(f"__hi_{n}") * F.col(f"__f_{n}")).alias(n) for n in fractions])
+
+
+def with_previous(df: DataFrame, keys: list[str], order: Column, value: str, name: str, ranges: int | None = None) -> DataFrame:
+    """df with the value of the row before in its key (null for the first); order is one column that tells rows apart."""
+    rows = placed(df.withColumn("__o", order), keys, [F.col("__o")], ranges)
+    ends = rows.groupBy("__p", *keys).agg(F.max_by(F.struct(F.col(value).alias("v")), "__o").alias("__end"))
+    before = Window.partitionBy(*keys).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select("__p", *keys, F.last("__end").over(before).alias("__end"))
+    inside = rows.withColumn("__n", F.lag(F.struct(F.col(value).alias("v"))).over(Window.partitionBy("__p", *keys).orderBy("__o")))
+    joined = inside.alias("l").join(ends.alias("r"), _same("l", "r", ["__p", *keys]))
+    return joined.select(*[F.col(f"l.{c}") for c in df.columns], F.coalesce("l.__n", "r.__end")["v"].alias(name))

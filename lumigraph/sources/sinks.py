@@ -68,3 +68,24 @@ def union_of(frames: list[DataFrame]) -> DataFrame:
     for f in frames[1:]:
         out = out.unionByName(f, allowMissingColumns=True)
     return out.select(*sorted(out.columns))
+
+
+#: Columns of a dataset manifest.
+MANIFEST = ["filename", "source", "split", "source_relpath", "label_raw"]
+
+
+def write_manifest(df: DataFrame, path: str) -> None:
+    """A manifest of fixed columns; missing ones are empty, others are left out."""
+    df.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) if c in df.columns else F.lit("").alias(c) for c in MANIFEST]).write.mode("overwrite").option("header", True).csv(path)
+
+
+def report(title: str, tables: dict[str, DataFrame], most_rows: int = 50) -> str:
+    """A Markdown text of small tables (aggregates): each with its first rows, and a note where there are more."""
+    lines = [f"# {title}", ""]
+    for name, df in tables.items():
+        rows = df.limit(most_rows + 1).collect()
+        cell = lambda x: "" if x is None else f"{x:.4g}" if isinstance(x, float) else str(x).replace("|", "\\|").replace("\n", " ")
+        lines += [f"## {name}", "", "| " + " | ".join(df.columns) + " |", "|" + " --- |" * len(df.columns)]
+        lines += ["| " + " | ".join(cell(x) for x in r) + " |" for r in rows[:most_rows]]
+        lines += [f"Only the first {most_rows} rows are shown."] * (len(rows) > most_rows) + [""]
+    return "\n".join(lines)

@@ -12,7 +12,7 @@ from lumigraph.functions import html, pixels, references
 from lumigraph.functions import url as U
 from lumigraph.operators import crawl, dedup, skew
 from lumigraph.schemas import SNAPSHOTS
-from lumigraph.sources import blobs, cdx
+from lumigraph.sources import blobs, cdx, fetch, sinks
 
 
 def test_greedy_with_many_equal_hashes(spark, monkeypatch):
@@ -175,3 +175,45 @@ def test_archive_links(spark):
     got = [r[0] for r in df.select(U.wayback_rewrite(F.col("p"), F.col("h"))).collect()]
     assert got == ["https://web.archive.org/web/20200101000000id_/https://o.example/i.png", "https://web.archive.org/web/20190101000000im_/https://x.example/y", "https://o.example/a/i.png"]
     assert [r[0] for r in df.select(U.wayback_base(F.col("p"))).collect()] == ["https://web.archive.org/web/20200101000000id_/"] * 2 + [None]
+
+
+PNG = b"\x89PNG\r\n\x1a\n" + b"\0\0\0\rIHDR" + (640).to_bytes(4, "big") + (480).to_bytes(4, "big") + b"\x08\x02" + b"p" * 6000
+
+
+def answers(url, headers):
+    """A recorded fetcher."""
+    if url.endswith("boom"):
+        raise TimeoutError("no answer")
+    return (404, "text/html", b"") if url.endswith("lost") else (200, "image/png", PNG)
+
+
+def test_fetch_gives_failures_as_rows(spark, tmp_path):
+    urls = ["https://a.example/x.png"] * 3 + ["https://b.example/lost", "https://c.example/boom", "", None, " https://a.example/y.png "]
+    df = spark.createDataFrame(list(enumerate(urls)), "i bigint, u string")
+    got = {r["i"]: r for r in fetch.fetch(df, "u", "tests.test_more_operators:answers").collect()}
+    assert len(got) == len(urls) and [got[i]["fetched"] for i in range(8)] == [True] * 3 + [False] * 4 + [True]
+    assert got[3]["error"] == "status 404" and got[3]["http_status"] == 404 and got[4]["error"] == "TimeoutError: no answer" and got[5]["error"] == got[6]["error"] == "no address"
+    kept = fetch.with_header(fetch.fetch(df, "u", "tests.test_more_operators:answers"))
+    why = fetch.rejection(F.col("content_type"), F.col("n_bytes"), F.col("picture_width"), F.col("picture_height"))
+    assert {r["i"]: r["why"] for r in kept.select("i", why.alias("why")).collect()} == {0: None, 1: None, 2: None, 7: None, 3: "content_type", 4: "content_type", 5: "content_type", 6: "content_type"}
+    assert {(r["picture_format"], r["picture_width"], r["picture_height"]) for r in kept.filter("fetched").collect()} == {("png", 640, 480)}
+    todo, done = fetch.pending(df, spark.createDataFrame([(0,), (3,)], "i bigint"), ["i"])
+    assert todo.count() == 6 and fetch.totals(done, kept.filter("i not in (0, 3)")).first().asDict() == {"ok": 5, "failed": 3}
+    stored = fetch.write_files(kept.filter("fetched").withColumn("n", F.concat(F.lit("site/image_"), "i", F.lit(".png"))), "content", "n", f"file://{tmp_path}/out")
+    assert stored.count() == 4 and (tmp_path / "out/site/image_7.png").read_bytes() == PNG
+
+
+def test_headers_of_pictures():
+    jpeg = b"\xff\xd8\xff\xe0\x00\x10JFIF" + b"\0" * 10 + b"\xff\xc0\x00\x11\x08" + (33).to_bytes(2, "big") + (44).to_bytes(2, "big") + b"\0" * 20
+    gif, bmp = b"GIF89a" + (5).to_bytes(2, "little") + (6).to_bytes(2, "little"), b"BM" + b"\0" * 16 + (7).to_bytes(4, "little") + (-8).to_bytes(4, "little", signed=True)
+    webp = b"RIFF\0\0\0\0WEBPVP8X" + b"\0" * 8 + (99).to_bytes(3, "little") + (199).to_bytes(3, "little")
+    assert [fetch.header(x) for x in (PNG, jpeg, gif, bmp, webp, b"<html>", b"", None, b"\xff\xd8\x00")] == [("png", 640, 480), ("jpeg", 44, 33), ("gif", 5, 6), ("bmp", 7, 8), ("webp", 100, 200), None, None, None, None]
+    assert fetch.cookies('{"a": 1}') == {"a": "1"} and fetch.cookies('[{"name": "a", "value": "b"}, {}]') == {"a": "b"} and fetch.cookies("a=b; c=d=e") == {"a": "b", "c": "d=e"}
+
+
+def test_report_and_manifest(spark, tmp_path):
+    df = spark.createDataFrame([("a|b", 1.23456, None), ("c", 2.0, 1)], "filename string, x double, n int")
+    text = sinks.report("T", {"One": df, "Short": df.orderBy("filename").select("filename")}, 1)
+    assert "| a\\|b | 1.235 |  |" in text and text.count("Only the first 1 rows") == 2
+    sinks.write_manifest(df, f"{tmp_path}/m")
+    assert spark.read.option("header", True).csv(f"{tmp_path}/m").columns == sinks.MANIFEST

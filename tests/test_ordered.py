@@ -41,6 +41,11 @@ def test_running_and_rank(df, rows):
     assert ordered.placed(df, ["k"], [F.col("i")], 9).filter("k = 'hot'").select("__p").distinct().count() >= 8
 
 
+def test_previous(df, rows):
+    got = {r["i"]: r["b"] for r in ordered.with_previous(df, ["k"], F.col("i"), "y", "b", 9).collect()}
+    assert got == {b[1]: a and a[3] for own in groups(rows).values() for a, b in zip([None, *own], own)}
+
+
 def test_quantiles(df, rows):
     got = {r["k"]: r for r in ordered.quantiles(df, ["k"], "x", {"q": 0.25, "m": 0.5, "t": 0.9}).collect()}
     for k, own in groups(rows).items():
