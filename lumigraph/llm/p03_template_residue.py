@@ -20,6 +20,7 @@ results; an empty table gives an empty result; further columns are ignored; whol
 
 from __future__ import annotations
 
+import itertools
 import re
 import unicodedata
 from re import _constants as _sre
@@ -161,7 +162,22 @@ _STATUS = (
     r"(?:not found|bad (?:gateway|request)|gone|forbidden|unauthori[sz]ed|payment required|method not allowed|not acceptable|conflict|too many requests"
     r"|request time-?out|gateway time-?out|service (?:temporarily )?unavailable|internal (?:server )?error|not implemented|unavailable)"
 )
+#: By language what may be missing, and what is said of it (patterns); a message is one beside the other, to the end of a clause.
+FAILURES = {
+    "en": (r"(?:page|file|image|picture|photo|resource|document|content|address|url|link|media)", r"(?:not found|(?:is |currently |temporarily )*(?:unavailable|not available)|(?:could|can) ?not be (?:loaded|displayed|found|shown|opened)|failed to (?:load|render|open)|(?:does not|doesn't|no longer) exists?|has been (?:removed|deleted))"),
+    "es": (r"(?:p[áa]gina|archivo|imagen|foto|recurso|documento|contenido)", r"(?:no (?:encontrad[oa]|disponible|existe)|no se (?:ha podido|pudo|puede) (?:cargar|mostrar|encontrar))"),
+    "pt": (r"(?:p[áa]gina|arquivo|ficheiro|imagem|foto|recurso|documento|conte[úu]do)", r"(?:n[ãa]o (?:encontrad[oa]|dispon[íi]vel|existe)|n[ãa]o p[ôo]de ser (?:carregad|exibid)[oa])"),
+    "ca": (r"(?:p[àa]gina|fitxer|imatge|foto|recurs|document|contingut)", r"(?:no (?:trobad[oa]?|disponible|existeix)|no s.ha pogut (?:carregar|mostrar|trobar))"),
+    "fr": (r"(?:page|fichier|image|photo|ressource|document|contenu)", r"(?:introuvable|indisponible|non trouv[ée]e?|n.existe (?:pas|plus)|n.a pas pu [êe]tre (?:charg|affich)[ée]e?)"),
+    "de": (r"(?:seite|datei|bild|foto|inhalt|dokument|ressource)", r"(?:(?:wurde )?nicht (?:gefunden|verf[üu]gbar|vorhanden)|konnte nicht (?:geladen|angezeigt|gefunden) werden|existiert nicht(?: mehr)?)"),
+    "ru": (r"(?:страница|файл|изображение|фото|документ)", r"(?:не (?:найден[аоы]?|существует|доступн[аоы]?)|недоступн[аоы]?|не удалось загрузить)"),
+    "el": (r"(?:σελίδα|αρχείο|εικόνα|έγγραφο)", r"(?:δεν (?:βρέθηκε|υπάρχει|είναι διαθέσιμη?ο?))"),
+    "ja": (r"(?:ページ|ファイル|画像|写真)", r"(?:が|は)?(?:見つかりません|存在しません|表示できません|読み込めません|利用できません)"),
+}
+_CLAUSE_END = r"(?=\s*(?:$|[.,;:!?…|–—\-。！]))"
+
 ERRORS = "(?iu)" + bare("|".join([
+    *(rf"(?<![\p{{L}}\p{{N}}]){what}\s*{said}{_CLAUSE_END}" for what, said in FAILURES.values()),
     rf"\b[45]\d\d\b[\s\p{{P}}\p{{S}}]*{_STATUS}\b", rf"\b{_STATUS}[\s\p{{P}}\p{{S}}]*\(?[45]\d\d\b",
     rf"\b(?:http|status(?: code)?|error(?: code)?)[\s:#]*[45]\d\d[\s\p{{P}}\p{{S}}]*(?:$|{_STATUS})", r"\bHTTP [45]\d\d\b",
     r"\b(?:page|file|image|resource) not found\b(?=\s*(?:$|[.!…|:–\-]))", r"\brequested (?:address|page|url|resource|file)\b.{0,20}\b(?:not|could)\b", r"\bpage you (?:are looking for|requested)\b",
@@ -204,20 +220,31 @@ def _may_be(kind: str, lower: Column) -> Column:
     return out
 
 
-#: Messages as they begin, to know those that were cut short.
-BEGINNINGS = [
-    "this page requires javascript", "this content requires javascript", "we're sorry but this site doesn't work properly without javascript", "javascript must be enabled", "java script must be switched on",
-    "scripts must be switched on", "scripting must be switched on", "please enable javascript to view", "turn javascript on and reload", "you need to enable javascript", "javascript is disabled in your browser",
-    "java script is turned off in your browser", "scripts is turned off in your browser", "scripting is turned off in your browser", "su navegador tiene los scripts desactivados", "esta página precisa de scripts ativados",
-    "es necesario habilitar los scripts", "cal activar javascript", "ce site ne fonctionne pas sans scripts", "veuillez activer javascript", "diese galerie benötigt aktivierte skripte", "bitte javascript aktivieren",
-    "the requested address was not found on this server", "the page you are looking for does not exist", "your session has expired", "access denied: you do not have permission", "this content is not available in your region",
-    "fatal error: out of memory", "warning: undefined variable", "could not connect to the database", "image could not be loaded", "checking your browser before you continue", "connection timed out after", "request blocked",
-    "something went wrong", "oops! something went wrong", "service temporarily down", "nullreferenceerror at render", "página no encontrada", "página não encontrada", "pàgina no trobada", "page introuvable", "seite nicht gefunden",
-    "accès refusé : la session a expiré", "zugriff verweigert", "acceso denegado", "acesso negado", "s'ha produït un error intern", "error interno del servidor", "interner fehler", "translation missing",
-    "insert image caption here", "put description of the image here", "type photo description here", "edit photo description here", "enter headline here", "your image caption goes here", "caption tk, do not publish",
-    "escriba aquí la descripción", "escriviu aquí el peu de foto", "escreva aqui a legenda", "saisissez la légende ici", "hier bildunterschrift eingeben", "beispieltext, bitte ersetzen", "texte d'exemple à remplacer",
-    "texto de ejemplo para la imagen", "pie de foto de muestra, sustituir", "text de mostra, cal canviar-lo",
+#: Words that stand for one another in messages, and messages made of them.
+SLOTS = {
+    "script": ["javascript", "java script", "scripts", "scripting"], "page": ["page", "site", "website", "content", "gallery", "app"], "put": ["insert", "enter", "type", "put", "edit", "add"],
+    "what": ["image caption", "caption", "photo description", "image description", "description of the image", "description", "headline", "title", "alt text"], "off": ["disabled", "turned off", "switched off", "blocked"], "on": ["enabled", "switched on", "turned on", "allowed"],
+}
+MESSAGES = [
+    "this {page} requires {script} to", "this {page} needs {script} to", "we're sorry but this {page} doesn't work properly without {script}", "{script} must be {on} to view", "please enable {script} to view", "turn {script} on and reload", "you need to enable {script} to",
+    "{script} is {off} in your browser", "{script} are {off} in your browser", "{put} {what} here", "your {what} goes here", "{what} tk, do not publish",
+    "su navegador tiene los scripts desactivados", "esta página precisa de scripts ativados", "es necesario habilitar los scripts", "cal activar javascript", "ce site ne fonctionne pas sans scripts", "veuillez activer javascript", "diese galerie benötigt aktivierte skripte",
+    "bitte javascript aktivieren", "the requested address was not found on this server", "the page you are looking for does not exist", "your session has expired", "access denied: you do not have permission", "this content is not available in your region",
+    "fatal error: out of memory", "warning: undefined variable", "could not connect to the database", "image could not be loaded", "checking your browser before you continue", "connection timed out after", "request blocked", "something went wrong", "oops! something went wrong",
+    "service temporarily down", "nullreferenceerror at render", "página no encontrada", "página não encontrada", "pàgina no trobada", "page introuvable", "seite nicht gefunden", "accès refusé : la session a expiré", "zugriff verweigert", "acceso denegado", "acesso negado",
+    "s'ha produït un error intern", "error interno del servidor", "interner fehler", "translation missing", "escriba aquí la descripción", "escriviu aquí el peu de foto", "escreva aqui a legenda", "saisissez la légende ici", "hier bildunterschrift eingeben",
+    "beispieltext, bitte ersetzen", "texte d'exemple à remplacer", "texto de ejemplo para la imagen", "pie de foto de muestra, sustituir", "text de mostra, cal canviar-lo",
 ]
+
+
+def _expanded(message: str) -> list[str]:
+    """A message with each of the words that may stand in its slots."""
+    names = re.findall(r"\{(\w+)\}", message)
+    return [message.format(**dict(zip(names, words))) for words in itertools.product(*(SLOTS[n] for n in names))]
+
+
+#: Messages as they begin, to know those that were cut short. Some forms are not good English ("scripts is"): programs fill slots as well.
+BEGINNINGS = [m for message in MESSAGES for m in _expanded(message)]
 #: Least length at which a beginning tells.
 LEAST_BEGINNING = 12
 #: What stands between real text and a message.

@@ -233,6 +233,7 @@ UNSEEN = [
     "Error 503: the gateway is having a rest", "HTTP 418", "Sorry, that page could not be loaded just now", "Access denied. You tried a locked door", "You do not have permission to look at this picture", "Fatal error in picture.php", "TypeError: width is undefined",
     "Kindly enable JavaScript before you go on", "Our map requires JavaScript", "JavaScript seems to be disabled", "JavaScript was turned off", "This gallery won't work like that", "Um JavaScript aktivieren zu können", "Merci d'activer JavaScript", "Active el JavaScript, por favor",
     "Página no encontrada en el archivo", "Cette page introuvable", "Seite nicht gefunden auf dem Server", "{{ entry.caption|upper }}", "{% block alt %}", "${picture.alt}", "<%= picture.alt %>", "[[alt_text]]", "%picture_title%", "Lorem ipsum velit", "Your caption goes here", "Insert a caption", "Please try again later or call us",
+    "Imagen no disponible", "Ficheiro não encontrado.", "Image indisponible", "Das Bild konnte nicht geladen werden", "Изображение не найдено", "Η εικόνα δεν βρέθηκε", "画像が見つかりません", "Document has been removed", "Photo is currently unavailable", "Aquesta imatge no disponible!",
 ]
 
 
