@@ -36,6 +36,37 @@ def slug_word(c: Column, separator: str = "_") -> Column:
     return F.regexp_replace(s, rf"^\{separator}+|\{separator}+$", "")
 
 
+def slug_category(c: Column, fallback: str = "uncategorized") -> Column:
+    """ASCII letters, digits, _ and -; all else one underscore."""
+    s = F.regexp_replace(F.regexp_replace(F.lower(F.trim(F.coalesce(c, F.lit("")))), r"[^a-zA-Z0-9_\-]+", "_"), r"^_+|_+$", "")
+    return F.when(s == "", fallback).otherwise(s)
+
+
+def slug_site(host: Column, name: Column) -> Column:
+    """Host with dashes for dots, two underscores, the name in ASCII letters and digits with dashes between."""
+    s = F.regexp_replace(F.regexp_replace(F.lower(F.trim(F.coalesce(name, F.lit("")))), r"[^a-z0-9]+", "-"), r"^-+|-+$", "")
+    return F.concat(F.replace(F.lower(host), F.lit("."), F.lit("-")), F.lit("__"), F.when(s == "", "site").otherwise(s))
+
+
+def slug_folder(c: Column) -> Column:
+    """Letters and digits of any script and underscores for spaces; all else is left out."""
+    return F.regexp_replace(F.replace(F.lower(c), F.lit(" "), F.lit("_")), r"[^\p{L}\p{N}_]", "")
+
+
+def slug_file(c: Column, kept: str = r"\-_") -> Column:
+    """Letters and digits of any script and the signs kept; an underscore for each other character."""
+    return F.regexp_replace(c, rf"[^\p{{L}}\p{{N}}{kept}]", "_")
+
+
+def context_group_key(host: Column, page: Column, name: Column, title: Column, alt: Column) -> Column:
+    """Key of the renditions of a picture on a page: its asset signature, else its title or alternative text; null without any."""
+    blank = lambda c: F.coalesce(c, F.lit(""))
+    signature = asset_signature(blank(name))
+    told = normal(F.when(blank(title) != "", title).otherwise(alt))
+    head = F.concat(F.lower(F.trim(blank(host))), F.lit("|"), F.lower(F.trim(F.substring_index(blank(page), "#", 1))), F.lit("|"))
+    return F.when(signature != "", F.concat(head, F.lit("asset:"), signature)).when(told != "", F.concat(head, F.lit("ctx:"), told))
+
+
 def meaningful(c: Column, least: int = 8) -> Column:
     t = normal(c)
     return (F.length(t) >= least) & ~t.isin(GENERIC_ALT)

@@ -209,6 +209,17 @@ def guess_extension(u: Column, content_type: Column) -> Column:
     return F.coalesce(by_path, F.when(ct.contains("png"), ".png").when(ct.contains("webp"), ".webp").when(ct.contains("gif"), ".gif").otherwise(".jpg"))
 
 
+#: Content types of pictures and their extensions.
+TYPE_EXTENSIONS = {"image/jpeg": ".jpg", "image/jpg": ".jpg", "image/png": ".png", "image/webp": ".webp", "image/gif": ".gif", "image/bmp": ".bmp", "image/tiff": ".tiff"}
+
+
+def suffix_extension(u: Column, content_type: Column) -> Column:
+    """The other way to guess an extension: the suffix of the last path part, else of exactly this content type, else .jpg."""
+    kind = F.lower(F.trim(F.substring_index(F.coalesce(content_type, F.lit("")), ";", 1)))
+    by_type = F.create_map(*[F.lit(x) for kv in TYPE_EXTENSIONS.items() for x in kv])[kind]
+    return F.when(extension(u).isin(IMAGE_EXTENSIONS), extension(u)).otherwise(F.coalesce(by_type, F.lit(".jpg")))
+
+
 def safe_filename(u: Column) -> Column:
     """Name of at most 80 characters, 12 digits of the address' MD5, the extension; only the digits where there is no image name."""
     digits, name = F.substring(F.md5(u), 1, 12), F.regexp_replace(basename(u), r"[^A-Za-z0-9_.\-]", "_")

@@ -624,3 +624,27 @@ def image_inputs(spark, d):
 
     i = images(spark, d).select("row_id", "image_url")
     return i.select("row_id", R.image_input(F.col("image_url"), i.schema["image_url"].dataType).alias("x")).select("row_id", "x.form", "x.ref")
+
+
+@query("slug_dialects", f"""select row_id, coalesce(nullif(regexp_replace(regexp_replace(lower(trim(coalesce(sector, ''), ' ')), '[^a-zA-Z0-9_\\-]+', '_', 'g'), '^_+|_+$', '', 'g'), ''), 'uncategorized') as category,
+replace({netloc('website_url')}, '.', '-') || '__' || coalesce(nullif(regexp_replace(regexp_replace(lower(trim(coalesce(organization_name, ''), ' ')), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'site') as site,
+regexp_replace(replace(lower(organization_name), ' ', '_'), '[^\\p{{L}}\\p{{N}}_]', '', 'g') as folder, regexp_replace(stored_filename, '[^\\p{{L}}\\p{{N}}\\-_]', '_', 'g') as file from images_meta""")
+def slug_dialects(spark, d):
+    o = F.col("organization_name")
+    return images(spark, d).select("row_id", X.slug_category(F.col("sector")).alias("category"), X.slug_site(U.netloc(F.col("website_url")), o).alias("site"), X.slug_folder(o).alias("folder"), X.slug_file(F.col("stored_filename")).alias("file"))
+
+
+@query("context_group_keys", f"""with x as (select row_id, lower(trim({netloc('page_url')}, ' ')) || '|' || lower(trim(split_part(coalesce(page_url, ''), '#', 1), ' ')) || '|' as head, case when row_id % 3 = 0 then '' else coalesce(stored_filename, '') end as name,
+{_NORM.format(c="case when coalesce(img_title, '') <> '' then img_title else img_alt_text end")} as told from images_meta),
+y as (select *, regexp_replace(regexp_replace(regexp_replace(lower(regexp_replace(name, '([^.])\\.[^.]+$', '\\1')), '\\.r_d\\.\\d+-\\d+(-\\d+)?$', ''), '[_-]\\d{{2,5}}x\\d{{2,5}}$', ''), '[_-]\\d{{2,5}}[_-]\\d{{2,5}}$', '') as s from x),
+z as (select *, regexp_replace(s, '^[._\\-]+|[._\\-]+$', '', 'g') as sig from y)
+select row_id, case when sig <> '' then coalesce(head, '|' || '|') || 'asset:' || sig when told <> '' then coalesce(head, '||') || 'ctx:' || told end as key from z""")
+def context_group_keys(spark, d):
+    """Every third record without a name, so that its text decides."""
+    name = F.when(F.col("row_id") % 3 == 0, "").otherwise(F.col("stored_filename"))
+    return images(spark, d).select("row_id", X.context_group_key(U.netloc(F.col("page_url")), F.col("page_url"), name, F.col("img_title"), F.col("img_alt_text")).alias("key"))
+
+
+@query("suffix_extension", f"select row_id, case when e in ({','.join(repr(x) for x in U.IMAGE_EXTENSIONS)}) then e else coalesce(case lower(trim(split_part(coalesce(content_type, ''), ';', 1), ' ')) {' '.join(f'when {k!r} then {v!r}' for k, v in U.TYPE_EXTENSIONS.items())} end, '.jpg') end as extension from (select row_id, content_type, lower(regexp_extract(regexp_extract({path('image_url')}, '[^/]*$', 0), '[^.](\\.[^.]+)$', 1)) as e from images_meta where image_url is not null)")
+def suffix_extension(spark, d):
+    return images(spark, d).filter("image_url is not null").select("row_id", U.suffix_extension(F.col("image_url"), F.col("content_type")).alias("extension"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
@@ -79,6 +81,27 @@ def read_merged_csv(spark: SparkSession, paths: list[str]) -> DataFrame:
     return out
 
 
+def read_categories(spark: SparkSession, folder: str, categories: list[str], pattern: str = "{c}/{c}_predictions.csv") -> dict[str, DataFrame]:
+    """A table for each category whose CSV exists; a warning for each whose does not."""
+    out = {}
+    for c in categories:
+        path = f"{folder.rstrip('/')}/{pattern.format(c=c)}"
+        try:
+            out[c] = read_csv(spark, path)
+        except AnalysisException:
+            warnings.warn(f"no predictions of {c}: {path}", stacklevel=2)
+    return out
+
+
+def archived(files: DataFrame, host: str | None = None, years: list[int] | None = None) -> DataFrame:
+    """Files of folders host/year/timestamp, with those parts; host is a part of the name looked for."""
+    at = F.transform("parts", lambda p: p.rlike(r"^\d{4}$"))
+    i = F.array_position(at, True).cast("int")
+    df = files.filter(i > 1).withColumns({"host": F.element_at("parts", i - 1), "year": F.element_at("parts", i).cast("int"), "timestamp": F.get("parts", i)})
+    df = df.filter(F.lower("host").contains(host.lower())) if host else df
+    return df.filter(F.col("year").isin(years)) if years else df
+
+
 def latest(spark: SparkSession, pattern: str) -> str | None:
     """The last path of a pattern in order of names."""
     hadoop = spark._jvm.org.apache.hadoop.fs

@@ -12,7 +12,7 @@ from lumigraph.functions import html, pixels, references
 from lumigraph.functions import url as U
 from lumigraph.operators import crawl, dedup, skew
 from lumigraph.schemas import SNAPSHOTS
-from lumigraph.sources import blobs, cdx, fetch, sinks
+from lumigraph.sources import blobs, cdx, fetch, files, sinks
 
 
 def test_greedy_with_many_equal_hashes(spark, monkeypatch):
@@ -217,3 +217,26 @@ def test_report_and_manifest(spark, tmp_path):
     assert "| a\\|b | 1.235 |  |" in text and text.count("Only the first 1 rows") == 2
     sinks.write_manifest(df, f"{tmp_path}/m")
     assert spark.read.option("header", True).csv(f"{tmp_path}/m").columns == sinks.MANIFEST
+
+
+def test_categories_and_archived_files(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a/a_predictions.csv").write_text("score\n0.5\n")
+    with pytest.warns(UserWarning, match="no predictions of b"):
+        got = files.read_categories(spark, str(tmp_path), ["a", "b"])
+    assert list(got) == ["a"] and got["a"].first()["score"] == "0.5"
+    for p in ("x.example/2019/20190101000000/i.jpg", "y.example/2020/20200101000000/i.jpg", "y.example/other/i.jpg"):
+        (tmp_path / "w" / p).parent.mkdir(parents=True)
+        (tmp_path / "w" / p).write_bytes(b"x")
+    found = files.image_files(spark, f"{tmp_path}/w")
+    rows = lambda **k: {(r["host"], r["year"], r["timestamp"]) for r in files.archived(found, **k).collect()}
+    assert rows() == {("x.example", 2019, "20190101000000"), ("y.example", 2020, "20200101000000")}
+    assert rows(host="Y.ex") == {("y.example", 2020, "20200101000000")} and rows(years=[2019]) == {("x.example", 2019, "20190101000000")}
+
+
+def test_text_keys(spark):
+    from lumigraph.functions import text as X
+
+    df = spark.createDataFrame([("H.example", "https://h.example/p#x", "photo_290x300.jpg", "T", "A"), ("h", None, "", "", " An  Alt "), (None, None, None, None, None)], "h string, p string, n string, t string, a string")
+    got = [r[0] for r in df.select(X.context_group_key(*map(F.col, "hpnta"))).collect()]
+    assert got == ["h.example|https://h.example/p|asset:photo", "h||ctx:an alt", None]
