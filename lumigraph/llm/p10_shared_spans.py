@@ -45,7 +45,7 @@ ROWS_PER_SALT = 2000
 COMMON_SEED, SLICES = 200, 8
 #: Matches per seed of a pair of texts from which on equal windows are matched instead.
 MOST_MATCHES = 4
-#: Up to so many representatives (8 bytes each) are broadcast to fetch their texts; beyond it they are joined by shuffle.
+#: Up to so many representatives (24 bytes each) are broadcast to fetch their texts; beyond it they are joined by shuffle.
 MAX_BROADCAST_IDS = 1_000_000
 
 
