@@ -171,6 +171,36 @@ def parse(html: str | None, page_url: str) -> PageParser:
     return p
 
 
+class LinkParser(HTMLParser):
+    """Only the links of a page, as PageParser has them."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.links, self._link = [], None
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "a":
+            a = dict(attrs)
+            if "href" in a:
+                self._link = [a["href"] or "", []]
+                self.links.append(self._link)
+
+    def handle_endtag(self, tag):
+        if tag == "a":
+            self._link = None
+
+    def handle_data(self, data):
+        if self._link is not None:
+            self._link[1].append(data)
+
+
+def page_links_of(html: str | None) -> list[list]:
+    p = LinkParser()
+    p.feed(html or "")
+    p.close()
+    return p.links
+
+
 def _frame(rows: list[dict], schema: str) -> pd.DataFrame:
     names = [c.split()[0] for c in schema.split(", ")]
     df = pd.DataFrame(rows, columns=names)
@@ -198,8 +228,8 @@ def page_link_rows(pages: DataFrame, url: str = "url", html: str = "html") -> Da
         for b in batches:
             rows = []
             for u, h in zip(b[url], b[html]):
-                rows += [{"page_url": u, "idx": i, "href": x, "url": urljoin(u or "", x), "text": " ".join("".join(t).split())} for i, (x, t) in enumerate(parse(h, u).links)]
-            yield _frame(rows, LINK_SCHEMA)
+                rows += [(u, i, x, urljoin(u or "", x), " ".join("".join(t).split())) for i, (x, t) in enumerate(page_links_of(h))]
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in LINK_SCHEMA.split(", ")])
 
     return pages.select(url, html).mapInPandas(run, LINK_SCHEMA)
 

@@ -40,8 +40,9 @@ def canonical_image_key(u: Column) -> Column:
 def best_of_group(df: DataFrame, key: str, by: list[Column], order: str) -> DataFrame:
     """The greatest row of each key (first on ties); rows with an empty key all stay."""
     rank = F.struct(*[F.coalesce(b, F.lit(0)).cast("double").alias(f"b{i}") for i, b in enumerate(by)], (-F.col(order)).alias("o"))
-    best = df.filter(F.col(key) != "").groupBy(key).agg(F.max_by(F.struct(*[c for c in df.columns if c != key]), rank).alias("__best")).select(key, "__best.*")
-    return df.filter((F.col(key) == "") | F.col(key).isNull()).unionByName(best)
+    # rows without a key are groups of their own, so that the key is worked out in one pass
+    alone = df.withColumn("__alone", F.when(F.coalesce(F.col(key), F.lit("")) == "", F.monotonically_increasing_id()))
+    return alone.groupBy(key, "__alone").agg(F.max_by(F.struct(*[c for c in df.columns if c != key]), rank).alias("__best")).select(key, "__best.*")
 
 
 def group_sizes(df: DataFrame, key: str) -> DataFrame:
